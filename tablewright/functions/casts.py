@@ -30,9 +30,11 @@ class Cast:
     """A cast column and what counts as a failure.
 
     ``required`` casts fail on every NULL result; ``checked`` ones where a source
-    value, other than the ``blanks`` that mean "none", gave no result.
+    value, other than the ``blanks`` that mean "none", gave no result. ``frame`` is the
+    frame the column belongs to: the given one, perhaps with helper columns.
     """
 
+    frame: DataFrame
     column: Column
     required: bool = False
     checked: bool = False
@@ -48,15 +50,16 @@ class Cast:
         return given & result.isNull()
 
 
-def cast(frame: DataFrame, value: Value, cast_to: str, layout: str | None = None) -> Cast:
+def cast(frame: DataFrame, value: Value, cast_to: str, layout: str | None = None, name: str = "__cast") -> Cast:
+    """A value, best a plain column, in a target type; ``name`` begins any helper column's name."""
     if cast_to == STR:
-        return Cast(as_text(frame, value))
+        return Cast(frame, as_text(frame, value))
     if cast_to == INT64:
-        return _to_int(value)
+        return _to_int(frame, value)
     if cast_to == FLOAT64:
-        return _to_float(value)
+        return _to_float(frame, value)
     if cast_to == DATETIME:
-        return _to_time(frame, value, layout)
+        return _to_time(frame, value, layout, name)
     raise TransformError(f"Unsupported cast type '{cast_to}'", gate="G4", phase="mappings")
 
 
@@ -74,13 +77,13 @@ def read_bigint(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE)).try_cast("bigint")
 
 
-def _to_int(value: Value) -> Cast:
+def _to_int(frame: DataFrame, value: Value) -> Cast:
     """Whole numbers only; a missing value is a failure too."""
     source = value.clean()
     if value.kind in (INT, BOOL):
-        return Cast(source.cast("bigint"), required=True)
+        return Cast(frame, source.cast("bigint"), required=True)
     if value.kind == NULL:
-        return Cast(F.lit(None).cast("bigint"), required=True)
+        return Cast(frame, F.lit(None).cast("bigint"), required=True)
     if value.kind == FLOAT:
         fits = (source == F.rint(source)) & (source >= -_INT_LIMIT) & (source < _INT_LIMIT)
         whole = F.when(fits, source.cast("bigint"))
@@ -92,28 +95,31 @@ def _to_int(value: Value) -> Cast:
         raise TransformError("Timestamps cannot become whole numbers", gate="G4", phase="mappings")
     else:
         raise TransformError("Nested and binary values cannot become numbers", gate="G4", phase="mappings")
-    return Cast(whole, required=True, checked=True)
+    return Cast(frame, whole, required=True, checked=True)
 
 
-def _to_float(value: Value) -> Cast:
+def _to_float(frame: DataFrame, value: Value) -> Cast:
     source = value.clean()
     if value.kind in (INT, FLOAT, BOOL, NULL):
         number = source.cast("int") if value.kind == BOOL else source
-        return Cast(number.cast("double"))
+        return Cast(frame, number.cast("double"))
     if value.kind == TEXT:
-        return Cast(read_double(source), checked=True, blanks=("",))
+        return Cast(frame, read_double(source), checked=True, blanks=("",))
     raise TransformError(f"A {value.kind} value cannot become a number", gate="G4", phase="mappings")
 
 
-def _to_time(frame: DataFrame, value: Value, layout: str | None) -> Cast:
+def _to_time(frame: DataFrame, value: Value, layout: str | None, name: str) -> Cast:
     source = value.clean()
     if value.kind == TIME:
-        return Cast(source)
+        return Cast(frame, source)
     if value.kind == NULL:
-        return Cast(F.lit(None).cast("timestamp_ntz"))
+        return Cast(frame, F.lit(None).cast("timestamp_ntz"))
     if value.kind in (INT, FLOAT):
-        return Cast(times.from_nanos(source), checked=True)
+        return Cast(frame, times.from_nanos(source), checked=True)
     if value.kind == TEXT:
-        moment = times.read_layout(source, layout) if layout else times.read_guessing(frame, source)
-        return Cast(moment, checked=True, blanks=times.BLANKS)
+        if layout:
+            moment = times.read_layout(source, layout)
+        else:
+            frame, moment = times.read_guessing(frame, source, name)
+        return Cast(frame, moment, checked=True, blanks=times.BLANKS)
     raise TransformError(f"A {value.kind} value cannot become a timestamp", gate="G4", phase="mappings")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tablewright.errors import TransformError
 from tablewright.functions import aggregates, arithmetic, casts
-from tablewright.functions.compare import between, compare, is_in, is_missing, moment
+from tablewright.functions.compare import between, compare, is_in, is_missing
 from tablewright.functions.text import WHITESPACE, java_pattern, regexp_replace
 from tablewright.functions.values import (
     BOOL,
@@ -38,7 +38,7 @@ from tablewright.functions.values import (
     common_kind,
     literal,
 )
-from tablewright.names import to_physical_column
+from tablewright.names import field, to_physical_column
 
 Operand = Value | Mask
 
@@ -251,11 +251,6 @@ class _Reader:
     def _function(self, name: str, node: ast.Call) -> Operand:
         if name == "__column__":
             return self._quoted(ast.literal_eval(node.args[0]))
-        if name == "Timestamp":
-            read = moment(str(self._literals(node.args[0])[0])) if len(node.args) == 1 else None
-            if read is None:
-                raise TransformError("Timestamp() needs an ISO date or time")
-            return read
         if name not in arithmetic.MATH_FUNCTIONS:
             raise TransformError(f"Unknown function: {name}")
         return arithmetic.math_function(name, [self.value(argument) for argument in node.args])
@@ -290,19 +285,31 @@ class _Reader:
     def _rank(self, value: Value, arguments: _Arguments) -> Value:
         arguments.skip("axis")
         method, percent = arguments.plain("method", "average"), arguments.plain("pct", False)
-        self.helpers += 1
-        while (name := f"__rank{self.helpers}") in self.frame.columns:
-            self.helpers += 1
+        name = self._helper_name()
         self.frame = aggregates.add_rank(self.frame, value, name, method, percent)
         return column_value(self.frame, name)
 
+    def _helper_name(self) -> str:
+        self.helpers += 1
+        while f"__helper{self.helpers}" in self.frame.columns:
+            self.helpers += 1
+        return f"__helper{self.helpers}"
+
+    def _stored(self, value: Value) -> Value:
+        """The value as a column of the frame, for a formula that mentions it often."""
+        name = self._helper_name()
+        self.frame = self.frame.withColumn(name, value.clean())
+        return Value(field(name), value.kind, nan_free=True)
+
     def _cast(self, value: Value, target: Any) -> Value:
         wanted = {"int": "int64", "float": "float64", "string": "str", "object": "str"}.get(target, target)
         if wanted in ("bool", "boolean"):
             return Value(as_kind(value, BOOL), BOOL)
         if wanted not in casts.CAST_KINDS:
             raise TransformError(f"Unknown type: {target}")
-        result = casts.cast(self.frame, value, wanted)
+        value = self._stored(value)
+        result = casts.cast(self.frame, value, wanted, name=self._helper_name())
+        self.frame = result.frame
         column, failed = result.column, None
         if not result.required or value.kind == TEXT:
             failed = result.failed(value.clean(), result.column)

@@ -38,38 +38,19 @@ def as_text(frame: DataFrame, value: Value) -> Column:
 def double_text(number: Column) -> Column:
     """A double in Python's shortest form.
 
-    Spark writes an exponent from 1.0E7 up and below 1.0E-3; Python only from
-    1e+16 up and below 1e-4. The digits are the same, so only the point moves.
+    Spark and Python find the same digits. Spark writes an exponent from 1.0E7 up and
+    below 1.0E-3, Python only from 1e+16 up and below 1e-4.
     """
-    text = number.cast("string")
-    parts = F.regexp_extract
-    pattern = r"^(-?)(\d)\.(\d+)E(-?\d+)$"
-    sign, head, tail = (parts(text, pattern, group) for group in (1, 2, 3))
-    exponent = F.nullif(parts(text, pattern, 4), F.lit("")).cast("int")
-    tail = F.when(tail == "0", F.lit("")).otherwise(tail)
-    digits = F.concat(head, tail)
-    whole = F.rpad(F.substring(digits, F.lit(1), exponent + 1), exponent + 1, F.lit("0"))
-    fraction = F.substring(digits, exponent + 2, F.length(digits))
-    shifted_right = F.concat(
-        sign, whole, F.lit("."), F.when(fraction == "", F.lit("0")).otherwise(fraction)
-    )
-    shifted_left = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
-    point = F.when(tail == "", F.lit("")).otherwise(F.concat(F.lit("."), tail))
-    size = F.abs(exponent).cast("string")
-    scientific = F.concat(
-        sign,
-        head,
-        point,
-        F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")),
-        F.lpad(size, F.greatest(F.length(size), F.lit(2)), F.lit("0")),
+    text, size = number.cast("string"), F.abs(number)
+    without_exponent = F.regexp_replace(
+        number.try_cast("decimal(38,22)").cast("string"), r"(\.\d+?)0*$", "$1"
     )
+    exponent = F.regexp_replace(F.replace(text, F.lit(".0E"), F.lit("E")), r"E(?=\d)", "e+")
+    exponent = F.regexp_replace(F.replace(exponent, F.lit("E"), F.lit("e")), r"(?<=e[+-])(?=\d$)", "0")
     return (
-        F.when(text == "Infinity", F.lit("inf"))
-        .when(text == "-Infinity", F.lit("-inf"))
-        .when(~F.contains(text, F.lit("E")), text)
-        .when(exponent.between(7, 15), shifted_right)
-        .when(exponent.between(-4, -1), shifted_left)
-        .otherwise(scientific)
+        F.when(size.between(1e-3, 9_999_999.0) | (size == 0), text)
+        .when((size >= 1e-4) & (size < 1e16), without_exponent)
+        .otherwise(F.replace(exponent, F.lit("Infinity"), F.lit("inf")))
     )
 
 
@@ -110,10 +91,11 @@ def like(text: Column, pattern: str, *, stored_text: bool) -> Column:
 
 
 def java_pattern(pattern: str) -> str:
-    """A Python pattern in Java's notation, with Python's line ends."""
+    """A Python pattern in Java's notation, with Python's line ends and letters of all scripts."""
     pattern = re.sub(r"\(\?P<(\w+)>", lambda found: "(?<" + _group(found[1]) + ">", pattern)
     pattern = re.sub(r"\(\?P=(\w+)\)", lambda found: "\\k<" + _group(found[1]) + ">", pattern)
-    return "(?d)" + pattern.replace(r"\Z", r"\z")
+    flags = "(?dU)" if re.search(r"\\[wWdDsSbB]", pattern) else "(?d)"
+    return flags + pattern.replace(r"\Z", r"\z")
 
 
 def java_replacement(replacement: str) -> str:

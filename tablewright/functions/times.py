@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 _SPLIT = r"^(.*?)(?:[ T](\d{1,2}(?::.*)?))?$"
 # A layout is a pattern and the ISO text made from its groups. Month before day wins,
-# as in the first two slash layouts. {month} stands for a month name.
+# as in the first two slash layouts. Braces hold a month name.
 _YEAR_FIRST = r"^(\d{4})%s(\d{1,2})%s(\d{1,2})$"
 _YEAR_LAST = r"^(\d{1,2})%s(\d{1,2})%s(\d{4})$"
 _DATES: tuple[tuple[str, str], ...] = (
@@ -40,32 +40,44 @@ _EARLIEST, _LATEST = "1677-09-21 00:12:43.145225", "2262-04-11 23:47:16.854775"
 _NANOS_PER_MICRO = 1000
 
 
-def read_guessing(frame: DataFrame, text: Column) -> Column:
-    """Timestamps from text in one of the known layouts; NULL where unreadable."""
-    day_text = F.regexp_extract(text, _SPLIT, 1)
-    clock_text = F.regexp_extract(text, _SPLIT, 2)
-    days = [_day(day_text, *layout) for layout in _DATES]
-    clocks = [_clock(clock_text, *layout) for layout in _TIMES]
-    fits = [
-        F.bool_and(F.when(_filled(text), column.isNotNull())).alias(name)
-        for name, column in [
-            *((f"day{i}", day) for i, day in enumerate(days)),
-            *((f"clock{i}", clock) for i, clock in enumerate(clocks)),
-        ]
-    ]
-    found = frame.agg(*fits)
-    first_day, first_clock = (
-        F.coalesce(*(F.when(F.col(f"{part}{i}"), i) for i in range(size)), F.lit(-1))
-        for part, size in (("day", len(days)), ("clock", len(clocks)))
+def read_guessing(frame: DataFrame, text: Column, name: str) -> tuple[DataFrame, Column]:
+    """Timestamps from text in one of the known layouts; NULL where unreadable.
+
+    Intermediate results become columns of the returned frame, under the given name,
+    so that none is computed twice.
+    """
+    parts = frame.select(*_split(F.when(_filled(text), text))).where(F.col("day").isNotNull())
+    tried = parts.select(
+        *(_day(F.col("day"), layout).alias(f"day{i}") for i, layout in enumerate(_DATES)),
+        *(_clock(F.col("clock"), layout).alias(f"clock{i}") for i, layout in enumerate(_TIMES)),
+    )
+    fits = tried.agg(*(F.bool_and(F.col(column).isNotNull()).alias(column) for column in tried.columns))
+    # The subquery hands over the patterns themselves, so each row is matched only once.
+    chosen = fits.select(
+        F.struct(_first("day", _DATES).alias("day"), _first("clock", _TIMES).alias("clock"))
+    ).scalar()
+    layout, day, clock, read, moment = (f"{name}_{part}" for part in ("layout", "day", "clock", "read", "moment"))
+    day_text, clock_text = _split(text)
+    frame = frame.withColumns({layout: chosen, day: day_text, clock: clock_text})
+    patterns = {part: F.col(layout)[part]["pattern"] for part in ("day", "clock")}
+    rewritten = {part: F.col(layout)[part]["iso"] for part in ("day", "clock")}
+    frame = frame.withColumns(
+        {
+            read: F.when(
+                F.rlike(F.col(day), patterns["day"]),
+                F.regexp_replace(F.col(day), patterns["day"], rewritten["day"]),
+            ),
+            clock: F.when(
+                F.rlike(F.col(clock), patterns["clock"]),
+                F.regexp_replace(F.col(clock), patterns["clock"], rewritten["clock"]),
+            ),
+        }
     )
-    choice = found.select(F.struct(first_day.alias("day"), first_clock.alias("clock"))).scalar()
-    day, clock = F.lit(None).cast("date"), F.lit(None).cast("string")
-    for i, column in enumerate(days):
-        day = F.when(choice["day"] == i, column).otherwise(day)
-    for i, column in enumerate(clocks):
-        clock = F.when(choice["clock"] == i, column).otherwise(clock)
-    moment = F.concat(day.cast("string"), F.lit(" "), clock).try_cast("timestamp_ntz")
-    return F.when(_filled(text), in_range(moment))
+    numbered = F.when(F.contains(F.col(read), F.lit("{")), _number_month(F.col(read))).otherwise(F.col(read))
+    frame = frame.withColumn(
+        moment, F.concat(numbered, F.lit(" "), F.col(clock)).try_cast("timestamp_ntz")
+    )
+    return frame, F.when(_filled(text), in_range(F.col(moment)))
 
 
 def read_layout(text: Column, layout: str) -> Column:
@@ -98,21 +110,40 @@ def _filled(text: Column) -> Column:
     return text.isNotNull() & ~text.isin(*BLANKS)
 
 
-def _day(text: Column, pattern: str, iso: str) -> Column:
-    if "{" in iso:
-        group = int(iso[iso.index("{") + 2])
-        name = F.lower(F.regexp_extract(text, pattern, group))
-        number = F.array_position(F.array(*map(F.lit, _MONTHS)), F.left(name, F.lit(3))).cast("string")
-        before, after = iso.split("{$%d}" % group)
-        text_iso = F.concat(
-            F.regexp_replace(text, pattern, before), number, F.regexp_replace(text, pattern, after)
+def _split(text: Column) -> tuple[Column, Column]:
+    """The date and the time of day in a text."""
+    return (
+        F.regexp_extract(text, _SPLIT, 1).alias("day"),
+        F.regexp_extract(text, _SPLIT, 2).alias("clock"),
+    )
+
+
+def _first(part: str, layouts: tuple[tuple[str, str], ...]) -> Column:
+    """The first layout that fits every value."""
+    return F.coalesce(
+        *(
+            F.when(F.col(f"{part}{i}"), F.struct(F.lit(pattern).alias("pattern"), F.lit(iso).alias("iso")))
+            for i, (pattern, iso) in enumerate(layouts)
         )
-    else:
-        text_iso = F.regexp_replace(text, pattern, iso)
-    return F.when(text.rlike(pattern), text_iso.try_cast("date"))
+    )
+
+
+def _number_month(read: Column) -> Column:
+    """``2024-{Jan}-15`` as ``2024-1-15``."""
+    name = F.lower(F.regexp_extract(read, r"\{(\w{3})\w*\}", 1))
+    number = F.array_position(F.array(*map(F.lit, _MONTHS)), name).cast("string")
+    return F.concat(F.substring_index(read, "{", 1), number, F.substring_index(read, "}", -1))
 
 
-def _clock(text: Column, pattern: str, iso: str) -> Column:
+def _day(text: Column, layout: tuple[str, str]) -> Column:
+    pattern, iso = layout
     read = F.regexp_replace(text, pattern, iso)
-    valid = F.concat(F.lit("2000-01-01 "), read).try_cast("timestamp_ntz").isNotNull()
-    return F.when(text.rlike(pattern) & valid, read)
+    if "{" in iso:
+        read = _number_month(read)
+    return F.when(text.rlike(pattern), read.try_cast("date"))
+
+
+def _clock(text: Column, layout: tuple[str, str]) -> Column:
+    pattern, iso = layout
+    read = F.concat(F.lit("2000-01-01 "), F.regexp_replace(text, pattern, iso))
+    return F.when(text.rlike(pattern), read.try_cast("timestamp_ntz"))

@@ -44,11 +44,15 @@ def kind_of(data_type: T.DataType) -> str:
 
 @dataclass(frozen=True, eq=False)
 class Value:
-    """A column with its kind; ``constant`` holds the value where it is a literal."""
+    """A column with its kind; ``constant`` holds the value where it is a literal.
+
+    ``nan_free`` is set where NaN has been turned into NULL already.
+    """
 
     column: Column
     kind: str
     constant: Any = _MISSING
+    nan_free: bool = False
 
     @property
     def is_constant(self) -> bool:
@@ -56,7 +60,7 @@ class Value:
 
     @property
     def may_be_nan(self) -> bool:
-        return self.kind == FLOAT and not self.is_constant
+        return self.kind == FLOAT and not self.is_constant and not self.nan_free
 
     def clean(self) -> Column:
         """The column with NaN turned into NULL."""

@@ -12,6 +12,11 @@ and the rows they may meet on the other side are repeated once per part. A repea
 row that meets nothing in its part has its partners in another one, so that lone
 copy is dropped. The hot keys are found first: at most ``1 / _SUPPORT`` of them can
 exist, whatever the size of the table.
+
+Missing keys. Spark joins on ``k <=> k`` by two derived columns, which hides how a
+table is bucketed or sorted. If the joined table turns out to have no missing key,
+plain equality gives the same rows. That is looked up where the join has to shuffle;
+for parquet the answer is in the file footers.
 """
 
 from __future__ import annotations
@@ -64,9 +69,12 @@ def apply_join(
         raise TransformError(f"Unsupported join type: {join_type}", phase="joins")
     how = HOW[join_type.upper()]
     keys = find_keys(left, right, conditions)
-    unsplit = [side for side in _UNSPLIT[how] if rows_per_part or _is_large({"left": left, "right": right}[side])]
+    frames = {"left": left, "right": right}
+    unsplit = [side for side in _UNSPLIT[how] if rows_per_part or _is_large(frames[side])]
     if unsplit:
         joined = _split_join(left, right, keys, how, unsplit, rows_per_part or ROWS_PER_PART)
+    elif _is_large(right) and not _has_missing_keys(right, keys.right):
+        joined = left.join(right, _same(zip(_columns(keys.left), _columns(keys.right))), how)
     else:
         joined = left.join(right, _equal(zip(_clean(keys.left), _clean(keys.right))), how)
     if keys.residual:
@@ -143,6 +151,20 @@ def _clean(values: list[Value]) -> list[Column]:
     return [value.clean() for value in values]
 
 
+def _columns(values: list[Value]) -> list[Column]:
+    return [value.column for value in values]
+
+
+def _has_missing_keys(frame: DataFrame, keys: list[Value]) -> bool:
+    missing = reduce(lambda a, b: a | b, [key.missing() for key in keys])
+    return not frame.where(missing).isEmpty()
+
+
+def _same(pairs) -> Column:
+    """Equality for keys of which one side is never missing."""
+    return reduce(lambda a, b: a & b, [a == b for a, b in pairs])
+
+
 def _equal(pairs) -> Column:
     return reduce(lambda a, b: a & b, [a.eqNullSafe(b) for a, b in pairs])
 
@@ -166,6 +188,7 @@ def _split_join(
             {_own(side, name): column for name, column in zip(key_names, _clean(values))}
         )
     pairs = [(field(_own("left", name)), field(_own("right", name))) for name in key_names]
+    match = _equal if _has_missing_keys(right, keys.right) else _same
     found = {
         side: hot_keys(frames[side], [_own(side, name) for name in key_names], rows_per_part)
         for side in unsplit
@@ -182,7 +205,7 @@ def _split_join(
         frames[side] = frames[side].withColumnRenamed(part, f"{part}_own")
         pairs.append((field(f"{part}_own"), field(part)))
         lone_copies.append(field(f"__met_{side}").isNull() & (field(parts) > 1))
-    joined = frames["left"].join(frames["right"], _equal(pairs), how)
+    joined = frames["left"].join(frames["right"], match(pairs), how)
     for lone in lone_copies:
         joined = joined.where(~F.coalesce(lone, F.lit(False)))
     return joined.select(*map(field, columns))

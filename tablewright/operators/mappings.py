@@ -77,10 +77,12 @@ def apply_mappings(frame: DataFrame, mappings: Sequence[Mapping]) -> MappedTable
         column = field(mapping.target_column)
         source = field(name)
         try:
-            cast = casts.cast(sources, Value(source, value.kind), mapping.cast_to, mapping.datetime_format)
+            clean = Value(source, value.kind, nan_free=True)
+            cast = casts.cast(sources, clean, mapping.cast_to, mapping.datetime_format, name)
         except TransformError as error:
             error.column = error.column or mapping.target_column
             raise
+        sources = cast.frame
         outputs.append(cast.column.alias(mapping.target_column))
         if cast.checked:
             kept.append(source)

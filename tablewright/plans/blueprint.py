@@ -20,16 +20,16 @@ from tablewright.spec import Blueprint, Pipeline, load
 
 @dataclass(frozen=True, eq=False)
 class BlueprintPlan:
-    """A planned blueprint: its root table, its mapped table, and the filters after it."""
+    """A planned blueprint: its root table, its mapped table and its target table."""
 
     blueprint: Blueprint
     root: DataFrame
     mapped: MappedTable
+    target: DataFrame
 
-    def target(self, staged: DataFrame | None = None) -> DataFrame:
-        """The target table; ``staged`` stands in for the mapped table's own plan."""
-        with_columns = self.mapped.target(staged)
-        return apply_filters(with_columns, self.blueprint.post_filters, phase="post_filters")
+    def target_of(self, staged: DataFrame) -> DataFrame:
+        """The target table built on another plan of the mapped table."""
+        return _post_filtered(self.blueprint, self.mapped.target(staged))
 
     def check_root(self) -> None:
         """Gate G2: the root table holds at least one row, before any filter."""
@@ -60,13 +60,15 @@ def plan_blueprint(blueprint: Blueprint, sources: SourceTables, watch: Watch | N
             working = watch.rows(f"join {join.table.alias}", working)
         working = apply_derivations(working, blueprint.derivations)
         mapped = apply_mappings(working, blueprint.mappings)
-        plan = BlueprintPlan(blueprint, root, mapped)
-        plan.target()
-        return plan
+        return BlueprintPlan(blueprint, root, mapped, _post_filtered(blueprint, mapped.target()))
     except TablewrightError as error:
         raise error.within(blueprint.blueprint_id, sources.pipeline.migration_id) from error.__cause__
 
 
+def _post_filtered(blueprint: Blueprint, table: DataFrame) -> DataFrame:
+    return apply_filters(table, blueprint.post_filters, phase="post_filters")
+
+
 def transform(
     spark: SparkSession,
     config: dict[str, Any] | Pipeline,
@@ -75,7 +77,7 @@ def transform(
     sources: dict[str, DataFrame] | None = None,
 ) -> DataFrame:
     """The target table of one blueprint, lazily and without its gates."""
-    return plan(spark, config, blueprint_id, sources=sources).target()
+    return plan(spark, config, blueprint_id, sources=sources).target
 
 
 def plan(

@@ -133,7 +133,7 @@ def _run_blueprint(
     gates = Observation(f"gates {uuid.uuid4().hex}")
     staged = plan.mapped.staged.observe(gates, *quality.gate_counts(plan.mapped))
     written = Observation(f"written {uuid.uuid4().hex}")
-    target = plan.target(staged).observe(written, F.count(F.lit(1)).alias("rows"))
+    target = plan.target_of(staged).observe(written, F.count(F.lit(1)).alias("rows"))
     if dry_run:
         target.write.format("noop").mode("overwrite").save()
         quality.judge(plan.mapped, gates.get)

@@ -1,0 +1,393 @@
+"""Expressions against pandas, whose ``eval`` defines what they mean."""
+
+from __future__ import annotations
+
+import datetime
+import math
+import re
+
+import pandas as pd
+import pytest
+
+from tablewright.errors import TransformError
+from tablewright.functions.expressions import evaluate
+from tablewright.functions.values import as_value
+from tablewright.operators.derivations import apply_derivations
+from tablewright.spec import CaseBranch, CaseDerivation, ExpressionDerivation, Predicate, RegexpReplaceDerivation
+
+NUMBERS = pd.DataFrame(
+    {
+        "t__id": [0, 1, 2, 3, 4, 5, 6],
+        "t__i": [-7, -3, 0, 2, 5, 8, 2],
+        "t__j": [3, -2, 4, -5, 1, 3, 7],
+        "t__x": [1.5, None, -2.5, 0.0, 2.675, 1e17, 0.5],
+        "t__y": [2.0, 1.0, None, -0.5, 0.25, 3.0, -4.0],
+    }
+)
+TEXTS = pd.DataFrame(
+    {
+        "t__id": [0, 1, 2, 3, 4, 5],
+        "t__s": [" Ab c ", "o'neil mc-x", None, "-12", "ümlaut Straße", "a.b+c"],
+        "t__r": ["x", "yy", "z", "+7", None, "42"],
+    }
+)
+TIMES = pd.DataFrame(
+    {
+        "t__id": [0, 1, 2],
+        "t__at": pd.to_datetime(["2024-02-29 23:59:58", "2021-12-31", None], format="mixed"),
+    }
+)
+
+
+@pytest.fixture(scope="module")
+def frames(spark):
+    numbers = [tuple(None if v != v else v for v in row) for row in NUMBERS.itertuples(index=False)]
+    texts = [tuple(row) for row in TEXTS.itertuples(index=False)]
+    times = [(0, datetime.datetime(2024, 2, 29, 23, 59, 58)), (1, datetime.datetime(2021, 12, 31)), (2, None)]
+    return {
+        "numbers": spark.createDataFrame(
+            numbers, "t__id bigint, t__i bigint, t__j bigint, t__x double, t__y double"
+        ),
+        "texts": spark.createDataFrame(texts, "t__id bigint, t__s string, t__r string"),
+        "times": spark.createDataFrame(times, "t__id bigint, t__at timestamp_ntz"),
+    }
+
+
+def ours(frame, text):
+    widened, outcome = evaluate(frame, text, phase="test")
+    rows = widened.select("t__id", as_value(outcome).clean().alias("value")).collect()
+    return [value for _, value in sorted((row["t__id"], row["value"]) for row in rows)]
+
+
+def theirs(table, text):
+    result = table.eval(re.sub(r"\bt\.(\w+)", r"t__\1", text), engine="python")
+    if not isinstance(result, pd.Series):
+        result = pd.Series(result, index=table.index)
+    return [None if pd.isna(v) else v for v in result.tolist()]
+
+
+def same(a, b):
+    if a is None or b is None:
+        return a is b
+    if isinstance(a, datetime.datetime):
+        return a == pd.Timestamp(b).to_pydatetime()
+    if isinstance(b, float) and math.isfinite(b):
+        return math.isclose(a, b, rel_tol=1e-12, abs_tol=1e-12)
+    return a == b
+
+
+def check(frame, table, text):
+    found, expected = ours(frame, text), theirs(table, text)
+    assert len(found) == len(expected) and all(map(same, found, expected)), (text, found, expected)
+
+
+ARITHMETIC = """
+t.i + t.j * 2 - 1
+t.x + t.i
+-t.x * 3
++t.i
+t.i / 4
+t.x / t.y
+t.i / (t.j - 1)
+(t.i - t.i) / (t.j - 1)
+t.i // 3
+t.i // -3
+t.x // 2
+t.y // t.x
+t.i % 3
+t.i % -3
+t.x % 1.5
+t.y % t.x
+t.i ** 2
+t.i ** 3 - t.j
+t.j ** 0
+t.x ** 2
+t.y ** 0.5
+2 ** t.i.abs()
+abs(t.i) + abs(t.x)
+sqrt(t.y)
+log(t.y)
+log10(t.i)
+log1p(t.y)
+exp(t.y) + expm1(t.y)
+sin(t.y) + cos(t.y)
+arcsin(t.y) + arccos(t.y)
+arctan(t.y) + arctan2(t.y, t.i)
+sinh(t.y) + cosh(t.y) - tanh(t.y)
+arcsinh(t.y)
+arccosh(t.y)
+arctanh(t.y)
+floor(t.x) + ceil(t.y)
+t.x.round()
+t.x.round(2)
+t.x.round(decimals=1)
+t.i.round(1)
+t.x.abs().add(1).mul(t.i).sub(2)
+t.i.div(4).pow(2)
+t.i.mod(3) + t.i.floordiv(3)
+t.x.clip(0, 2)
+t.i.clip(lower=-1)
+t.x.clip(upper=1.25)
+t.i.isin([2, 5])
+t.x.between(-2.5, 1.5)
+t.x.between(-2.5, 1.5, inclusive='neither')
+t.x.fillna(9)
+t.x.fillna(t.i)
+t.x.combine_first(t.y)
+t.x.where(t.x > 0)
+t.x.where(t.x > 0, t.y)
+t.x.where(t.x > 0, other=-1)
+t.x.mask(t.x > 0)
+t.i.mask(t.i == 2, 0)
+t.i.replace(2, 20)
+t.i.replace([2, 5], 0)
+t.x.isna() | t.y.isnull()
+t.x.notna() & t.y.notnull()
+t.i > t.j
+t.x != t.y
+t.x == t.x
+not t.x > 0
+~(t.x > 0)
+t.i > 0 and t.j > 0 or t.x > 1
+t.i > 0 & t.j > 0 | t.x > 1
+-3 < t.i <= 5
+-3 < t.i < t.j < 8
+t.i in [2, 5]
+t.i not in [2, 5]
+t.i == [2, 8]
+t.i != [2, 8]
+t.i.eq(2) | t.j.ge(3)
+t.x.astype('str').isin(['1.5'])
+t.i.astype('float64') / 2
+t.i > t.i.mean()
+t.i - t.i.min() + t.i.max()
+t.x.sum() + t.y.count()
+t.j / t.j.nunique()
+t.y.std() + t.y.var()
+t.y.std(ddof=0)
+t.x.median()
+t.i.median()
+t.y.quantile(0.3)
+t.i.quantile(q=0.25)
+t.i.rank()
+t.x.rank()
+t.i.rank(method='min')
+t.i.rank(method='max')
+t.i.rank(method='dense')
+t.x.rank(pct=True)
+t.x > inf
+3
+1.5 + 2
+""".strip().splitlines()
+
+
+@pytest.mark.parametrize("text", ARITHMETIC)
+def test_numbers(frames, text):
+    check(frames["numbers"], NUMBERS, text)
+
+
+TEXT = """
+t.s.str.upper()
+t.s.str.lower()
+t.s.str.len()
+t.s.str.strip()
+t.s.str.lstrip() + t.r
+t.s.str.rstrip()
+t.s.str.strip('-a2')
+t.s.str.title()
+t.r.str.zfill(4)
+t.s.str.slice(1, 3)
+t.s.str.slice(-3)
+t.s.str.replace('.', '!')
+t.s.str.replace('[a-c]', '_', regex=True)
+t.s + t.r
+t.s == 'a.b+c'
+t.s < t.r
+t.s.fillna('none')
+t.s.replace('-12', 'twelve')
+t.s.rank()
+""".strip().splitlines()
+TEXT_TESTS = """
+t.s.str.contains('b')
+t.s.str.contains('B', case=False)
+t.s.str.contains('a.b', regex=False)
+t.s.str.contains('^.b|1')
+t.s.str.match('[ao]')
+t.s.str.fullmatch('-\\\\d+')
+t.s.str.startswith('-')
+t.s.str.endswith('x')
+""".strip().splitlines()
+
+
+@pytest.mark.parametrize("text", TEXT)
+def test_texts(frames, text):
+    check(frames["texts"], TEXTS, text)
+
+
+@pytest.mark.parametrize("text", TEXT_TESTS)
+def test_text_conditions(frames, text):
+    expected = [bool(v) for v in theirs(TEXTS, text)]
+    assert ours(frames["texts"], text) == expected
+
+
+TIME = """
+t.at.dt.year
+t.at.dt.month + t.at.dt.day
+t.at.dt.hour * 10000 + t.at.dt.minute * 100 + t.at.dt.second
+t.at.dt.dayofweek
+t.at.dt.weekday
+t.at.dt.dayofyear
+t.at.dt.quarter
+t.at.dt.day_name()
+t.at.dt.month_name()
+t.at.dt.normalize()
+t.at > '2022-01-01'
+t.at == '2021-12-31'
+t.at < '2024-02-29 23:59:59'
+t.at.max()
+t.at.isna()
+""".strip().splitlines()
+
+
+@pytest.mark.parametrize("text", TIME)
+def test_times(frames, text):
+    check(frames["times"], TIMES, text)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "t.i.__class__",
+        "t.i; t.j",
+        "__import__('os')",
+        "eval('1')",
+        "exec('1')",
+        "t.missing + 1",
+        "unknown_name",
+        "t.i +",
+        "open('x')",
+        "t.i.tolist()",
+        "t.i.shift(1)",
+        "[v for v in t.i]",
+        "lambda: 1",
+        "t.i[0]",
+        "t.s.str.upper() + 1",
+        "t.i ** -1",
+        "t.i.rank(method='first')",
+        "t.i.clip(1, 2, 3, 4)",
+        "t.i.round(digits=1)",
+        "'a' < t.i",
+        "t.i in t.j",
+        "t.i if t.j else 0",
+    ],
+)
+def test_refused(frames, text):
+    with pytest.raises(TransformError) as caught:
+        evaluate(frames["numbers"], text, phase="test")
+    assert caught.value.gate == "G2"
+    assert caught.value.expression == text
+
+
+def test_infinity_and_missing_from_division(frames):
+    assert ours(frames["numbers"], "t.i / 0") == [-math.inf, -math.inf, None, *[math.inf] * 4]
+    assert ours(frames["numbers"], "t.i // 0.0") == [-math.inf, -math.inf, None, *[math.inf] * 4]
+    assert ours(frames["numbers"], "t.i % 0") == [None] * 7
+    assert ours(frames["numbers"], "1 / (t.x * -0.0)")[0] == -math.inf
+
+
+def test_aggregates_of_conditions_and_texts(frames):
+    assert ours(frames["numbers"], "(t.i > 0).sum()") == [4] * 7
+    assert ours(frames["numbers"], "(t.i > 0).any()") == [True] * 7
+    assert ours(frames["numbers"], "(t.i > 0).all()") == [False] * 7
+    assert ours(frames["texts"], "t.r.min()") == ["+7"] * 6
+    assert ours(frames["texts"], "t.r.count()") == [5] * 6
+
+
+def test_beyond_what_pandas_reads(frames):
+    assert ours(frames["numbers"], "tan(t.y)")[4] == pytest.approx(math.tan(0.25))
+    assert ours(frames["texts"], "t.s.str.startswith(('a', 'o'))") == [False, True, False, False, False, True]
+
+
+def test_bitwise_on_whole_numbers(frames):
+    assert ours(frames["numbers"], "t.i & t.j")[5] == 8 & 3
+    assert ours(frames["numbers"], "t.i | t.j")[5] == 8 | 3
+    assert ours(frames["numbers"], "~t.i")[5] == ~8
+
+
+# --- derivations -------------------------------------------------------------------
+
+
+def derived(frame, *derivations):
+    name = f"deriv__{derivations[-1].variable_name}"
+    rows = apply_derivations(frame, derivations).select("t__id", name).collect()
+    return [value for _, value in sorted(tuple(row) for row in rows)]
+
+
+def test_derivations_see_earlier_ones(frames):
+    steps = [ExpressionDerivation("a", "t.i * 2"), ExpressionDerivation("b", "deriv.a + deriv.a.max()")]
+    assert derived(frames["numbers"], *steps) == [2, 10, 16, 20, 26, 32, 20]
+    with pytest.raises(TransformError) as caught:
+        derived(frames["numbers"], *reversed(steps))
+    assert caught.value.column == "deriv__a"
+
+
+@pytest.mark.parametrize(
+    ("pattern", "replacement"),
+    [
+        (r"[^a-z]", ""),
+        (r"(\w)(\w)", r"\2\1"),
+        (r"(?P<first_one>[a-z])\.(?P<b>[a-z])", r"\g<b>$\g<first_one>"),
+        (r"(\d)", r"\g<1>0"),
+        (r"$", "!"),
+        (r"\s", r"\\"),
+        (r"(?P<q>[a-z])(?P=q)", "<>"),
+        (r"^\s*", ""),
+    ],
+)
+def test_regexp_replace(frames, pattern, replacement):
+    step = RegexpReplaceDerivation("v", "t.s", pattern, replacement)
+    expected = TEXTS["t__s"].astype("string").str.replace(pattern, replacement, regex=True)
+    assert derived(frames["texts"], step) == [None if pd.isna(v) else v for v in expected]
+
+
+def test_regexp_replace_renders_numbers_first(frames):
+    step = RegexpReplaceDerivation("v", "t.x", r"\.", ",")
+    assert derived(frames["numbers"], step) == ["1,5", None, "-2,5", "0,0", "2,675", "1e+17", "0,5"]
+    with pytest.raises(TransformError):
+        derived(frames["texts"], RegexpReplaceDerivation("v", "t.s", "(", ""))
+    with pytest.raises(TransformError):
+        derived(frames["texts"], RegexpReplaceDerivation("v", "t.none", "a", ""))
+
+
+def case(*branches, otherwise=None):
+    return CaseDerivation(
+        "v", tuple(CaseBranch(Predicate(left, op, right, "literal"), then) for left, op, right, then in branches), otherwise
+    )
+
+
+def test_case_first_match_wins(frames):
+    step = case(("t.i", ">", 4, "big"), ("t.i", ">", 1, "medium"), otherwise="small")
+    assert derived(frames["numbers"], step) == ["small"] * 3 + ["medium", "big", "big", "medium"]
+
+
+def test_case_results(frames):
+    numbers = frames["numbers"]
+    assert derived(numbers, case(("t.i", ">", 4, "t.j"))) == [None] * 4 + [1, 3, None]
+    assert derived(numbers, case(("t.i", ">", 4, "t.j * 10"), otherwise=0)) == [0] * 4 + [10, 30, 0]
+    assert derived(numbers, case(("t.i", ">", 4, 1.5), otherwise=2)) == [2.0] * 4 + [1.5, 1.5, 2.0]
+    assert derived(numbers, case(("t.x", "!=", 1.5, True), otherwise=False))[:2] == [False, True]
+    assert derived(numbers, case(("t.i", ">", 4, "N/A"), otherwise="not-set (yet)"))[3:5] == ["not-set (yet)", "N/A"]
+    assert derived(numbers, case(("t.i", ">", 4, "'N/A'"), otherwise="example.com"))[3:5] == ["example.com", "N/A"]
+    assert derived(numbers, case(("t.i", ">", 4, None))) == [None] * 7
+
+
+def test_case_errors(frames):
+    for step in (
+        case(("t.i", ">", 4, "text"), otherwise=1),
+        case(("t.i", ">", 4, "t.missing")),
+        case(("t.i", ">", 4, "t.i + missing")),
+        case(("t.none", ">", 4, 1)),
+    ):
+        with pytest.raises(TransformError) as caught:
+            derived(frames["numbers"], step)
+        assert caught.value.gate == "G2"
