@@ -17,7 +17,6 @@ WHITESPACE = (
 )
 # Regex characters a LIKE pattern takes literally.
 _LIKE_LITERALS = set("\\.^$*+?{}[]|()")
-_TIME_LAYOUTS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSS", "yyyy-MM-dd HH:mm:ss.SSSSSS")
 
 
 def as_text(frame: DataFrame, value: Value) -> Column:
@@ -60,18 +59,22 @@ def time_text(frame: DataFrame, moment: Column) -> Column:
     Dates alone when every value is midnight, else seconds, milliseconds or
     microseconds: one distributed aggregate finds the finest unit in use.
     """
-    micros = F.date_format(moment, "SSSSSS").cast("int")
+    # Cut from the printed form: date_format would go through the session's time zone.
+    text = moment.cast("string")
+    micros = F.rpad(F.substring(text, 21, 6), 6, "0")
     unit = (
-        F.when(micros % 1000 != 0, 3)
-        .when(micros != 0, 2)
-        .when(F.date_format(moment, "HHmmss") != "000000", 1)
+        F.when(F.substring(micros, 4, 3) != "000", 3)
+        .when(micros != "000000", 2)
+        .when(F.substring(text, 12, 8) != "00:00:00", 1)
         .otherwise(0)
     )
     finest = frame.select(unit.alias("unit")).agg(F.max("unit").alias("unit")).scalar()
-    text = F.lit(None).cast("string")
-    for level, layout in enumerate(_TIME_LAYOUTS):
-        text = F.when(finest == level, F.date_format(moment, layout)).otherwise(text)
-    return text
+    seconds = F.substring(text, 1, 19)
+    return (
+        F.when(finest == 0, F.substring(text, 1, 10))
+        .when(finest == 1, seconds)
+        .otherwise(F.concat(seconds, F.lit("."), F.when(finest == 2, F.left(micros, F.lit(3))).otherwise(micros)))
+    )
 
 
 def like_pattern(pattern: str) -> str:

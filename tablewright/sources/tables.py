@@ -7,16 +7,20 @@ has too many fields. A declared schema spares the type search.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field as attribute
+import codecs
+import re
+from dataclasses import dataclass
+from dataclasses import field as attribute
 from typing import TYPE_CHECKING
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.errors import FileGuardError
 from tablewright.functions.casts import read_bigint, read_double
+from tablewright.functions.text import WHITESPACE
 from tablewright.names import field, prefix_source_columns
 from tablewright.sources import storage
 
@@ -30,6 +34,15 @@ NULL_TOKENS = (
 )
 FORMATS = ("CSV", "PARQUET")
 _MALFORMED = "__malformed"
+# Python encodings that Spark calls otherwise.
+_CHARSETS = {
+    "ascii": "us-ascii",
+    "iso8859-1": "iso-8859-1",
+    "utf-8-sig": "utf-8",
+    "utf-16-le": "utf-16le",
+    "utf-16-be": "utf-16be",
+}
+_DIGITS = r"^\s*[+-]?\d+\s*$"
 _MEGABYTE = 1024 * 1024
 
 
@@ -86,7 +99,7 @@ def read_table(spark: SparkSession, path: str, options: FileOptions, schema: str
         if kind == "PARQUET":
             return plain_types(spark.read.parquet(path))
         return read_delimited(spark, path, options, schema)
-    except AnalysisException as problem:
+    except (AnalysisException, IllegalArgumentException) as problem:
         raise FileGuardError(f"Source cannot be read: {path}: {problem}") from problem
 
 
@@ -132,11 +145,20 @@ def dialect(options: FileOptions) -> dict[str, object]:
         "sep": options.delimiter,
         "quote": options.quote_char,
         "escape": options.quote_char,
-        "encoding": options.encoding,
+        "encoding": _charset(options.encoding),
         "header": options.header_row,
     }
 
 
+def _charset(encoding: str) -> str:
+    """Python's name of an encoding as Spark knows it."""
+    try:
+        name = codecs.lookup(encoding).name
+    except LookupError:
+        return encoding
+    return _CHARSETS.get(name, name)
+
+
 def read_delimited(
     spark: SparkSession, path: str, options: FileOptions, schema: str | None = None
 ) -> DataFrame:
@@ -150,6 +172,8 @@ def read_delimited(
     facts = cells.agg(*_facts(names, settings, infer=types is None)).first()
     if facts["long_rows"]:
         raise FileGuardError(f"{facts['long_rows']} rows have more than {len(names)} fields: {path}")
+    if facts["blank_rows"]:
+        cells = cells.where(_is_row())
     if types is not None:
         declared = [
             field(name).cast(column.dataType).alias(column.name) for name, column in zip(names, types.fields)
@@ -177,6 +201,8 @@ def needs_multi_line(spark: SparkSession, path: str, options: FileOptions) -> bo
     """
     if options.multi_line != "auto":
         return options.multi_line == "always"
+    if _charset(options.encoding).startswith(("utf-16", "utf-32")):
+        return True
     if storage.is_directory(spark, path):
         sizes = [size for _, size in storage.data_files(spark, path)]
     else:
@@ -197,45 +223,49 @@ def _column_names(spark: SparkSession, path: str, settings: dict[str, object], h
     if not header:
         return [str(i) for i in range(len(cells))]
     names = [f"Unnamed: {i}" if cell is None else cell for i, cell in enumerate(cells)]
-    names[0] = names[0].removeprefix("﻿")
+    names[0] = names[0].removeprefix("\ufeff")
     repeated = {name for name in names if names.count(name) > 1}
     if repeated:
         raise FileGuardError(f"Repeated column names {sorted(repeated)}: {path}")
     return names
 
 
+def _is_row() -> Column:
+    """False for lines of white space only."""
+    return field(_MALFORMED).isNull() | (F.btrim(field(_MALFORMED), F.lit(WHITESPACE)) != "")
+
+
 def _cell(name: str) -> Column:
     return F.when(~field(name).isin(*NULL_TOKENS), field(name)).alias(name)
 
 
 def _facts(names: list[str], settings: dict[str, object], infer: bool) -> list[Column]:
     """What one pass has to find out about all columns."""
-    # Only rows already marked are read again, with room for one more field. The fields
-    # are counted too, so that pruning does not change what counts as malformed.
-    wider = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names) + 1)])
-    marked = T.StructType([*wider.fields, T.StructField("bad", T.StringType())])
+    # Only rows already marked are read again, with room for one more field. Empty fields
+    # are filled first, so that the additional one shows even if nothing is in it.
+    marked, sep = field(_MALFORMED), str(settings["sep"])
+    filled = F.regexp_replace(marked, re.escape(sep) + r"(?=" + re.escape(sep) + r"|\s*$)", sep.replace("$", r"\$") + "_")
     again = F.from_csv(
-        field(_MALFORMED),
-        F.lit(", ".join(f"{column.name} STRING" for column in marked.fields)),
-        {
-            **{key: str(settings[key]) for key in ("sep", "quote", "escape")},
-            "columnNameOfCorruptRecord": "bad",
-            "nullValue": "\u0000",
-        },
+        filled,
+        F.lit(", ".join(f"c{i} STRING" for i in range(len(names) + 1))),
+        {key: str(settings[key]) for key in ("sep", "quote", "escape")},
     )
-    # Exactly one field too many reads cleanly; more than that leaves the last one set.
-    too_long = field(_MALFORMED).isNotNull() & (again["bad"].isNull() | again[f"c{len(names)}"].isNotNull())
-    facts = [F.count_if(too_long).alias("long_rows")]
+    facts = [
+        F.count_if(again[f"c{len(names)}"].isNotNull()).alias("long_rows"),
+        F.count_if(~_is_row()).alias("blank_rows"),
+        F.count_if(_is_row()).alias("rows"),
+    ]
     for i, name in enumerate(names):
-        text = field(name)
+        text = F.when(_is_row(), field(name))
         facts.append(F.count(text).alias(f"filled{i}"))
         if infer:
             facts += [
                 F.bool_and(F.when(text.isNotNull(), read_bigint(text).isNotNull())).alias(f"int{i}"),
                 F.bool_and(F.when(text.isNotNull(), read_double(text).isNotNull())).alias(f"float{i}"),
+                F.bool_and(text.rlike(_DIGITS)).alias(f"digits{i}"),
                 F.bool_and(F.when(text.isNotNull(), F.lower(text).isin("true", "false"))).alias(f"bool{i}"),
             ]
-    return [*facts, F.count(F.lit(1)).alias("rows")]
+    return facts
 
 
 def _typed(name: str, i: int, facts) -> Column:
@@ -246,7 +276,8 @@ def _typed(name: str, i: int, facts) -> Column:
         return F.lit(None).cast("double").alias(name)
     if facts[f"int{i}"]:
         return read_bigint(text).alias(name)
-    if facts[f"float{i}"]:
+    # Whole numbers beyond BIGINT would lose digits as DOUBLE, so they stay text.
+    if facts[f"float{i}"] and not facts[f"digits{i}"]:
         return read_double(text).alias(name)
     if facts[f"bool{i}"]:
         return (F.lower(text) == "true").alias(name)
