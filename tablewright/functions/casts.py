@@ -13,15 +13,17 @@ from pyspark.sql import functions as F
 
 from tablewright.errors import TransformError
 from tablewright.functions import times
-from tablewright.functions.text import WHITESPACE, as_text
+from tablewright.functions.text import as_text
 from tablewright.functions.values import BOOL, FLOAT, INT, NULL, TEXT, TIME, Value
 
 STR, INT64, FLOAT64, DATETIME = "str", "int64", "float64", "datetime64[ns]"
 CAST_TYPES = (STR, INT64, FLOAT64, DATETIME)
 CAST_KINDS = {STR: TEXT, INT64: INT, FLOAT64: FLOAT, DATETIME: TIME}
 
-_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-_INFINITY = r"^(?i)[+-]?inf(inity)?$"
+# Matched before any try_cast: a cast that fails costs far more than a pattern that does.
+_DIGITS = r"^\s*[+-]?\d+\s*$"
+_NUMBER = r"^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$"
+_INFINITY = r"^(?i)\s*[+-]?inf(?:inity)?\s*$"
 _INT_LIMIT = float(2**63)
 
 
@@ -64,17 +66,23 @@ def cast(frame: DataFrame, value: Value, cast_to: str, layout: str | None = None
 
 
 def read_double(text: Column) -> Column:
-    """A double from text, NULL unless it is a plain number or an infinity."""
-    trimmed = F.btrim(text, F.lit(WHITESPACE))
-    number = F.when(trimmed.rlike(_NUMBER), trimmed.try_cast("double"))
-    return F.when(trimmed.rlike(_INFINITY), trimmed.try_cast("double")).when(
-        F.abs(number) != float("inf"), number
-    )
+    """A double from text, NULL unless it is a plain number or an infinity.
+
+    Spark alone would also read 1d, 0x1p3 and NaN.
+    """
+    number = F.when(text.rlike(_NUMBER), text.try_cast("double"))
+    infinity = F.when(text.rlike(_INFINITY), F.trim(text).try_cast("double"))
+    return F.when(F.abs(number) != float("inf"), number).otherwise(infinity)
 
 
 def read_bigint(text: Column) -> Column:
     """A BIGINT from text holding digits and a sign only, NULL otherwise."""
-    return F.btrim(text, F.lit(WHITESPACE)).try_cast("bigint")
+    return F.when(only_digits(text), text.try_cast("bigint"))
+
+
+def only_digits(text: Column) -> Column:
+    """Whether text is a whole number, however large."""
+    return text.rlike(_DIGITS)
 
 
 def _to_int(frame: DataFrame, value: Value) -> Cast:
@@ -88,9 +96,11 @@ def _to_int(frame: DataFrame, value: Value) -> Cast:
         fits = (source == F.rint(source)) & (source >= -_INT_LIMIT) & (source < _INT_LIMIT)
         whole = F.when(fits, source.cast("bigint"))
     elif value.kind == TEXT:
-        trimmed = F.btrim(source, F.lit(WHITESPACE))
-        number = F.when(trimmed.rlike(_NUMBER), trimmed.try_cast("decimal(38,18)"))
-        whole = F.when(number == F.floor(number), number).try_cast("bigint")
+        number = F.when(source.rlike(_NUMBER), source.try_cast("decimal(38,18)"))
+        # Digits alone, as most are, need no detour.
+        whole = F.coalesce(
+            read_bigint(source), F.when(number == F.floor(number), number).try_cast("bigint")
+        )
     elif value.kind == TIME:
         raise TransformError("Timestamps cannot become whole numbers", gate="G4", phase="mappings")
     else:

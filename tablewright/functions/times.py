@@ -7,15 +7,18 @@ column never mixes layouts. Which ones fit is found by one distributed aggregate
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_SPLIT = r"^(.*?)(?:[ T](\d{1,2}(?::.*)?))?$"
+_CLOCK = r"[ T]\d{1,2}(?::.*)?$"
 # A layout is a pattern and the ISO text made from its groups. Month before day wins,
 # as in the first two slash layouts. Braces hold a month name.
 _YEAR_FIRST = r"^(\d{4})%s(\d{1,2})%s(\d{1,2})$"
 _YEAR_LAST = r"^(\d{1,2})%s(\d{1,2})%s(\d{4})$"
-_DATES: tuple[tuple[str, str], ...] = (
+Layouts = tuple[tuple[str, str], ...]
+_DATES: Layouts = (
     *((_YEAR_FIRST % (mark, mark), "$1-$2-$3") for mark in ("-", "/", r"\.")),
     (r"^(\d{4})(\d\d)(\d\d)$", "$1-$2-$3"),
     *((_YEAR_LAST % (mark, mark), "$3-$1-$2") for mark in ("/", "-", r"\.")),
@@ -25,7 +28,7 @@ _DATES: tuple[tuple[str, str], ...] = (
     (r"^(\d{4})-(\d{1,2})$", "$1-$2-01"),
     (r"^(\d{4})$", "$1-01-01"),
 )
-_TIMES: tuple[tuple[str, str], ...] = (
+_TIMES: Layouts = (
     (r"^$", "00:00:00"),
     (r"^(\d{1,2}:\d{2}:\d{2})$", "$1"),
     (r"^(\d{1,2}:\d{2})$", "$1:00"),
@@ -47,36 +50,28 @@ def read_guessing(frame: DataFrame, text: Column, name: str) -> tuple[DataFrame,
     so that none is computed twice.
     """
     parts = frame.select(*_split(F.when(_filled(text), text))).where(F.col("day").isNotNull())
-    tried = parts.select(
-        *(_day(F.col("day"), layout).alias(f"day{i}") for i, layout in enumerate(_DATES)),
-        *(_clock(F.col("clock"), layout).alias(f"clock{i}") for i, layout in enumerate(_TIMES)),
-    )
-    fits = tried.agg(*(F.bool_and(F.col(column).isNotNull()).alias(column) for column in tried.columns))
-    # The subquery hands over the patterns themselves, so each row is matched only once.
-    chosen = fits.select(
-        F.struct(_first("day", _DATES).alias("day"), _first("clock", _TIMES).alias("clock"))
-    ).scalar()
-    layout, day, clock, read, moment = (f"{name}_{part}" for part in ("layout", "day", "clock", "read", "moment"))
-    day_text, clock_text = _split(text)
-    frame = frame.withColumns({layout: chosen, day: day_text, clock: clock_text})
-    patterns = {part: F.col(layout)[part]["pattern"] for part in ("day", "clock")}
-    rewritten = {part: F.col(layout)[part]["iso"] for part in ("day", "clock")}
+    # There are only so many days, and seconds in a day: each is tried once. Which digits
+    # a fraction has makes no difference, only how many.
+    fraction = F.regexp_replace(F.substring_index(F.col("clock"), ".", -1), r"\d", "0")
+    rounded = F.concat(F.substring_index(F.col("clock"), ".", 1), F.lit("."), fraction)
+    clocks = parts.select(F.when(F.contains(F.col("clock"), F.lit(".")), rounded).otherwise(F.col("clock")).alias("clock"))
+    chosen = {
+        "day": _fitting(parts.select("day").distinct(), "day", _DATES, _day),
+        "clock": _fitting(clocks.distinct(), "clock", _TIMES, _clock),
+    }
+    layouts, texts, moment = {}, dict(zip(("day", "clock"), _split(text))), f"{name}_moment"
+    for part in ("day", "clock"):
+        layouts[part] = f"{name}_{part}_layout"
+        frame = frame.withColumns({layouts[part]: chosen[part], f"{name}_{part}": texts[part]})
     frame = frame.withColumns(
         {
-            read: F.when(
-                F.rlike(F.col(day), patterns["day"]),
-                F.regexp_replace(F.col(day), patterns["day"], rewritten["day"]),
-            ),
-            clock: F.when(
-                F.rlike(F.col(clock), patterns["clock"]),
-                F.regexp_replace(F.col(clock), patterns["clock"], rewritten["clock"]),
-            ),
+            f"{name}_{part}": _rewritten(F.col(f"{name}_{part}"), F.col(layouts[part]))
+            for part in ("day", "clock")
         }
     )
-    numbered = F.when(F.contains(F.col(read), F.lit("{")), _number_month(F.col(read))).otherwise(F.col(read))
-    frame = frame.withColumn(
-        moment, F.concat(numbered, F.lit(" "), F.col(clock)).try_cast("timestamp_ntz")
-    )
+    day, clock = F.col(f"{name}_day"), F.col(f"{name}_clock")
+    numbered = F.when(F.contains(day, F.lit("{")), _number_month(day)).otherwise(day)
+    frame = frame.withColumn(moment, F.concat(numbered, F.lit(" "), clock).try_cast("timestamp_ntz"))
     return frame, F.when(_filled(text), in_range(F.col(moment)))
 
 
@@ -112,20 +107,29 @@ def _filled(text: Column) -> Column:
 
 def _split(text: Column) -> tuple[Column, Column]:
     """The date and the time of day in a text."""
-    return (
-        F.regexp_extract(text, _SPLIT, 1).alias("day"),
-        F.regexp_extract(text, _SPLIT, 2).alias("clock"),
-    )
+    day = F.regexp_replace(text, _CLOCK, "")
+    return day.alias("day"), F.substring(text, F.length(day) + 2, F.length(text)).alias("clock")
 
 
-def _first(part: str, layouts: tuple[tuple[str, str], ...]) -> Column:
-    """The first layout that fits every value."""
-    return F.coalesce(
+def _fitting(texts: DataFrame, part: str, layouts: Layouts, read: Callable[..., Column]) -> Column:
+    """The first layout that fits every text, as a subquery.
+
+    It hands over the pattern itself, so that each row is matched only once.
+    """
+    tried = texts.select(*(read(F.col(part), layout).alias(f"fits{i}") for i, layout in enumerate(layouts)))
+    fits = tried.agg(*(F.bool_and(F.col(name).isNotNull()).alias(name) for name in tried.columns))
+    first = F.coalesce(
         *(
-            F.when(F.col(f"{part}{i}"), F.struct(F.lit(pattern).alias("pattern"), F.lit(iso).alias("iso")))
+            F.when(F.col(f"fits{i}"), F.struct(F.lit(pattern).alias("pattern"), F.lit(iso).alias("iso")))
             for i, (pattern, iso) in enumerate(layouts)
         )
     )
+    return fits.select(first).scalar()
+
+
+def _rewritten(text: Column, layout: Column) -> Column:
+    """Text in its layout as ISO text. The layout is known to fit, so it is not matched again."""
+    return F.regexp_replace(text, layout["pattern"], layout["iso"])
 
 
 def _number_month(read: Column) -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.errors import FileGuardError
-from tablewright.functions.casts import read_bigint, read_double
+from tablewright.functions.casts import only_digits, read_bigint, read_double
 from tablewright.functions.text import WHITESPACE
 from tablewright.names import field, prefix_source_columns
 from tablewright.sources import storage
@@ -42,7 +42,6 @@ _CHARSETS = {
     "utf-16-le": "utf-16le",
     "utf-16-be": "utf-16be",
 }
-_DIGITS = r"^\s*[+-]?\d+\s*$"
 _MEGABYTE = 1024 * 1024
 
 
@@ -262,7 +261,7 @@ def _facts(names: list[str], settings: dict[str, object], infer: bool) -> list[C
             facts += [
                 F.bool_and(F.when(text.isNotNull(), read_bigint(text).isNotNull())).alias(f"int{i}"),
                 F.bool_and(F.when(text.isNotNull(), read_double(text).isNotNull())).alias(f"float{i}"),
-                F.bool_and(text.rlike(_DIGITS)).alias(f"digits{i}"),
+                F.bool_and(only_digits(text)).alias(f"digits{i}"),
                 F.bool_and(F.when(text.isNotNull(), F.lower(text).isin("true", "false"))).alias(f"bool{i}"),
             ]
     return facts

@@ -54,11 +54,9 @@ def test_doubles_print_as_python_prints_them(spark):
     frame = spark.createDataFrame([(v,) for v in values], "v double")
     rows = frame.select("v", double_text(F.col("v")).alias("text")).collect()
     wrong = [(row["v"], row["text"]) for row in rows if repr(row["v"]) != row["text"]]
-    # Java 17 gives some doubles one digit more than needed; they still read back the same.
-    assert len(wrong) < len(rows) / 20
-    assert all(float(text) == value for value, text in wrong)
-    assert all(len(text) - len(repr(value)) <= 2 for value, text in wrong)
-    assert not [v for v, _ in wrong if v == round(v, 6) and abs(v) < 1e9]
+    # Some Java versions give a few doubles one digit more than needed, subnormal ones above all.
+    assert all(float(text) == value and len(text) - len(repr(value)) <= 2 for value, text in wrong)
+    assert not [v for v, _ in wrong if 1e-300 < abs(v) < 1e16]
 
 
 @pytest.mark.parametrize(
