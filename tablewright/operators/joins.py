@@ -10,8 +10,7 @@ split the other side, nor any side of a full outer join. There, keys that are ho
 are split here: their rows are dealt out over as many parts as their count asks for,
 and the rows they may meet on the other side are repeated once per part. A repeated
 row that meets nothing in its part has its partners in another one, so that lone
-copy is dropped. The hot keys are found first: at most ``1 / _SUPPORT`` of them can
-exist, whatever the size of the table.
+copy is dropped. The hot keys are found first, by one count over the key columns.
 
 Missing keys. Spark joins on ``k <=> k`` by two derived columns, which hides how a
 table is bucketed or sorted. If the joined table turns out to have no missing key,
@@ -39,7 +38,7 @@ if TYPE_CHECKING:
 HOW = {"LEFT": "left", "INNER": "inner", "RIGHT": "right", "OUTER": "full"}
 # Sides adaptive execution cannot split, by join type.
 _UNSPLIT = {"left": ("right",), "inner": (), "right": ("left",), "full": ("left", "right")}
-_SUPPORT = 0.001
+_MOST_HOT_KEYS = 1000
 ROWS_PER_PART = 1_000_000
 
 
@@ -214,26 +213,17 @@ def _split_join(
 def hot_keys(frame: DataFrame, key_names: list[str], rows_per_part: int) -> DataFrame | None:
     """Keys with more than ``rows_per_part`` rows and the parts they need, or None.
 
-    Two narrow passes over the key columns, neither of which shuffles them: Spark's
-    frequent-item sketch proposes at most ``1 / _SUPPORT`` keys and misses none above
-    that share; counting them exactly weeds out the rest. The bounded result is
-    fixed on the driver, so that every later use agrees on it.
+    The key columns alone are counted, each task adding up its own rows first, so a hot
+    key shuffles one row per task. The hottest keys come to the driver, a fixed number
+    at most, and are fixed there, so that every later use agrees on them. A key beyond
+    that number is joined like any other.
     """
-    packed = F.struct(*(field(name).alias(f"key{i}") for i, name in enumerate(key_names)))
-    proposed = (
-        frame.select(packed.alias("key"))
-        .freqItems(["key"], _SUPPORT)
-        .select(F.explode("key_freqItems").alias("key"))
-        .select("key.*")
-    )
-    candidates = frame.sparkSession.createDataFrame(proposed.collect(), proposed.schema)
-    matched = [field(name).eqNullSafe(F.col(f"key{i}")) for i, name in enumerate(key_names)]
     counted = (
-        frame.select(*map(field, key_names))
-        .join(F.broadcast(candidates), reduce(lambda a, b: a & b, matched))
-        .groupBy(*candidates.columns)
+        frame.groupBy(*(field(name).alias(f"key{i}") for i, name in enumerate(key_names)))
         .agg(F.count(F.lit(1)).alias("rows"))
         .where(F.col("rows") > rows_per_part)
+        .orderBy(F.col("rows").desc())
+        .limit(_MOST_HOT_KEYS)
         .withColumn("parts", F.ceil(F.col("rows") / rows_per_part).cast("int"))
         .drop("rows")
     )

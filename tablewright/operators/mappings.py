@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import TYPE_CHECKING
 
@@ -62,7 +62,13 @@ class MappedTable:
         return (self.staged if staged is None else staged).select(*map(field, self.columns))
 
 
-def apply_mappings(frame: DataFrame, mappings: Sequence[Mapping]) -> MappedTable:
+def apply_mappings(
+    frame: DataFrame,
+    mappings: Sequence[Mapping],
+    settle: Callable[[DataFrame], DataFrame] | None = None,
+) -> MappedTable:
+    """Map a table. Where a cast has to look at its whole column first, ``settle`` may
+    store the mapped sources, so that what leads up to them runs only once."""
     if not mappings:
         raise TransformError("At least one mapping is needed", phase=_PHASE)
     # Sources first, casts on top of them, so that a cast and its check share their work.
@@ -72,6 +78,8 @@ def apply_mappings(frame: DataFrame, mappings: Sequence[Mapping]) -> MappedTable
         values.append(_with_default(frame, value, mapping.default_value))
     names = [f"__source{i}" for i in range(len(mappings))]
     sources = frame.select(*(_typed(value).alias(name) for value, name in zip(values, names)))
+    if settle and any(map(_looks_around, values, mappings)):
+        sources = settle(sources)
     outputs, kept, checks = [], [], []
     for mapping, value, name in zip(mappings, values, names):
         column = field(mapping.target_column)
@@ -98,6 +106,13 @@ def apply_mappings(frame: DataFrame, mappings: Sequence[Mapping]) -> MappedTable
     return MappedTable(sources.select(*outputs, *kept), tuple(checks))
 
 
+def _looks_around(value: Value, mapping: Mapping) -> bool:
+    """Whether a cast depends on other rows: the layout of a column's timestamps."""
+    if mapping.cast_to == casts.DATETIME:
+        return value.kind == TEXT and mapping.datetime_format is None
+    return value.kind == TIME and mapping.cast_to == casts.STR
+
+
 def _source(frame: DataFrame, mapping: Mapping) -> tuple[DataFrame, Value]:
     if mapping.source_type == "EXPRESSION":
         frame, outcome = evaluate(frame, mapping.source_value, phase=_PHASE)

@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tablewright.sources.storage import ensure_checkpoint_dir
+
 AUDIT_SCHEMA = (
     "migration_id string, client_id string, blueprint_id string, gate string, position int, "
     "step string, rows_before bigint, rows_after bigint"
@@ -26,6 +28,10 @@ class Watch:
         """The frame, with its rows counted under the name of a step."""
         return frame
 
+    def settle(self, frame: DataFrame) -> DataFrame:
+        """The frame, stored if this is a run and not just a plan."""
+        return frame
+
 
 @dataclass
 class Step:
@@ -43,6 +49,10 @@ class CountingWatch(Watch):
         self.steps.append(Step(step, gate, observation))
         return frame.observe(observation, F.count(F.lit(1)).alias("rows"))
 
+    def settle(self, frame: DataFrame) -> DataFrame:
+        ensure_checkpoint_dir(frame.sparkSession)
+        return frame.checkpoint()
+
     def counts(self) -> list[tuple[str, str, int | None]]:
         """Step, gate and rows. None where the plan never got to the step."""
         return [(step.name, step.gate, step.observation.get.get("rows")) for step in self.steps]

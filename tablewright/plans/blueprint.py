@@ -59,7 +59,8 @@ def plan_blueprint(blueprint: Blueprint, sources: SourceTables, watch: Watch | N
             working = apply_join(working, other, join.join_type, list(join.conditions))
             working = watch.rows(f"join {join.table.alias}", working)
         working = apply_derivations(working, blueprint.derivations)
-        mapped = apply_mappings(working, blueprint.mappings)
+        # Without joins, reading a column again is cheaper than storing the table.
+        mapped = apply_mappings(working, blueprint.mappings, watch.settle if blueprint.joins else None)
         return BlueprintPlan(blueprint, root, mapped, _post_filtered(blueprint, mapped.target()))
     except TablewrightError as error:
         raise error.within(blueprint.blueprint_id, sources.pipeline.migration_id) from error.__cause__

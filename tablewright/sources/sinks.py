@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tablewright.errors import FileGuardError, TablewrightError, WriteVerificationError
 from tablewright.functions.text import as_text
-from tablewright.functions.values import column_value
+from tablewright.functions.values import TIME, column_value
 from tablewright.names import field
 from tablewright.sources import storage
 from tablewright.sources.tables import check_format, dialect, needs_multi_line, read_raw
@@ -47,6 +47,12 @@ def write_table(frame: DataFrame, path: str, options: FileOptions) -> None:
     _write_text(rendered(frame), path, options)
 
 
+def renders_in_two_steps(frame: DataFrame, options: FileOptions) -> bool:
+    """Whether rendering needs to know a whole column first: timestamps written as text."""
+    timestamps = any(column_value(frame, name).kind == TIME for name in frame.columns)
+    return timestamps and check_format(options.format) == "CSV"
+
+
 def rendered(frame: DataFrame) -> DataFrame:
     """The table as it prints, field by field."""
     only = len(frame.columns) == 1

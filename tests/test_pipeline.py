@@ -235,3 +235,34 @@ def test_aggregates_in_post_filters_see_the_mapped_table(spark, folder):
     result = tablewright.run(spark, settings)
     assert result.results[0].row_count == 1
     assert written(folder / "output" / "employees_contact.csv")[1] == [["3"]]
+
+
+def test_columns_that_have_to_be_looked_through_first(spark, tmp_path):
+    """Dates read from text and written as text, after a join that runs only once."""
+    samples.write_inputs(tmp_path, sales_orders=samples.SALES_ORDERS, regions=samples.REGIONS)
+    settings = config(
+        tmp_path,
+        blueprint(
+            "bp",
+            "sales_orders.csv",
+            "ord",
+            "out.csv",
+            [
+                direct("id", "ord.order_id", "int64", nullable=False),
+                direct("ordered", "ord.order_date", "datetime64[ns]", nullable=False),
+                direct("country", "reg.country"),
+            ],
+            joins=[join("INNER", "regions.csv", "reg", [predicate("ord.region_code", "==", "reg.region_code", "column")])],
+            post_filters=[{"type": "expression", "value": "ordered.dt.month >= 2"}],
+        ),
+    )
+    result = tablewright.run(spark, settings)
+    assert written(tmp_path / "output" / "out.csv")[1] == [
+        ["1002", "2024-02-01", "USA"],
+        ["1003", "2024-02-10", "EU"],
+        ["1004", "2024-03-01", "USA"],
+        ["1005", "2024-03-15", "SG"],
+    ]
+    assert outputs(tmp_path) == ["out.csv"]
+    audit = [(row["step"], row["rows_after"]) for row in result.audit(spark).orderBy("position").collect()]
+    assert audit == [("pre_filters", 6), ("join reg", 5), ("mappings", 5), ("post_filters", 4)]
