@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.errors import FileGuardError
+from tablewright.errors import ConfigValidationError, FileGuardError
 from tablewright.functions.casts import only_digits, read_bigint, read_double
 from tablewright.functions.text import WHITESPACE
 from tablewright.names import field, prefix_source_columns
@@ -104,7 +104,7 @@ def read_table(spark: SparkSession, path: str, options: FileOptions, schema: str
 
 def check_format(name: str) -> str:
     if name.upper() not in FORMATS:
-        raise FileGuardError(f"Unsupported file format: {name}", gate="G0")
+        raise ConfigValidationError(f"Unsupported file format: {name}")
     return name.upper()
 
 

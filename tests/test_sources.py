@@ -7,7 +7,7 @@ import io
 import pandas as pd
 import pytest
 
-from tablewright.errors import FileGuardError
+from tablewright.errors import ConfigValidationError, FileGuardError
 from tablewright.sources import tables
 from tablewright.sources.tables import SourceTables, needs_multi_line, plain_types, prefix_columns, read_table
 from tablewright.spec import FileOptions, load
@@ -112,7 +112,7 @@ def test_guards(spark, tmp_path):
     with pytest.raises(FileGuardError):
         read(spark, tmp_path, big, max_file_size_mb=1)
     assert read(spark, tmp_path, big, max_file_size_mb=3).count() == 1
-    with pytest.raises(FileGuardError) as caught:
+    with pytest.raises(ConfigValidationError) as caught:
         read(spark, tmp_path, "a\n1\n", format="XLSX")
     assert caught.value.gate == "G0"
     assert rows(read(spark, tmp_path, "a\n1\n", format="csv")) == [(1,)]
