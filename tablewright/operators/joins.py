@@ -58,11 +58,14 @@ def apply_join(
     conditions: list[Condition],
     *,
     rows_per_part: int | None = None,
+    probe: DataFrame | None = None,
 ) -> DataFrame:
     """Join two tables with distinct column names.
 
     ``rows_per_part`` forces the search for hot keys and sets how many rows of one key
     stay together; unset, keys are searched where a side is too large to broadcast.
+    ``probe`` stands in for the right table where a look at a few rows is enough, so
+    that a table whose rows are being counted is read in whole or not at all.
     """
     if join_type.upper() not in HOW:
         raise TransformError(f"Unsupported join type: {join_type}", phase="joins")
@@ -70,9 +73,11 @@ def apply_join(
     keys = find_keys(left, right, conditions)
     frames = {"left": left, "right": right}
     unsplit = [side for side in _UNSPLIT[how] if rows_per_part or _is_large(frames[side])]
+    shuffles = bool(unsplit) or _is_large(right)
+    null_safe = not shuffles or _has_missing_keys(right if probe is None else probe, keys.right)
     if unsplit:
-        joined = _split_join(left, right, keys, how, unsplit, rows_per_part or ROWS_PER_PART)
-    elif _is_large(right) and not _has_missing_keys(right, keys.right):
+        joined = _split_join(left, right, keys, how, unsplit, rows_per_part or ROWS_PER_PART, null_safe)
+    elif not null_safe:
         joined = left.join(right, _same(zip(_columns(keys.left), _columns(keys.right))), how)
     else:
         joined = left.join(right, _equal(zip(_clean(keys.left), _clean(keys.right))), how)
@@ -178,6 +183,7 @@ def _split_join(
     how: str,
     unsplit: list[str],
     rows_per_part: int,
+    null_safe: bool,
 ) -> DataFrame:
     columns = left.columns + right.columns
     key_names = [f"key{i}" for i in range(len(keys.left))]
@@ -187,7 +193,7 @@ def _split_join(
             {_own(side, name): column for name, column in zip(key_names, _clean(values))}
         )
     pairs = [(field(_own("left", name)), field(_own("right", name))) for name in key_names]
-    match = _equal if _has_missing_keys(right, keys.right) else _same
+    match = _equal if null_safe else _same
     found = {
         side: hot_keys(frames[side], [_own(side, name) for name in key_names], rows_per_part)
         for side in unsplit

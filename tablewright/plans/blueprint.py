@@ -53,10 +53,11 @@ def plan_blueprint(blueprint: Blueprint, sources: SourceTables, watch: Watch | N
         working = watch.rows("pre_filters", working)
         for join in blueprint.joins:
             other = prefix_columns(sources.read(join.table), join.table.alias)
+            counted = other
             if join.pre_filters:
                 other = apply_filters(other, join.pre_filters, phase="pre_filters")
-                other = watch.rows(f"pre_filters {join.table.alias}", other)
-            working = apply_join(working, other, join.join_type, list(join.conditions))
+                counted = watch.rows(f"pre_filters {join.table.alias}", other)
+            working = apply_join(working, counted, join.join_type, list(join.conditions), probe=other)
             working = watch.rows(f"join {join.table.alias}", working)
         working = apply_derivations(working, blueprint.derivations)
         # Without joins, reading a column again is cheaper than storing the table.

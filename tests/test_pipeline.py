@@ -6,6 +6,7 @@ import pytest
 
 import tablewright
 from tablewright.errors import ConfigValidationError, FileGuardError, TransformError, WriteVerificationError
+from tablewright.operators import joins
 from tests import samples
 from tests.samples import blueprint, config, direct, join, mapping, predicate
 from tests.test_golden import written
@@ -266,3 +267,27 @@ def test_columns_that_have_to_be_looked_through_first(spark, tmp_path):
     assert outputs(tmp_path) == ["out.csv"]
     audit = [(row["step"], row["rows_after"]) for row in result.audit(spark).orderBy("position").collect()]
     assert audit == [("pre_filters", 6), ("join reg", 5), ("mappings", 5), ("post_filters", 4)]
+
+
+@pytest.mark.parametrize("kind", ["LEFT", "INNER", "RIGHT", "OUTER"])
+def test_large_joins_count_the_same_rows(spark, folder, monkeypatch, kind):
+    """Looking for hot and missing keys leaves the audit alone."""
+    monkeypatch.setattr(joins, "_is_large", lambda frame: True)
+    monkeypatch.setattr(joins, "ROWS_PER_PART", 1)
+    settings = samples.employees_config(folder)
+    settings["blueprints"] = settings["blueprints"][1:]
+    only = settings["blueprints"][0]
+    only["sources"]["joins"][0] |= {"join_type": kind, "pre_filters": [predicate("dept.name", "!=", "Sales")]}
+    for one in only["mappings"]:
+        one["is_nullable"] = True
+    rows = 3 if kind in ("LEFT", "OUTER") else 2
+    result = tablewright.run(spark, settings)
+    assert result.results[0].row_count == rows
+    audit = [(row["step"], row["rows_after"]) for row in result.audit(spark).orderBy("position").collect()]
+    assert audit == [
+        ("pre_filters", 3),
+        ("pre_filters dept", 2),
+        ("join dept", rows),
+        ("mappings", rows),
+        ("post_filters", rows),
+    ]
