@@ -160,7 +160,11 @@ for _name, _condition, _where in (
     )
 for _name, _condition, _where in (
     ("in", pred("o.o_orderstatus", "IN", ["F", "P"]), "o_orderstatus IN ('F', 'P')"),
-    ("not_in", pred("o.o_orderpriority", "NOT IN", ["1-URGENT", "2-HIGH"]), "o_orderpriority NOT IN ('1-URGENT', '2-HIGH')"),
+    (
+        "not_in",
+        pred("o.o_orderpriority", "NOT IN", ["1-URGENT", "2-HIGH"]),
+        "o_orderpriority NOT IN ('1-URGENT', '2-HIGH')",
+    ),
     ("in_numbers", pred("o.o_custkey", "IN", [1, 2, 3, 5, 8, 13.0, 21.5, "34"]), "o_custkey IN (1, 2, 3, 5, 8, 13)"),
     ("family_mismatch_eq", pred("o.o_custkey", "==", "1"), "FALSE"),
     ("family_mismatch_ne", pred("o.o_custkey", "!=", "1"), "TRUE"),

@@ -24,7 +24,6 @@ from tablewright.functions.compare import between, compare, is_in, is_missing
 from tablewright.functions.text import WHITESPACE, java_pattern, regexp_replace
 from tablewright.functions.values import (
     BOOL,
-    FLOAT,
     INT,
     NULL,
     TEXT,

@@ -6,17 +6,19 @@ from pyspark.sql import SparkSession
 
 
 def build_session(master: str | None = None, **settings: str) -> SparkSession:
-    """Adaptive execution on, UTC, no call-site capture per column, and whatever else is given.
+    """Adaptive execution on, UTC, exact column names, no call-site capture per column.
 
     Generated methods beyond 8000 bytes are split instead: the JVM would only interpret
-    them, which wide mappings with many casts run into. On a cluster, leave ``master`` to spark-submit; partition counts and memory are
-    the cluster's business.
+    them, which wide mappings with many casts run into. Further settings are added to
+    these. On a cluster, leave ``master`` to spark-submit; partition counts and memory
+    are the cluster's business.
     """
     builder = (
         SparkSession.builder.appName("tablewright")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.caseSensitive", "true")
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime
+import random
+import re
 
 import pytest
 
@@ -150,6 +152,76 @@ def test_a_mask_never_answers_unknown(people):
         assert all(row["holds"] is not row["fails"] for row in rows)
 
 
+COLUMNS = {"id": "n", "department_id": "n", "score": "n", "status": "t", "name": "t"}
+
+
+def random_condition(draw, depth):
+    """A condition and what it means for a row, in plain Python."""
+    if depth and draw.random() < 0.6:
+        logic, size = draw.choice(["AND", "OR"]), draw.randrange(1, 4)
+        parts = [random_condition(draw, depth - 1) for _ in range(size)]
+        test = all if logic == "AND" else any
+        return (
+            ConditionGroup(logic, tuple(part for part, _ in parts)),
+            lambda row: test(meaning(row) for _, meaning in parts),
+        )
+    name = draw.choice(sorted(COLUMNS))
+    numeric = COLUMNS[name] == "n"
+    value = draw.choice([1, 2, 3, 10, 20, 1.5] if numeric else ["ACTIVE", "Bob", "Carol", "B", "Z"])
+    reference = f"emp.{name}"
+
+    def cell(row):
+        found = row[f"emp__{name}"]
+        return None if found is None or found != found else found
+
+    kind = draw.randrange(4)
+    if kind == 0:
+        operator = draw.choice(["==", "!=", "<", "<=", ">", ">="])
+        compare = {
+            "==": lambda a: a == value,
+            "<": lambda a: a < value,
+            "<=": lambda a: a <= value,
+            ">": lambda a: a > value,
+            ">=": lambda a: a >= value,
+        }
+        if operator == "!=":
+            return literal(reference, operator, value), lambda row: cell(row) is None or cell(row) != value
+        return literal(reference, operator, value), lambda row: cell(row) is not None and compare[operator](cell(row))
+    if kind == 1:
+        options = [value, draw.choice([None, 2, "ACTIVE"])]
+        wanted = [option for option in options if option is None or isinstance(option, str) != numeric]
+        if draw.random() < 0.5:
+            return literal(reference, "IN", options), lambda row: cell(row) in wanted
+        return literal(reference, "NOT_IN", options), lambda row: cell(row) not in wanted
+    if kind == 2:
+        if draw.random() < 0.5:
+            return literal(reference, "IS_NULL"), lambda row: cell(row) is None
+        return literal(reference, "IS_NOT_NULL"), lambda row: cell(row) is not None
+    pattern = draw.choice(["%o%", "A%", "_", "1%", "%0"])
+    expression = "".join({"%": ".*", "_": "."}.get(c, c) for c in pattern)
+
+    def like(row):
+        return cell(row) is not None and re.match(f"^{expression}$", str(cell(row))) is not None
+
+    if draw.random() < 0.5:
+        return literal(reference, "LIKE", pattern), like
+    return literal(reference, "NOT_LIKE", pattern), lambda row: not like(row)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_conditions(people, seed):
+    draw = random.Random(seed)
+    cases = [random_condition(draw, 3) for _ in range(25)]
+    columns = []
+    for i, (condition, _) in enumerate(cases):
+        mask = condition_mask(people, condition)
+        columns += [as_value(mask).column.alias(f"holds{i}"), as_value(~mask).column.alias(f"fails{i}")]
+    for row in people.select("*", *columns).collect():
+        for i, (condition, meaning) in enumerate(cases):
+            expected = meaning(row.asDict())
+            assert (row[f"holds{i}"], row[f"fails{i}"]) == (expected, not expected), condition
+
+
 def test_timestamps_compare_with_text_literals(spark):
     frame = spark.createDataFrame(
         [(1, datetime.datetime(2024, 1, 1)), (2, datetime.datetime(2024, 6, 1, 12)), (3, None)],

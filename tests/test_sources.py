@@ -8,9 +8,10 @@ import pandas as pd
 import pytest
 
 from tablewright.errors import ConfigValidationError, FileGuardError
+from tablewright.operators.filters import apply_filters
 from tablewright.sources import tables
 from tablewright.sources.tables import SourceTables, needs_multi_line, plain_types, prefix_columns, read_table
-from tablewright.spec import FileOptions, load
+from tablewright.spec import ExpressionFilter, FileOptions, load
 from tests import samples
 
 
@@ -169,3 +170,10 @@ def test_each_source_is_typed_once_and_may_be_kept(spark, tmp_path, monkeypatch)
 def test_supplied_frames_are_brought_to_plain_types(spark):
     frame = spark.sql("SELECT CAST(1.25 AS DECIMAL(5,2)) AS d, TIMESTAMP'2024-01-01 00:00:00' AS t")
     assert dict(plain_types(frame).dtypes) == {"d": "double", "t": "timestamp_ntz"}
+
+
+def test_unusual_column_names(spark, tmp_path):
+    frame = read(spark, tmp_path, "a.b,c d,e`f,Id,id\n1,2,x,3,4\n")
+    assert frame.columns == ["a.b", "c d", "e`f", "Id", "id"] and rows(frame) == [(1, 2, "x", 3, 4)]
+    kept = apply_filters(prefix_columns(frame, "t"), [ExpressionFilter("`t.c d` == 2 and t.Id < t.id")])
+    assert kept.columns == ["t__a.b", "t__c d", "t__e`f", "t__Id", "t__id"] and kept.count() == 1
