@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from typing import Any
 
+from pyspark.errors import (
+    AnalysisException,
+    ArithmeticException,
+    DateTimeException,
+    IllegalArgumentException,
+    NumberFormatException,
+    SparkRuntimeException,
+)
 from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.errors import TablewrightError, TransformError
@@ -18,6 +28,33 @@ from tablewright.sources.tables import SourceTables, prefix_columns
 from tablewright.spec import Blueprint, Pipeline, load
 
 
+# What Spark raises over an expression or a value, as opposed to a lost file or executor.
+_ABOUT_DATA = (
+    AnalysisException,
+    ArithmeticException,
+    DateTimeException,
+    IllegalArgumentException,
+    NumberFormatException,
+    SparkRuntimeException,
+)
+
+
+@contextmanager
+def errors_of(blueprint: Blueprint, pipeline: Pipeline) -> Iterator[None]:
+    """Errors leave with the blueprint they came from; Spark's own become gate G2 errors."""
+    try:
+        yield
+    except TablewrightError as error:
+        raise error.within(blueprint.blueprint_id, pipeline.migration_id) from error.__cause__
+    except _ABOUT_DATA as problem:
+        raise TransformError(
+            str(problem).partition("\n")[0],
+            phase="execution",
+            blueprint_id=blueprint.blueprint_id,
+            migration_id=pipeline.migration_id,
+        ) from problem
+
+
 @dataclass(frozen=True, eq=False)
 class BlueprintPlan:
     """A planned blueprint: its root table, its mapped table and its target table."""
@@ -45,9 +82,13 @@ class BlueprintPlan:
 
 
 def plan_blueprint(blueprint: Blueprint, sources: SourceTables, watch: Watch | None = None) -> BlueprintPlan:
-    """Build the plan of a blueprint. References and types are checked here, without a job."""
+    """Build the plan of a blueprint; references and types are checked on the way.
+
+    Jobs run only where a plan depends on the data: the types of a delimited file, the
+    hot keys of a large join, the order behind a rank.
+    """
     watch = watch or Watch()
-    try:
+    with errors_of(blueprint, sources.pipeline):
         root = prefix_columns(sources.read(blueprint.root), blueprint.root.alias)
         working = apply_filters(root, blueprint.pre_filters, phase="pre_filters")
         working = watch.rows("pre_filters", working)
@@ -63,8 +104,6 @@ def plan_blueprint(blueprint: Blueprint, sources: SourceTables, watch: Watch | N
         # Without joins, reading a column again is cheaper than storing the table.
         mapped = apply_mappings(working, blueprint.mappings, watch.settle if blueprint.joins else None)
         return BlueprintPlan(blueprint, root, mapped, _post_filtered(blueprint, mapped.target()))
-    except TablewrightError as error:
-        raise error.within(blueprint.blueprint_id, sources.pipeline.migration_id) from error.__cause__
 
 
 def _post_filtered(blueprint: Blueprint, table: DataFrame) -> DataFrame:

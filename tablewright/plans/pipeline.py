@@ -10,10 +10,10 @@ from typing import Any
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.errors import FileGuardError, TablewrightError
+from tablewright.errors import FileGuardError
 from tablewright.operators import quality
 from tablewright.plans.audit import CountingWatch, audit_table
-from tablewright.plans.blueprint import plan_blueprint
+from tablewright.plans.blueprint import errors_of, plan_blueprint
 from tablewright.sources import sinks, storage
 from tablewright.sources.tables import SourceTables, check_format, check_source
 from tablewright.spec import Blueprint, FileOptions, Pipeline, load
@@ -98,10 +98,8 @@ def run(
     outcome = RunResult(pipeline.migration_id)
     try:
         for blueprint in pipeline.in_order():
-            try:
+            with errors_of(blueprint, pipeline):
                 result = _run_blueprint(spark, pipeline, blueprint, tables, dry_run, outcome)
-            except TablewrightError as error:
-                raise error.within(blueprint.blueprint_id, pipeline.migration_id) from error.__cause__
             outcome.results.append(result)
     finally:
         tables.release()

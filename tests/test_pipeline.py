@@ -291,3 +291,15 @@ def test_large_joins_count_the_same_rows(spark, folder, monkeypatch, kind):
         ("mappings", rows),
         ("post_filters", rows),
     ]
+
+
+@pytest.mark.parametrize("dry_run", [False, True])
+@pytest.mark.parametrize("expression", ["emp.id * 9223372036854775807", "emp.full_name.astype('int64')"])
+def test_values_an_expression_cannot_handle(spark, folder, expression, dry_run):
+    settings = split_config(folder)
+    settings["blueprints"] = settings["blueprints"][:1]
+    settings["blueprints"][0]["mappings"].append(mapping("x", "EXPRESSION", expression))
+    with pytest.raises(TransformError) as caught:
+        tablewright.run(spark, settings, dry_run=dry_run)
+    assert (caught.value.gate, caught.value.phase, caught.value.blueprint_id) == ("G2", "execution", "contact")
+    assert outputs(folder) == []
