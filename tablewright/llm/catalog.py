@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tablewright.llm import sql
 from tablewright.llm.near_duplicates import near_duplicates
+from tablewright.llm.substring_dedup import removed_words
 from tablewright.llm.quality_rules import RepetitionLimits, quality_verdict, repetition_signals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +30,15 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
 
+@query
+def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = removed_words(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL["op3_substring_dedup"] = sql.SUBSTRING_DEDUP
+
+
 @query
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -53,6 +54,11 @@ class Scratch:
             for path in {file.rpartition("/")[0] for file in frame.inputFiles()}:
                 storage.delete(self.spark, path)
 
+    def release(self) -> None:
+        """Let Spark delete shuffle files that no frame refers to any more."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def _remove(self, path: str) -> None:
         if self.spark.sparkContext._jsc is not None:
             storage.delete(self.spark, path)

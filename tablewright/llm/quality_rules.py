@@ -27,19 +27,18 @@ REPEAT_WINDOW = 3
 class RepetitionLimits:
     """The largest shares of characters a kept text may have in repetitions.
 
-    The defaults are the published ones of the MassiveText quality rules.
+    Published rules start at 0.10 to 0.15 and also limit the number of repeated lines;
+    that rejects sound short texts for one line said twice. With a fifth, the shortest
+    text that is kept may repeat one line of nine words.
     """
 
-    ngrams: Mapping[int, float] = field(
-        default_factory=lambda: {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
-    )
-    lines: float = 0.30
+    ngrams: Mapping[int, float] = field(default_factory=lambda: dict.fromkeys(range(5, 11), 0.20))
     line_chars: float = 0.20
     min_words: int = 50
     repeat_words: float = 0.50
 
 
-_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "line_chars", "dup_line_chars")
+_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_chars", "dup_line_chars")
 
 
 def _signals_type(sizes: tuple[int, ...]) -> T.StructType:
@@ -63,7 +62,6 @@ def quality_verdict(signals: str, limits: RepetitionLimits) -> tuple[Column, Col
     value = lambda x: quoted(signals)[x]
     failed = (value("n_words") < limits.min_words) | (value("n_repeat_words") > limits.repeat_words * value("n_words"))
     repeated = [value(f"dup_{n}gram_chars") > share * value("word_chars") for n, share in sorted(limits.ngrams.items())]
-    repeated.append(value("n_dup_lines") > limits.lines * value("n_lines"))
     repeated.append(value("dup_line_chars") > limits.line_chars * value("line_chars"))
     verdict = ~failed
     for rule in repeated:
@@ -130,7 +128,7 @@ def _characters(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def _lines(texts: list[bytes]) -> dict[str, list[int]]:
-    found: dict[str, list[int]] = {"n_lines": [], "n_dup_lines": [], "line_chars": [], "dup_line_chars": []}
+    found: dict[str, list[int]] = {"n_dup_lines": [], "line_chars": [], "dup_line_chars": []}
     for text in texts:
         lines = [line for line in text.split(b"\n") if line.strip()]
         distinct = set(lines)
@@ -139,7 +137,7 @@ def _lines(texts: list[bytes]) -> dict[str, list[int]]:
             sizes = {line: len(line.decode("utf-8", "replace")) for line in distinct}
             total = sum(sizes[line] for line in lines)
             repeated = total - sum(sizes.values())
-        for key, value in zip(found, (len(lines), len(lines) - len(distinct), total, repeated), strict=True):
+        for key, value in zip(found, (len(lines) - len(distinct), total, repeated), strict=True):
             found[key].append(value)
     return found
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-_NGRAM_SHARES = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
+_NGRAM_SHARES = dict.fromkeys(range(5, 11), 0.2)
 _LONGEST = max(_NGRAM_SHARES)
 
 
@@ -39,7 +39,7 @@ words AS (
          {", ".join(f"sum(c{n} * length(w0)) AS chars{n}" for n in _NGRAM_SHARES)}
   FROM inside GROUP BY doc_id),
 lines AS (
-  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines, sum(length(line)) AS line_chars,
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, sum(length(line)) AS line_chars,
          coalesce(sum(length(line)) FILTER (nth > 1), 0) AS dup_chars
   FROM (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line) AS nth
         FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w)
@@ -49,13 +49,35 @@ base AS (
   SELECT w.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
          coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
-         coalesce(n_lines, 0) AS n_lines, coalesce(line_chars, 0) AS line_chars, coalesce(dup_chars, 0) AS dup_chars,
+         coalesce(line_chars, 0) AS line_chars, coalesce(dup_chars, 0) AS dup_chars,
          {", ".join(f"coalesce(chars{n}, 0) AS chars{n}" for n in _NGRAM_SHARES)}
   FROM w LEFT JOIN words USING (doc_id) LEFT JOIN lines USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words
             {" ".join(f"OR chars{n} > {share} * word_chars" for n, share in _NGRAM_SHARES.items())}
-            OR n_dup_lines > 0.3 * n_lines OR dup_chars > 0.2 * line_chars) AS kept
+            OR dup_chars > 0.2 * line_chars) AS kept
 FROM base
 """
+
+
+_LEADS = ", ".join(f"lead(word, {k}) OVER later" for k in range(1, 50))
+SUBSTRING_DEDUP = f"""
+WITH tok AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS i
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents)),
+wide AS (
+  SELECT doc_id, i, word, CASE WHEN lead(word, 49) OVER later IS NOT NULL THEN md5(concat_ws(' ', word, {_LEADS})) END AS w
+  FROM tok WINDOW later AS (PARTITION BY doc_id ORDER BY i)),
+known AS (SELECT doc_id, i, word, (w IS NOT NULL AND doc_id > min(doc_id) OVER (PARTITION BY w))::INT AS again FROM wide),
+inside AS (
+  SELECT doc_id, i, word, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone
+  FROM known),
+done AS (
+  SELECT doc_id, count(*) AS n_words, sum(gone)::BIGINT AS n_removed,
+         coalesce(string_agg(word, ' ' ORDER BY i) FILTER (gone = 0), '') AS kept
+  FROM inside GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN done USING (doc_id)
+"""
