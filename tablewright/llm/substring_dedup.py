@@ -103,18 +103,18 @@ def drop_repeats(docs: DataFrame, identity: str = "doc_id", text: str = "text",
     marked = with_spans(docs, name, identity, text)
     shortened = fresh_name(marked, "shortened")
     kind = T.StructType([*docs.schema.fields, T.StructField(shortened, T.BinaryType())])
-    at = docs.columns.index(text)
+    width, names = len(docs.columns), kind.names
     sent = marked.withColumn(shortened, F.when(quoted(name).isNotNull(), utf8(quoted(text))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, texts = batch.column(len(docs.columns)).to_pylist(), batch.column(len(docs.columns) + 1)
-            new = [_cut(x, s) if s else None for x, s in zip(texts.to_pylist(), spans, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(docs.columns)], pa.array(new, pa.binary())], names=kind.names)
+            spans, texts = batch.column(width).to_pylist(), batch.column(width + 1).to_pylist()
+            new = [_cut(x, s) if s else None for x, s in zip(texts, spans, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(new, pa.binary())], names=names)
 
     cut = sent.mapInArrow(run, kind)
     new = quoted(shortened).cast("string")
-    changed = {text: F.when(quoted(shortened).isNotNull(), new).otherwise(quoted(docs.columns[at]))}
+    changed = {text: F.when(quoted(shortened).isNotNull(), new).otherwise(quoted(text))}
     if size in docs.columns:
         kept = docs.schema[size].dataType
         changed[size] = F.when(quoted(shortened).isNotNull(), F.length(new).cast(kept)).otherwise(quoted(size))
