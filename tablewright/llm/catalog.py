@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from tablewright.llm import sql
 from tablewright.llm.near_duplicates import near_duplicates
-from tablewright.llm.substring_dedup import removed_words
+from tablewright.llm.packing import pack_documents
+from tablewright.llm.places import importable
 from tablewright.llm.quality_rules import RepetitionLimits, quality_verdict, repetition_signals
+from tablewright.llm.substring_dedup import removed_words
+from tablewright.llm.token_counts import count_document_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -21,8 +24,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[build.__name__] = build
-    return build
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        importable(spark)
+        return build(spark, folder)
+
+    QUERIES[build.__name__] = run
+    return run
 
 
 @query
@@ -30,6 +37,12 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
 
+@query
+def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    packed = pack_documents(table(spark, folder, "documents"))
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 @query
 def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = removed_words(table(spark, folder, "documents"))
@@ -39,6 +52,11 @@ def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 SQL["op3_substring_dedup"] = sql.SUBSTRING_DEDUP
 
 
+@query
+def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return count_document_tokens(table(spark, folder, "documents"))
+
+
 @query
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import gc
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,15 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir() or folder
 
 
+def importable(spark: SparkSession) -> None:
+    """Workers that share this file system import this package from where the driver has it."""
+    root = str(Path(__file__).resolve().parents[2])
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive lost executors.
 
