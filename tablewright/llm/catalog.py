@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm import sql
+from tablewright.llm.decontamination import contaminations
 from tablewright.llm.near_duplicates import near_duplicates
 from tablewright.llm.packing import pack_documents
 from tablewright.llm.places import importable
@@ -52,6 +53,12 @@ def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 SQL["op3_substring_dedup"] = sql.SUBSTRING_DEDUP
 
 
+@query
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = contaminations(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.drop("key")
+
+
 @query
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_document_tokens(table(spark, folder, "documents"))
