@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tablewright.llm import sql
 from tablewright.llm.decontamination import contaminations
+from tablewright.llm.licenses import scan_licenses
 from tablewright.llm.near_duplicates import near_duplicates
 from tablewright.llm.packing import pack_documents
 from tablewright.llm.places import importable
@@ -79,3 +80,11 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL["op7_quality_rules"] = sql.QUALITY_RULES
+
+
+@query
+def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_licenses(table(spark, folder, "documents"))
+
+
+SQL["op9_license_scan"] = sql.license_scan()

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+from tablewright.llm.licenses import PHRASES, TEMPLATES, THRESHOLD
+
 _NGRAM_SHARES = dict.fromkeys(range(5, 11), 0.2)
 _LONGEST = max(_NGRAM_SHARES)
 
@@ -81,3 +85,45 @@ SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)
        sha256(coalesce(kept, '')) AS kept_sha256
 FROM documents d LEFT JOIN done USING (doc_id)
 """
+
+
+def license_scan() -> str:
+    """Phrases by the words that follow each word; templates against every line."""
+    word = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+    phrases = ", ".join(f"({phrase.split()!r}, '{label}')" for phrase, label in PHRASES.items())
+    statements = ", ".join(f"({n}, '{label}', {sorted(set(re.findall('[0-9a-z]+', text.lower())))!r})" for n, (label, text) in enumerate(TEMPLATES))
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH d AS (SELECT doc_id, {lower} AS text FROM documents),
+phrases(words, label) AS (VALUES {phrases}),
+templates(n, label, words) AS (VALUES {statements}),
+tok AS (
+  SELECT doc_id, unnest(words) AS w0, unnest(range(len(words))) AS i
+  FROM (SELECT doc_id, regexp_extract_all(text, '{word}') AS words FROM d)),
+led AS (
+  SELECT doc_id, i, w0, lead(w0, 1) OVER later AS w1, lead(w0, 2) OVER later AS w2, lead(w0, 3) OVER later AS w3
+  FROM tok WINDOW later AS (PARTITION BY doc_id ORDER BY i)),
+places AS (
+  SELECT doc_id, i, label FROM led JOIN phrases ON w0 = words[1] AND w1 = words[2]
+    AND (len(words) < 3 OR w2 = words[3]) AND (len(words) < 4 OR w3 = words[4])),
+base AS (
+  SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels
+  FROM places GROUP BY doc_id),
+blocks AS (
+  SELECT doc_id, list_distinct(regexp_extract_all(line, '{word}')) AS have
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)),
+met AS (
+  SELECT doc_id, label, shared / len(words) AS score FROM (
+    SELECT doc_id, n, label, words, count(*) AS shared FROM (
+      SELECT doc_id, b, unnest(have) AS word FROM (SELECT doc_id, have, row_number() OVER () AS b FROM blocks)
+    ) JOIN (SELECT n, label, words, unnest(words) AS word FROM templates) USING (word)
+    GROUP BY doc_id, b, n, label, words
+  ) WHERE shared >= ceil({THRESHOLD} * len(words) - 1e-9)),
+more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(score) AS score FROM met GROUP BY doc_id),
+counts AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY doc_id)
+SELECT d.doc_id, coalesce(counts.n, 0)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word,
+       coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ','), '') AS labels,
+       coalesce(more.score, 0)::DOUBLE AS score
+FROM d LEFT JOIN counts USING (doc_id) LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)
+"""
