@@ -16,6 +16,7 @@ from tablewright.llm.places import importable
 from tablewright.llm.quality_rules import RepetitionLimits, quality_verdict, repetition_signals
 from tablewright.llm.substring_dedup import removed_words
 from tablewright.llm.token_counts import count_document_tokens
+from tablewright.llm.toxicity import held_out, learn_toxicity, toxicity_scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -88,3 +89,12 @@ def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL["op9_license_scan"] = sql.license_scan()
+
+
+@query
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = learn_toxicity(docs, table(spark, folder, "labels"))
+    scored = toxicity_scores(docs, model, "score")
+    predicted = F.when(F.col("score") >= 0.7, 1).otherwise(0)
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", predicted.alias("predicted"))
