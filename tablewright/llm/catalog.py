@@ -17,6 +17,7 @@ from tablewright.llm.quality_rules import RepetitionLimits, quality_verdict, rep
 from tablewright.llm.substring_dedup import removed_words
 from tablewright.llm.token_counts import count_document_tokens
 from tablewright.llm.toxicity import held_out, learn_toxicity, toxicity_scores
+from tablewright.llm.warc import archive_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -91,6 +92,15 @@ def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 SQL["op9_license_scan"] = sql.license_scan()
 
 
+@query
+def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
+    found = archive_pages(table(spark, folder, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL["op8_warc"] = sql.WARC
+
+
 @query
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")

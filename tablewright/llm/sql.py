@@ -127,3 +127,18 @@ SELECT d.doc_id, coalesce(counts.n, 0)::BIGINT AS n_words, coalesce(n_base, 0)::
        coalesce(more.score, 0)::DOUBLE AS score
 FROM d LEFT JOIN counts USING (doc_id) LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)
 """
+
+
+_DIGITS = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(h, {5 * k + 1}, 5))::BIGINT // {32 ** (3 - d)}) % 32 + 1, 1)"
+    for k in range(8)
+    for d in range(4)
+)
+WARC = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT html, max(page_id) AS response, count(*) AS n FROM p GROUP BY html)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {_DIGITS} AS payload_digest,
+       CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> response THEN response END AS refers_to
+FROM p JOIN g USING (html)
+"""
