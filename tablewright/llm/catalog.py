@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tablewright.llm import sql
 from tablewright.llm.decontamination import contaminations
+from tablewright.llm.html_text import extract_text
 from tablewright.llm.licenses import scan_licenses
 from tablewright.llm.near_duplicates import near_duplicates
 from tablewright.llm.packing import pack_documents
@@ -67,6 +68,12 @@ def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_document_tokens(table(spark, folder, "documents"))
 
 
+@query
+def op6_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    found = extract_text(table(spark, folder, "pages"))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 @query
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
