@@ -6,24 +6,53 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tablewright.llm.decontamination import decontaminate
 from tablewright.llm.near_duplicates import keep_one_of_each
-from tablewright.llm.places import Scratch
+from tablewright.llm.packing import pack_documents
+from tablewright.llm.places import Scratch, importable
 from tablewright.llm.quality_rules import keep_quality
+from tablewright.llm.substring_dedup import drop_repeats
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go; null and empty texts are among them."""
+    importable(spark)
     return keep_quality(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that with the smallest id."""
+    """Of each group of near-duplicates the document with the smallest id stays."""
+    importable(spark)
     return keep_one_of_each(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality", quality), ("near_dedup", near_dedup)]
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words and more stay in the document with the smallest id only; no document goes."""
+    importable(spark)
+    return drop_repeats(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap with an item of the benchmark go."""
+    importable(spark)
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of what is left, packed into sequences."""
+    importable(spark)
+    return pack_documents(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
 
 #: Fingerprints and tokens have no counterpart in SQL.
 ORACLE_SQL: str | None = None
