@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from tablewright.errors import ErrorDetail, TransformError
 from tablewright.functions.values import NULL, NUMERIC, Value, column_value
 from tablewright.names import field
-from tablewright.operators.conditions import all_of, find_column, normalize_operator
+from tablewright.operators.conditions import all_of, conjuncts, equated_columns, find_column
+from tablewright.sources.storage import ensure_checkpoint_dir
 
 if TYPE_CHECKING:
     from tablewright.spec import Condition
@@ -38,7 +39,6 @@ if TYPE_CHECKING:
 HOW = {"LEFT": "left", "INNER": "inner", "RIGHT": "right", "OUTER": "full"}
 # Sides adaptive execution cannot split, by join type.
 _UNSPLIT = {"left": ("right",), "inner": (), "right": ("left",), "full": ("left", "right")}
-_MOST_HOT_KEYS = 1000
 ROWS_PER_PART = 1_000_000
 
 
@@ -87,44 +87,21 @@ def apply_join(
 
 
 def find_keys(left: DataFrame, right: DataFrame, conditions: list[Condition]) -> JoinKeys:
-    """Sort conditions into key pairs and residual conditions.
+    """Key pairs, and the conditions that say more than that two columns are equal.
 
     Key pairs count wherever AND alone leads to them. An entry that holds anything
     else besides is checked again as a whole afterwards, its keys included.
     """
-    pairs, residual = [], []
-    for condition in conditions:
-        leaves = list(_and_leaves(condition))
-        found = [leaf for leaf in leaves if _is_key(leaf)]
-        pairs.extend((leaf.left, leaf.right) for leaf in found)
-        if len(found) < len(leaves):
-            residual.append(condition)
+    parts = [[equated_columns(part) for part in conjuncts(condition)] for condition in conditions]
+    pairs = [pair for found in parts for pair in found if pair]
     if not pairs:
         raise TransformError(
-            "A join requires at least one equality between columns",
+            "Tables are joined on equal columns, and no condition names any",
             phase="joins",
-            details=[ErrorDetail("no key found", "conditions")],
+            details=[ErrorDetail("name a column of each table and ==", "conditions")],
         )
     lefts, rights = zip(*(_orient(left, right, *pair) for pair in pairs))
-    return JoinKeys(list(lefts), list(rights), residual)
-
-
-def _and_leaves(condition: Condition):
-    children = getattr(condition, "conditions", None)
-    if children is not None and condition.logic == "AND":
-        for child in children:
-            yield from _and_leaves(child)
-    else:
-        yield condition
-
-
-def _is_key(condition: Condition) -> bool:
-    return (
-        not hasattr(condition, "conditions")
-        and normalize_operator(condition.operator) == "=="
-        and condition.right_type == "column"
-        and isinstance(condition.right, str)
-    )
+    return JoinKeys(list(lefts), list(rights), [c for c, found in zip(conditions, parts, strict=True) if None in found])
 
 
 def _orient(left: DataFrame, right: DataFrame, first: str, second: str) -> tuple[Value, Value]:
@@ -220,21 +197,19 @@ def hot_keys(frame: DataFrame, key_names: list[str], rows_per_part: int) -> Data
     """Keys with more than ``rows_per_part`` rows and the parts they need, or None.
 
     The key columns alone are counted, each task adding up its own rows first, so a hot
-    key shuffles one row per task. The hottest keys come to the driver, a fixed number
-    at most, and are fixed there, so that every later use agrees on them. A key beyond
-    that number is joined like any other.
+    key shuffles one row per task. All hot keys are found, and stored in the checkpoint
+    folder, so that every later use agrees on them.
     """
     counted = (
         frame.groupBy(*(field(name).alias(f"key{i}") for i, name in enumerate(key_names)))
         .agg(F.count(F.lit(1)).alias("rows"))
         .where(F.col("rows") > rows_per_part)
-        .orderBy(F.col("rows").desc())
-        .limit(_MOST_HOT_KEYS)
         .withColumn("parts", F.ceil(F.col("rows") / rows_per_part).cast("int"))
         .drop("rows")
     )
-    found = counted.collect()
-    return frame.sparkSession.createDataFrame(found, counted.schema) if found else None
+    ensure_checkpoint_dir(frame.sparkSession)
+    found = counted.checkpoint()
+    return None if found.isEmpty() else found
 
 
 def _own(side: str, name: str) -> str:
@@ -242,10 +217,10 @@ def _own(side: str, name: str) -> str:
 
 
 def _mark(frame: DataFrame, hot: DataFrame, side: str, key_names: list[str], parts: str) -> DataFrame:
-    """Say how many parts each row's key has. The hot keys are few, so they are broadcast."""
+    """Say how many parts each row's key has. Spark broadcasts the hot keys if they are few."""
     named = hot.toDF(*[f"__hot_{name}" for name in key_names], parts)
     matched = _equal((field(_own(side, name)), field(f"__hot_{name}")) for name in key_names)
-    marked = frame.join(F.broadcast(named), matched, "left").drop(*[f"__hot_{name}" for name in key_names])
+    marked = frame.join(named, matched, "left").drop(*[f"__hot_{name}" for name in key_names])
     return marked.withColumn(parts, F.coalesce(field(parts), F.lit(1)))
 
 

@@ -48,11 +48,12 @@ Filter = Predicate | ConditionGroup | ExpressionFilter
 
 @dataclass(frozen=True)
 class FileOptions:
-    """How files of a connection look. The last four have no effect on results:
+    """How files of a connection look. The last four are about places and sizes:
 
-    ``max_file_size_mb`` refuses larger sources (no limit unless set), ``multi_line``
-    says whether quoted line breaks are looked for, ``single_file`` asks for one
-    output file and ``max_single_file_mb`` bounds it, as one task has to write it.
+    ``max_file_size_mb`` refuses larger sources (no limit unless set). ``multi_line``
+    says whether fields hold line breaks; ``auto`` finds out, ``never`` takes every line
+    for a row. ``single_file`` asks for one output file, which ``max_single_file_mb``
+    bounds where it is set.
     """
 
     format: str = "CSV"
@@ -63,7 +64,7 @@ class FileOptions:
     max_file_size_mb: int | None = None
     multi_line: str = "auto"
     single_file: bool = False
-    max_single_file_mb: int = 1024
+    max_single_file_mb: int | None = None
 
 
 @dataclass(frozen=True)
@@ -449,10 +450,10 @@ def _contradictions(pipeline: Pipeline) -> Iterator[ErrorDetail]:
 def _in_blueprint(pipeline: Pipeline, blueprint: Blueprint, at: str) -> Iterator[ErrorDetail]:
     for user in (*blueprint.tables, blueprint.target):
         if user.connection_ref not in pipeline.connections:
-            yield ErrorDetail(f"Unknown connection_ref '{user.connection_ref}'", at)
+            yield ErrorDetail(f"No connection is called '{user.connection_ref}'", at)
     for table in blueprint.tables:
         if not names.ALIAS.match(table.alias):
-            yield ErrorDetail(f"Invalid alias '{table.alias}'", f"{at}.sources")
+            yield ErrorDetail(f"'{table.alias}' cannot be an alias", f"{at}.sources")
     yield from _repeated([t.alias for t in blueprint.tables], "Duplicate alias", f"{at}.sources")
     targets = [mapping.target_column for mapping in blueprint.mappings]
     yield from _repeated(targets, "Duplicate target_column", f"{at}.mappings")
@@ -480,7 +481,7 @@ def _in_mapping(mapping: Mapping, aliases: set[str], at: str) -> Iterator[ErrorD
     yield from _in_reference(mapping.source_value, aliases, at)
     derived = mapping.source_value.startswith(names.DERIVATION_ALIAS + ".")
     if mapping.source_type == "DERIVED" and not derived:
-        yield ErrorDetail(f"DERIVED mapping must use deriv.name, got '{mapping.source_value}'", at)
+        yield ErrorDetail(f"'{mapping.source_value}' is no computed column, which DERIVED asks for", at)
 
 
 def _in_derivation(derivation: Derivation, aliases: set[str], at: str) -> Iterator[ErrorDetail]:
@@ -516,14 +517,14 @@ def _in_condition(
     if operator in NULL_TESTS:
         return
     if item.right is None:
-        yield ErrorDetail(f"Operator '{operator}' requires a right-hand value", f"{at}.right")
+        yield ErrorDetail(f"{operator} has nothing on its right", f"{at}.right")
     if item.right_type not in ("literal", "column"):
-        yield ErrorDetail(f"Operator '{operator}' requires right_type literal or column", f"{at}.right_type")
+        yield ErrorDetail(f"{operator} needs a right_type: literal or column", f"{at}.right_type")
     yield from _in_reference(item.left, aliases, f"{at}.left", targets)
     if item.right_type == "column" and isinstance(item.right, str):
         yield from _in_reference(item.right, aliases, f"{at}.right", targets)
     if item.right_type == "literal" and operator in LISTS and not isinstance(item.right, list):
-        yield ErrorDetail(f"Operator '{operator}' requires an array literal", f"{at}.right")
+        yield ErrorDetail(f"{operator} compares with a list of constants", f"{at}.right")
 
 
 def _in_reference(
@@ -532,11 +533,11 @@ def _in_reference(
     if targets and reference in targets:
         return
     if not names.is_config_column_reference(reference):
-        yield ErrorDetail(f"Invalid column reference '{reference}', expected alias.column", at)
+        yield ErrorDetail(f"'{reference}' does not have the form alias.column", at)
         return
     alias, _ = names.parse_qualified_column(reference)
     if alias not in aliases | {names.DERIVATION_ALIAS}:
-        yield ErrorDetail(f"Unknown alias '{alias}' in reference '{reference}'", at)
+        yield ErrorDetail(f"No table has the alias of '{reference}'", at)
 
 
 def _in_text(text: str, aliases: set[str], at: str) -> Iterator[ErrorDetail]:

@@ -81,40 +81,40 @@ BROKEN = [
     ((*BP, "surprise"), 1, "unknown field"),
     ((*BP, "sequence_order"), 0, "whole number"),
     ((*BP, "mappings"), [], "at least 1"),
-    ((*BP, "target", "connection_ref"), "other", "Unknown connection_ref"),
-    ((*BP, "sources", "root_table", "connection_ref"), "other", "Unknown connection_ref"),
-    ((*JOIN, "connection_ref"), "other", "Unknown connection_ref"),
+    ((*BP, "target", "connection_ref"), "other", "No connection is called"),
+    ((*BP, "sources", "root_table", "connection_ref"), "other", "No connection is called"),
+    ((*JOIN, "connection_ref"), "other", "No connection is called"),
     ((*BP, "sources", "root_table", "alias"), "prod", "Duplicate alias"),
-    ((*BP, "sources", "root_table", "alias"), "1st", "Invalid alias"),
+    ((*BP, "sources", "root_table", "alias"), "1st", "cannot be an alias"),
     ((*JOIN, "join_type"), "CROSS", "must be one of"),
     ((*JOIN, "conditions"), [], "at least 1"),
-    ((*JOIN, "conditions", 0, "right"), "zzz.product_sku", "Unknown alias"),
-    ((*JOIN, "pre_filters"), [predicate("ord.qty", ">", 1)], "Unknown alias"),
+    ((*JOIN, "conditions", 0, "right"), "zzz.product_sku", "No table has the alias"),
+    ((*JOIN, "pre_filters"), [predicate("ord.qty", ">", 1)], "No table has the alias"),
     ((*BP, "mappings", 0, "target_column"), "category", "Duplicate target_column"),
-    ((*BP, "mappings", 0, "source_value"), "order_id", "Invalid column reference"),
-    ((*BP, "mappings", 0, "source_value"), "zzz.order_id", "Unknown alias"),
+    ((*BP, "mappings", 0, "source_value"), "order_id", "does not have the form"),
+    ((*BP, "mappings", 0, "source_value"), "zzz.order_id", "No table has the alias"),
     ((*BP, "mappings", 0, "cast_to"), "bool", "must be one of"),
     ((*BP, "mappings", 0, "source_type"), "MAGIC", "must be one of"),
     ((*BP, "mappings", 0, "is_nullable"), "no", "true or false"),
     ((*BP, "mappings", 0, "is_nullable"), MISSING, "is required"),
-    ((*BP, "mappings", 5, "source_value"), "ord.qty", "DERIVED mapping must use"),
-    ((*BP, "mappings", 10, "source_value"), "zzz.qty + 1", "Unknown alias"),
-    ((*BP, "pre_filters", 0, "operator"), "~", "Unsupported operator"),
-    ((*BP, "pre_filters", 0, "right"), None, "requires a right-hand value"),
+    ((*BP, "mappings", 5, "source_value"), "ord.qty", "is no computed column"),
+    ((*BP, "mappings", 10, "source_value"), "zzz.qty + 1", "No table has the alias"),
+    ((*BP, "pre_filters", 0, "operator"), "~", "No such operator"),
+    ((*BP, "pre_filters", 0, "right"), None, "nothing on its right"),
     ((*BP, "pre_filters", 0, "right_type"), MISSING, "right_type"),
-    ((*BP, "pre_filters", 0), predicate("ord.qty", "IN", 3), "array literal"),
+    ((*BP, "pre_filters", 0), predicate("ord.qty", "IN", 3), "list of constants"),
     ((*BP, "pre_filters", 0), {"logic": "AND", "conditions": []}, "at least 1"),
     ((*BP, "pre_filters", 0), {"logic": "XOR", "conditions": [predicate("ord.qty", ">", 1)]}, "must be one of"),
     ((*BP, "pre_filters", 0), {"type": "sql", "value": "x"}, "must be one of"),
-    ((*BP, "pre_filters", 0, "left"), "status", "Invalid column reference"),
+    ((*BP, "pre_filters", 0, "left"), "status", "does not have the form"),
     ((*BP, "derivations", 0, "variable_name"), "phone_digits", "Duplicate derivation"),
-    ((*BP, "derivations", 0, "expression"), "zzz.qty * 2", "Unknown alias"),
-    ((*BP, "derivations", 1, "source"), "contact_phone", "Invalid column reference"),
+    ((*BP, "derivations", 0, "expression"), "zzz.qty * 2", "No table has the alias"),
+    ((*BP, "derivations", 1, "source"), "contact_phone", "does not have the form"),
     ((*BP, "derivations", 2, "branches"), [], "at least 1"),
-    ((*BP, "derivations", 2, "branches", 0, "when", "left"), "zzz.order_status", "Unknown alias"),
+    ((*BP, "derivations", 2, "branches", 0, "when", "left"), "zzz.order_status", "No table has the alias"),
     ((*BP, "derivations", 2, "branches", 0, "then"), MISSING, "is required"),
     ((*BP, "derivations", 2, "transform_type"), "LOOKUP", "must be one of"),
-    ((*BP, "post_filters"), [predicate("nothing", "==", 1)], "Invalid column reference"),
+    ((*BP, "post_filters"), [predicate("nothing", "==", 1)], "does not have the form"),
 ]
 
 
