@@ -7,7 +7,8 @@ down and ``%`` takes the sign of the divisor.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from tablewright.errors import TransformError
 from tablewright.functions.values import BOOL, FLOAT, INT, NULL, TEXT, Value
 
-_MAX_UNROLLED_POWER = 8
+_MOST_BITS = 63
+_NEGATIVE_POWER = "Whole numbers cannot be raised to a negative whole power"
 
 
 def binary(op: str, left: Value, right: Value) -> Value:
@@ -97,19 +99,42 @@ def _modulo(a: Value, b: Value) -> Value:
 def _power(a: Value, b: Value) -> Value:
     if not a.kind == b.kind == INT:
         return Value(F.pow(a.column.cast("double"), b.column.cast("double")), FLOAT)
-    if _plain(b):
-        if b.constant < 0:
-            raise TransformError("Whole numbers cannot be raised to a negative whole power")
-        if 1 <= b.constant <= _MAX_UNROLLED_POWER:
-            result = a.column
-            for _ in range(b.constant - 1):
-                result = result * a.column
-            return Value(result, INT)
-    raised = F.pow(a.column.cast("double"), b.column.cast("double")).cast("bigint")
-    checked = F.when(
-        b.column < 0, F.raise_error("Whole numbers cannot be raised to a negative whole power")
-    ).otherwise(raised)
-    return Value(checked.cast("bigint"), INT)
+    if _plain(b) and b.constant < 0:
+        raise TransformError(_NEGATIVE_POWER)
+    if _plain(b) and b.constant <= _MOST_BITS:
+        powers = [power for k, power in enumerate(_squares(a.column)) if b.constant >> k & 1]
+        one = F.when(a.column.isNotNull(), F.lit(1).cast("bigint"))
+        return Value(reduce(lambda x, y: x * y, powers, one) if powers else one, INT)
+    return Value(_whole_power(a.column, b.column), INT)
+
+
+def _whole_power(base: Column, exponent: Column) -> Column:
+    """Square and multiply in BIGINT, which raises where the result does not fit.
+
+    A square is only computed where the exponent has its bit. Beyond 63 only 0, 1 and -1
+    have powers that fit.
+    """
+    one = F.lit(1).cast("bigint")
+    small = reduce(
+        lambda x, y: x * y,
+        [F.when(F.shiftright(exponent, k).bitwiseAND(1) == 1, power).otherwise(one) for k, power in enumerate(_squares(base))],
+    )
+    unit = F.when(exponent % 2 == 0, F.abs(base)).otherwise(base)
+    return (
+        F.when(base.isNull() | exponent.isNull(), F.lit(None).cast("bigint"))
+        .when(exponent < 0, F.raise_error(_NEGATIVE_POWER).cast("bigint"))
+        .when(exponent <= _MOST_BITS, small)
+        .when(base.between(-1, 1), unit)
+        .otherwise(F.raise_error("A power does not fit 64 bits").cast("bigint"))
+    )
+
+
+def _squares(base: Column) -> Iterator[Column]:
+    """The column to the powers 1, 2, 4, 8, 16 and 32."""
+    power = base.cast("bigint")
+    for _ in range(_MOST_BITS.bit_length()):
+        yield power
+        power = power * power
 
 
 _BINARY: dict[str, Callable[[Value, Value], Value]] = {

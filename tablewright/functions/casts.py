@@ -96,11 +96,8 @@ def _to_int(frame: DataFrame, value: Value) -> Cast:
         fits = (source == F.rint(source)) & (source >= -_INT_LIMIT) & (source < _INT_LIMIT)
         whole = F.when(fits, source.cast("bigint"))
     elif value.kind == TEXT:
-        number = F.when(source.rlike(_NUMBER), source.try_cast("decimal(38,18)"))
         # Digits alone, as most are, need no detour.
-        whole = F.coalesce(
-            read_bigint(source), F.when(number == F.floor(number), number).try_cast("bigint")
-        )
+        whole = F.coalesce(read_bigint(source), F.when(source.rlike(_NUMBER), _whole_number(source)))
     elif value.kind == TIME:
         raise TransformError("Timestamps cannot become whole numbers", gate="G4", phase="mappings")
     else:
@@ -108,6 +105,20 @@ def _to_int(frame: DataFrame, value: Value) -> Cast:
     return Cast(frame, whole, required=True, checked=True)
 
 
+def _whole_number(text: Column) -> Column:
+    """The BIGINT that a decimal or scientific number stands for, NULL if it has a fraction.
+
+    Told by the digits: those behind the point, moved by the exponent, must all be zeros.
+    """
+    digits = F.regexp_replace(F.regexp_extract(text, r"^\s*[+-]?([0-9.]*)", 1), r"\.", "")
+    behind = F.length(F.regexp_extract(text, r"\.([0-9]*)", 1))
+    written = F.regexp_extract(text, r"[eE]([+-]?[0-9]+)", 1)
+    exponent = F.when(written == "", 0).otherwise(written.try_cast("int"))
+    zeros = F.length(digits) - F.length(F.rtrim(digits, F.lit("0")))
+    number = text.try_cast("decimal(38,18)").try_cast("bigint")
+    return F.when(digits.rlike("^0*$"), F.lit(0).cast("bigint")).when(zeros + exponent >= behind, number)
+
+
 def _to_float(frame: DataFrame, value: Value) -> Cast:
     source = value.clean()
     if value.kind in (INT, FLOAT, BOOL, NULL):

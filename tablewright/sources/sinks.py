@@ -1,7 +1,7 @@
 """Targets: written beside their place, judged, then moved there in one step.
 
 A target is a folder of part files, written by as many tasks as the data asks for.
-``single_file`` asks for one file instead, within a size limit, as one task writes it.
+``single_file`` asks for one file instead: the parts one behind the other.
 """
 
 from __future__ import annotations
@@ -104,28 +104,39 @@ def _write_text(frame: DataFrame, path: str, options: FileOptions) -> None:
 
 
 def _merged(spark: SparkSession, staged: str, options: FileOptions, columns: list[str]) -> str:
-    """One file out of all parts; its size is known by now and has to be within the limit."""
-    size = storage.total_bytes(spark, staged)
-    if size > options.max_single_file_mb * _MEGABYTE:
-        raise WriteVerificationError(
-            f"{size} bytes are too many for a single file, the limit is {options.max_single_file_mb} MB"
-        )
-    whole = staged + "-whole"
+    """One file out of all parts; a limit on its size applies only where it is set."""
+    size, limit = storage.total_bytes(spark, staged), options.max_single_file_mb
+    if limit is not None and size > limit * _MEGABYTE:
+        raise WriteVerificationError(f"{size} bytes are too many for a single file, the limit is {limit} MB")
+    single = staged + "-file"
     if check_format(options.format) == "PARQUET":
-        spark.read.parquet(staged).coalesce(1).write.parquet(whole)
+        _rewritten(spark.read.parquet(staged), staged, single)
     else:
-        settings = {**dialect(options), "multiLine": True}
-        parts = read_raw(spark, staged, settings, columns).select(*map(field, columns))
-        if len(columns) == 1:
-            parts = parts.select(F.coalesce(field(columns[0]), F.lit("")).alias(columns[0]))
-        _write_text(parts.coalesce(1), whole, options)
-    (file, _), *others = storage.data_files(spark, whole)
-    if others:
-        raise WriteVerificationError(f"Expected one part file: {whole}")
-    single = staged + "-file"
-    storage.rename(spark, file, single)
-    storage.delete(spark, whole)
+        _joined(spark, staged, single, options, columns)
     storage.delete(spark, staged)
     return single
 
 
+def _rewritten(frame: DataFrame, staged: str, single: str) -> None:
+    """Parquet files cannot be put one behind the other, so one task writes all rows anew."""
+    whole = staged + "-whole"
+    frame.coalesce(1).write.parquet(whole)
+    (file, _), *others = storage.data_files(frame.sparkSession, whole)
+    if others:
+        raise WriteVerificationError(f"Expected one part file: {whole}")
+    storage.rename(frame.sparkSession, file, single)
+    storage.delete(frame.sparkSession, whole)
+
+
+def _joined(spark: SparkSession, staged: str, single: str, options: FileOptions, columns: list[str]) -> None:
+    """The part files byte by byte, the header and byte order mark of the first one only."""
+    parts = sorted(storage.data_files(spark, staged))
+    empty = staged + "-header"
+    kind = ", ".join("`" + name.replace("`", "``") + "` STRING" for name in columns)
+    _write_text(spark.createDataFrame([], kind).coalesce(1), empty, options)
+    skip = max((size for _, size in storage.data_files(spark, empty)), default=0)
+    storage.delete(spark, empty)
+    filled = [file for file, size in parts if size > skip] or [file for file, _ in parts[:1]]
+    storage.concatenate(spark, filled, single, skip)
+
+

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from typing import Any
 
 from pyspark.sql import SparkSession
 
+from tablewright.errors import FileGuardError
+
 
 def join_path(base: str, name: str) -> str:
     """``base/name``; an absolute name or URI stands for itself."""
@@ -48,6 +52,26 @@ def rename(spark: SparkSession, source: str, target: str) -> bool:
     return system.rename(location, _path(spark, target))
 
 
+def concatenate(spark: SparkSession, files: list[str], target: str, skip: int) -> None:
+    """One file of the bytes of many; of all but the first without their first ``skip`` bytes.
+
+    Bytes stream from file to file; nothing is parsed, and no more than a buffer is held.
+    """
+    system, location = _locate(spark, target)
+    copy = spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes
+    out = system.create(location)
+    try:
+        for index, file in enumerate(files):
+            source = system.open(_path(spark, file))
+            try:
+                source.seek(skip if index else 0)
+                copy(source, out, 1 << 20, False)
+            finally:
+                source.close()
+    finally:
+        out.close()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     system, location = _locate(spark, path)
     system.delete(location, True)
@@ -61,19 +85,33 @@ def make_parent(spark: SparkSession, path: str) -> None:
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A fresh folder all executors share: under the cluster's checkpoint folder if set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if shared:
-        return join_path(shared, f"tablewright-{uuid.uuid4().hex}")
-    return tempfile.mkdtemp(prefix="tablewright-")
+    """A fresh folder all executors share, below the checkpoint folder; gone when the program ends."""
+    ensure_checkpoint_dir(spark)
+    path = join_path(_shared_folder(spark), f"tablewright-{uuid.uuid4().hex}")
+    atexit.register(_delete_if_running, spark, path)
+    return path
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's checkpoint folder; set one only where there is none."""
+    """Use the cluster's checkpoint folder; set one only where there is none and need be none."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tablewright-"))
+    if _shared_folder(spark) is None:
+        if not context.master.startswith("local"):
+            raise FileGuardError("spark.checkpoint.dir must name a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="tablewright-")
+        context.setCheckpointDir(own)
+        atexit.register(shutil.rmtree, own, True)
+    elif context.getCheckpointDir() is None:
+        context.setCheckpointDir(_shared_folder(spark))
+
+
+def _shared_folder(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+
+
+def _delete_if_running(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        delete(spark, path)
 
 
 def _path(spark: SparkSession, path: str) -> Any:

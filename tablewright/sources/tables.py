@@ -172,7 +172,8 @@ def read_delimited(
     if facts["long_rows"]:
         raise FileGuardError(f"{facts['long_rows']} rows have more than {len(names)} fields: {path}")
     if facts["blank_rows"]:
-        cells = cells.where(_is_row())
+        # Spark refuses to read the text of malformed rows alone, so the condition looks at a column too.
+        cells = cells.where(_is_row() & (F.length(F.coalesce(field(names[0]), F.lit(""))) >= 0))
     if types is not None:
         declared = [
             field(name).cast(column.dataType).alias(column.name) for name, column in zip(names, types.fields)
@@ -194,24 +195,21 @@ def read_raw(spark: SparkSession, path: str, settings: dict[str, object], names:
 def needs_multi_line(spark: SparkSession, path: str, options: FileOptions) -> bool:
     """Whether fields may hold line breaks, which keeps a file from being split.
 
-    A file small enough for one task loses nothing by being read whole. A larger one
-    is looked through once, in splits: a line break inside quotes leaves a line with
-    an odd number of quote characters.
+    What a file holds decides, never its size. A quote opens a field only where a field
+    begins, and two of them inside stand for one. If every line, begun outside quotes,
+    also ends outside, then each does begin outside and no field holds a line break.
+    Otherwise, and where that cannot be told, files are read whole.
     """
     if options.multi_line != "auto":
         return options.multi_line == "always"
     if _charset(options.encoding).startswith(("utf-16", "utf-32")):
         return True
-    if storage.is_directory(spark, path):
-        sizes = [size for _, size in storage.data_files(spark, path)]
-    else:
-        sizes = [storage.total_bytes(spark, path)]
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    if max(sizes, default=0) <= split:
-        return True
+    quote, sep = re.escape(options.quote_char), re.escape(options.delimiter)
+    begins = f"(^|{sep}){quote}"
+    whole = f"{begins}[^{quote}]*+(?:{quote}{quote}[^{quote}]*+)*+{quote}(?={sep}|$)"
+    left_open = F.regexp_replace("value", whole, "$1").rlike(begins)
     lines = spark.read.text(path)
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit(options.quote_char), F.lit("")))
-    return lines.where(quotes % 2 != 0).limit(1).count() > 0
+    return not lines.where(F.contains("value", F.lit(options.quote_char)) & left_open).isEmpty()
 
 
 def _column_names(spark: SparkSession, path: str, settings: dict[str, object], header: bool) -> list[str]:
