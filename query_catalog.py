@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -303,18 +304,23 @@ add(
     ],
     pre_filters=[pred("a.l_returnflag", "==", "R")],
 )
-add(
-    "join_null_keys",
+
+
+def _null_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Missing keys on both sides: every document against the first document of its quality."""
+    documents = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality")
+    labelled = documents.join(labels, "doc_id", "left").select(F.col("doc_id").alias("a__id"), F.col("quality").alias("a__quality"))
+    first = labelled.groupBy(F.col("a__quality").alias("b__quality")).agg(F.min("a__id").alias("b__id"))
+    equal = list(load(config(folder, "x", "a", [column("id", "a.id")], [join("LEFT", "y", "b", key("a.quality", "b.quality"))])).blueprint().joins[0].conditions)
+    joined = tablewright.apply_join(labelled, first, "LEFT", equal)
+    return joined.select(F.col("a__id").alias("doc_id"), F.col("b__id").alias("first_id"))
+
+
+CATALOG["join_null_keys"] = Query(
+    _null_keys,
     "WITH a AS (SELECT d.doc_id, lb.quality FROM documents d LEFT JOIN labels lb ON d.doc_id = lb.doc_id) "
-    "SELECT a.doc_id AS doc_id, lb2.doc_id::DOUBLE AS other_id FROM a "
-    "LEFT JOIN (SELECT * FROM labels WHERE toxic = 1) lb2 ON a.quality IS NOT DISTINCT FROM lb2.quality",
-    "documents",
-    "d",
-    [column("doc_id", "d.doc_id", "int64"), column("other_id", "lb2.doc_id", "float64")],
-    [
-        *LABELLED,
-        join("LEFT", "labels", "lb2", key("lb.quality", "lb2.quality"), pre_filters=[pred("lb2.toxic", "==", 1)]),
-    ],
+    "SELECT doc_id, min(doc_id) OVER (PARTITION BY quality) AS first_id FROM a",
 )
 add(
     "join_residual_after_left",
@@ -373,34 +379,35 @@ add(
 )
 
 
+_HOT_CUSTOMERS = "SELECT * FROM customer WHERE c_nationkey <> 3"
+_HOT_ORDERS = "SELECT * FROM orders WHERE o_totalprice > 100000"
+
+
 def _hot_join(kind: str) -> Build:
-    """A join whose keys, all of them hot, are split over many parts."""
+    """A join whose keys, most of them hot, are split over many parts."""
 
     def build(spark: SparkSession, folder: str) -> DataFrame:
-        suppliers = spark.read.parquet(f"{folder}/supplier.parquet").select(
-            F.col("s_suppkey").alias("s__id"), F.col("s_nationkey").alias("s__nation")
-        )
-        customers = (
-            spark.read.parquet(f"{folder}/customer.parquet")
-            .select(F.col("c_custkey").alias("c__id"), F.col("c_nationkey").alias("c__nation"))
-            .where("c__nation <> 3")
-        )
+        customers = spark.read.parquet(f"{folder}/customer.parquet").where("c_nationkey <> 3")
+        customers = customers.select(F.col("c_custkey").alias("c__id"))
+        orders = spark.read.parquet(f"{folder}/orders.parquet").where("o_totalprice > 100000")
+        orders = orders.select(F.col("o_orderkey").alias("o__id"), F.col("o_custkey").alias("o__customer"))
         match = load(
-            config(folder, "supplier", "s", [column("id", "s.id")], [join(kind, "customer", "c", key("s.nation", "c.nation"))])
+            config(folder, "customer", "c", [column("id", "c.id")], [join(kind, "orders", "o", key("c.id", "o.customer"))])
         )
         conditions = list(match.blueprint().joins[0].conditions)
-        return tablewright.apply_join(suppliers, customers, kind, conditions, rows_per_part=3).select(
-            F.col("s__id").alias("supplier_id"), F.col("c__id").alias("customer_id")
+        sides = (orders, customers) if kind == "RIGHT" else (customers, orders)
+        return tablewright.apply_join(*sides, kind, conditions, rows_per_part=3).select(
+            F.col("c__id").alias("customer_id"), F.col("o__id").alias("order_id")
         )
 
     return build
 
 
-for _kind, _sql_kind in (("LEFT", "LEFT"), ("RIGHT", "RIGHT"), ("OUTER", "FULL")):
+for _kind, _sql_kind in (("LEFT", "LEFT"), ("RIGHT", "LEFT"), ("OUTER", "FULL")):
     CATALOG[f"join_hot_keys_{_kind.lower()}"] = Query(
         _hot_join(_kind),
-        "SELECT s_suppkey AS supplier_id, c_custkey AS customer_id FROM supplier "
-        f"{_sql_kind} JOIN (SELECT * FROM customer WHERE c_nationkey <> 3) ON s_nationkey = c_nationkey",
+        f"SELECT c_custkey AS customer_id, o_orderkey AS order_id FROM ({_HOT_CUSTOMERS}) "
+        f"{_sql_kind} JOIN ({_HOT_ORDERS}) ON c_custkey = o_custkey",
     )
 
 # --- derivations --------------------------------------------------------------------
@@ -953,6 +960,110 @@ CATALOG["csv_round_trip"] = Query(
     "CASE WHEN o_orderstatus = 'P' THEN 'P' END AS empty FROM orders",
 )
 
+def _csv_without_header(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as text without a header, with fields that stand for missing values, read again."""
+    scratch = storage.scratch_folder(spark)
+    settings = config(
+        folder,
+        "orders",
+        "o",
+        [
+            column("order_id", "o.o_orderkey", "int64"),
+            column("status", "o.o_orderstatus.replace('F', 'NA').replace('P', 'null')"),
+            column("priority", "o.o_orderpriority.where(o.o_orderstatus != 'O', '#N/A')"),
+        ],
+    )
+    text = {"format": "CSV", "header_row": False}
+    settings["connections"]["text"] = {
+        "type": "LOCAL_FILE_DIRECTORY",
+        "base_path": scratch,
+        "target_path": scratch,
+        "file_options": text,
+    }
+    settings["blueprints"][0]["target"] = {"connection_ref": "text", "file_name": "orders.csv"}
+    run(spark, settings)
+    found = read_table(spark, storage.join_path(scratch, "orders.csv"), FileOptions(**text))
+    return found.toDF("order_id", "status", "priority")
+
+
+CATALOG["csv_without_header"] = Query(
+    _csv_without_header,
+    "SELECT o_orderkey AS order_id, CASE WHEN o_orderstatus = 'O' THEN 'O' END AS status, "
+    "CASE WHEN o_orderstatus <> 'O' THEN o_orderpriority END AS priority FROM orders",
+)
+
+
+def _two_blueprints(spark: SparkSession, folder: str) -> DataFrame:
+    """A run of two blueprints, in order; what it reports beside what its targets hold."""
+    scratch = storage.scratch_folder(spark)
+    settings = _split_config(folder)
+    settings["connections"]["out"] = {
+        "type": "LOCAL_FILE_DIRECTORY",
+        "base_path": scratch,
+        "target_path": scratch,
+        "file_options": {"format": "PARQUET"},
+    }
+    for number, blueprint in enumerate(settings["blueprints"]):
+        blueprint["target"] = {"connection_ref": "out", "file_name": f"part{number}"}
+    reported = run(spark, settings).table(spark).select("target", F.col("row_count").alias("reported_rows"))
+    held = [
+        spark.read.parquet(storage.join_path(scratch, f"part{number}")).agg(F.count(F.lit(1)).alias("held_rows")).withColumn("target", F.lit(f"part{number}"))
+        for number in range(len(settings["blueprints"]))
+    ]
+    return reported.join(reduce(DataFrame.union, held), "target").select("target", "reported_rows", "held_rows")
+
+
+CATALOG["run_two_blueprints"] = Query(
+    _two_blueprints,
+    "SELECT 'part0' AS target, count(*) AS reported_rows, count(*) AS held_rows FROM customer WHERE c_custkey >= 10 "
+    "UNION ALL SELECT 'part1', count(*), count(*) FROM customer WHERE c_acctbal > 0",
+)
+
+add(
+    "expr_power",
+    LINE_SELECT + "(x * x * x * x * x * x * x * x * x)::BIGINT AS ninth, (n ** 12)::BIGINT AS twelfth, (n ** n)::BIGINT AS own "
+    "FROM (SELECT *, (l_linenumber + 90)::HUGEINT AS x, l_linenumber AS n FROM lineitem)",
+    "lineitem",
+    "li",
+    [
+        *LINE_KEYS,
+        column("ninth", "(li.l_linenumber + 90) ** 9", "int64"),
+        column("twelfth", "li.l_linenumber ** 12", "int64"),
+        column("own", "li.l_linenumber ** li.l_linenumber", "int64"),
+    ],
+)
+add(
+    "expr_div_pow_strip",
+    "SELECT c_custkey AS id, c_acctbal / 4 AS quarter, (c_nationkey * c_nationkey * c_nationkey)::BIGINT AS cube, "
+    "lower(c_mktsegment) AS lower_segment, c_name || ' ' AS left_stripped, ' ' || c_name AS right_stripped FROM customer",
+    "customer",
+    "c",
+    [
+        column("id", "c.c_custkey", "int64"),
+        column("quarter", "c.c_acctbal.div(4)", "float64"),
+        column("cube", "c.c_nationkey.pow(3)", "int64"),
+        column("lower_segment", "c.c_mktsegment.str.lower()"),
+        column("left_stripped", "(' ' + c.c_name + ' ').str.lstrip()"),
+        column("right_stripped", "(' ' + c.c_name + ' ').str.rstrip()"),
+    ],
+)
+add(
+    "derive_constant",
+    "SELECT c_custkey AS id, 'batch 7' AS batch, 42::BIGINT AS answer FROM customer",
+    "customer",
+    "c",
+    [column("id", "c.c_custkey", "int64"), column("batch", "deriv.batch"), column("answer", "deriv.answer", "int64")],
+    derivations=[compute("batch", "'batch 7'"), compute("answer", "6 * 7")],
+)
+add(
+    "filter_text_order",
+    "SELECT c_custkey AS id, c_mktsegment AS segment FROM customer WHERE c_mktsegment > 'BUILDING' AND c_mktsegment <= 'HOUSEHOLD'",
+    "customer",
+    "c",
+    [column("id", "c.c_custkey", "int64"), column("segment", "c.c_mktsegment")],
+    pre_filters=[pred("c.c_mktsegment", ">", "BUILDING"), pred("c.c_mktsegment", "<=", "HOUSEHOLD")],
+)
+
 # --- the flagship ---------------------------------------------------------------------
 
 
