@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from tablewright.llm.places import quoted
 from tablewright.llm.texts import slices, utf8
-from tablewright.llm.tokens import PartIds, default_tokenizer
+from tablewright.llm.tokens import default_tokenizer, encoder
 
 SEQUENCE = 1024
 END = 2
@@ -65,12 +65,12 @@ def pack_documents(
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, end: int, size: int) -> Iterator[pa.RecordBatch]:
-    encoder = PartIds(path)
+    encode = encoder(path).encode
     last = np.array([end], "<u4").tobytes()
     for batch in batches:
         for rows in slices(batch, 1):
             row, piece, start, length, ids = [], [], [], [], []
-            for k, found in enumerate(encoder.encode(rows.column(1).to_pylist())):
+            for k, found in enumerate(encode(rows.column(1).to_pylist())):
                 found += last
                 count = len(found) // _ID_BYTES
                 bounds = [0, *range((count - 1) % size + 1, count + 1, size)]

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from tablewright.llm.places import Scratch, quoted
 from tablewright.llm.stores import Draft, read_range
 from tablewright.llm.texts import slices, utf8
-from tablewright.llm.tokens import PartIds, default_tokenizer
+from tablewright.llm.tokens import default_tokenizer, encoder
 
 END_OF_DOCUMENT = 50_256
 KIND = "<u2"
@@ -98,12 +98,12 @@ def count_document_tokens(docs: DataFrame, identity: str = "doc_id", text: str =
 
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end: int, kind: str, roll: int) -> Iterator[pa.RecordBatch]:
-    encoder = PartIds(path, kind, literal=True)
+    encode = encoder(path, kind, literal=True).encode
     last = np.array([end], kind).tobytes()
     draft, serial, number, name = None, 0, 0, ""
     for batch in batches:
         for rows in slices(batch, 1):
-            found = encoder.encode(rows.column(1).to_pylist())
+            found = encode(rows.column(1).to_pylist())
             out: tuple[list, list, list] = ([], [], [])
             for ids in found:
                 if draft is not None and draft.size >= roll:
