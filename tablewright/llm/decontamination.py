@@ -147,10 +147,10 @@ def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def _bit_places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two bits of a hash."""
-    most = np.uint64((1 << BITS) - 1)
-    return hashes & most, (hashes >> np.uint64(BITS)) & most
+def _bit_places(hashes: np.ndarray, bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of a hash in a bitmap of 32-bit words."""
+    most = np.uint64(len(bitmap) * 32 - 1)
+    return hashes & most, (hashes >> np.uint64(int(most).bit_length())) & most
 
 
 def _bitmap(seeds: DataFrame) -> np.ndarray:
@@ -175,7 +175,7 @@ def _hits(batches: Iterator[pa.RecordBatch], bitmap: Broadcast, short: list[int]
             owner = np.repeat(np.arange(len(count)), count)
             for span, _, hashes in _seed_hashes(flat, short):
                 places = np.arange(len(hashes))
-                for place in _bit_places(hashes):
+                for place in _bit_places(hashes, bits):
                     own = place[places]
                     places = places[(bits[own >> np.uint64(5)] >> (own & np.uint64(31)).astype(np.uint32)) & 1 == 1]
                 places = places[owner[places] == owner[places + span - 1]]

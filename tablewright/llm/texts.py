@@ -43,14 +43,14 @@ def map_texts(
     frame: DataFrame, text: str, name: str, kind: T.StructType, compute: Callable[[list[bytes]], list[np.ndarray | pa.Array]]
 ) -> DataFrame:
     """The frame with a struct column ``name`` that ``compute`` makes of the texts' bytes."""
-    raw = fresh_name(frame, "utf8")
+    raw, limit = fresh_name(frame, "utf8"), SLICE_BYTES
     passed = len(frame.columns)
     names = [*frame.columns, name]
     fields = kind.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, passed):
+            for part in slices(batch, passed, limit):
                 values = [pa.array(x) if isinstance(x, np.ndarray) else x for x in compute(part.column(passed).to_pylist())]
                 struct = pa.StructArray.from_arrays(values, names=fields)
                 yield pa.RecordBatch.from_arrays([*part.columns[:passed], struct], names=names)
