@@ -1,0 +1,91 @@
+from __future__ import annotations
+
+import zlib
+from collections import Counter
+
+import numpy as np
+
+from tablewright.llm import toxicity as module
+from tablewright.llm.catalog import QUERIES
+from tests.llm.samples import FOLDER, SCHEMA, awkward, awkward_rows, needs_tables, prose
+
+LABELS = "doc_id long, quality int, toxic int"
+
+
+def auc(scores, labels):
+    order = np.argsort(np.argsort(scores, kind="stable"), kind="stable")
+    positive = labels == 1
+    return (order[positive].mean() - (positive.sum() - 1) / 2) / (~positive).sum()
+
+
+def planted(n=900):
+    """Texts of random words; one in eight has words of a small list, another language has a stem."""
+    pick = np.random.default_rng(3)
+    docs, labels = [], []
+    for k in range(n):
+        words = prose(1000 + k, int(pick.integers(20, 120)))
+        toxic = k % 8 == 0
+        if toxic:
+            insults = ["foulword", "nastyterm", "Uglyname!"] if k % 16 else ["übelst" + x for x in prose(k, 3)]
+            for word in insults:
+                words.insert(int(pick.integers(0, len(words))), word)
+        docs.append((k, " ".join(words), "", "", 0))
+        if k % 3:
+            labels.append((k, 1, int(toxic)))
+    return docs, labels
+
+
+def test_held_out_texts_are_told_apart(spark):
+    docs, labels = planted()
+    frame = spark.createDataFrame(docs, SCHEMA).repartition(3)
+    model = module.learn_toxicity(frame, spark.createDataFrame(labels, LABELS))
+    rows = module.toxicity_scores(frame, model, "score").select("doc_id", "score").collect()
+    unseen = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+    scores, truth = np.array([r.score for r in unseen]), np.array([int(r.doc_id % 8 == 0) for r in unseen])
+    assert auc(scores, truth) > 0.99
+    assert (scores[truth == 1] >= 0.7).mean() > 0.9 and (scores[truth == 0] >= 0.7).mean() < 0.01
+    assert scores.min() >= 0 and scores.max() <= 1
+
+
+def test_labels_of_the_held_out_third_change_nothing(spark):
+    docs, labels = planted(300)
+    frame = spark.createDataFrame(docs, SCHEMA)
+    turned = [(i, q, 1 - t if zlib.crc32(str(i).encode()) % 3 == 1 else t) for i, q, t in labels]
+    a, b = (module.learn_toxicity(frame, spark.createDataFrame(x, LABELS)) for x in (labels, turned))
+    assert np.array_equal(a.features, b.features) and np.array_equal(a.slope, b.slope) and a.bias == b.bias
+
+
+def test_non_negative_risk_separates_two_clouds():
+    pick = np.random.default_rng(1)
+    positive, negative = pick.normal(2, 1, (400, 2)), pick.normal(-2, 1, (1600, 2))
+    x = np.vstack([positive[:200], positive[200:], negative])
+    toxic = np.arange(len(x)) < 200
+    slope, bias = module._non_negative_pu(x, toxic, 200 / 1800)
+    z = x[200:] @ slope + bias
+    assert ((z > 0) == (np.arange(1800) < 200)).mean() > 0.97
+
+
+def test_awkward_rows_and_empty_tables(spark):
+    docs, labels = planted(200)
+    labels += [(None, None, 1), (5, None, None), (0, 1, 1), (0, 1, 1)]
+    marked = spark.createDataFrame(labels, LABELS)
+    frame = awkward(spark).selectExpr("*", "1 AS score", "2 AS toxic", "3 AS words", "4 AS id")
+    both = spark.createDataFrame(docs, SCHEMA).selectExpr("*", "1 AS score", "2 AS toxic", "3 AS words", "4 AS id").union(frame)
+    model = module.learn_toxicity(both, marked)
+    assert module.toxicity_scores(frame, model, "toxicity").select("toxicity").where("toxicity BETWEEN 0 AND 1").count() == len(awkward_rows())
+    kept = module.drop_toxic(frame, marked)
+    assert kept.columns == frame.columns
+    empty = spark.createDataFrame([], SCHEMA)
+    assert module.learn_toxicity(empty, marked) is None and module.learn_toxicity(frame, spark.createDataFrame([], LABELS)) is None
+    assert Counter(r[0] for r in module.drop_toxic(frame, spark.createDataFrame([], LABELS)).collect()) == Counter(r[0] for r in awkward_rows())
+    assert module.toxicity_scores(empty, model, "score").collect() == []
+
+
+@needs_tables
+def test_query(spark):
+    rows = QUERIES["op10_toxicity"](spark, FOLDER).collect()
+    docs = [r.doc_id for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id").collect()]
+    assert Counter(r.doc_id for r in rows) == Counter(docs)
+    for row in rows:
+        assert row.held_out == (zlib.crc32(str(row.doc_id).encode()) % 3 == 1)
+        assert 0 <= row.score <= 1 and row.predicted == int(row.score >= 0.7)
