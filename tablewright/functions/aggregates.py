@@ -84,7 +84,7 @@ def _quantile(frame: DataFrame, value: Value, probability: float) -> Value:
     if value.kind not in (*NUMERIC, NULL) or not 0 <= probability <= 1:
         raise TransformError("quantile() needs numbers and a probability from 0 to 1")
     number = Value(value.number().clean().cast("double"), FLOAT)
-    ordered = _ordered_counts(frame, number, "value")
+    ordered = _shared_counts(frame, number)
     total = ordered.agg(F.max("up_to")).scalar()
     position = (total - 1) * F.lit(probability)
     low, high = F.floor(position), F.ceil(position)
@@ -99,6 +99,15 @@ def _quantile(frame: DataFrame, value: Value, probability: float) -> Value:
     return Value(result.select(interpolated.alias("value")).scalar(), FLOAT)
 
 
+def _shared_counts(frame: DataFrame, value: Value) -> DataFrame:
+    """The ordered counts of a column, made once for all quantiles asked of this very frame."""
+    known = frame.__dict__.setdefault("_tablewright_counts", {})
+    key = value.column._jc.toString()
+    if key not in known:
+        known[key] = _ordered_counts(frame, value, "value")
+    return known[key]
+
+
 def _ordered_counts(frame: DataFrame, value: Value, name: str) -> DataFrame:
     """Distinct values with their count ``n``, the count ``up_to`` them and their ``place``.
 

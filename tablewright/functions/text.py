@@ -84,11 +84,14 @@ def like_pattern(pattern: str) -> str:
 
 
 def like(text: Column, pattern: str, *, stored_text: bool) -> Column:
-    """LIKE over rendered text. A fixed prefix also goes to the scan as ``startswith``."""
+    """LIKE over rendered text. What it says of fixed parts is also said in ways a scan understands."""
     matched = text.rlike("(?d)" + like_pattern(pattern))
-    prefix = re.split("[%_]", pattern, maxsplit=1)[0]
-    if stored_text and prefix and prefix != pattern:
-        return text.startswith(prefix) & matched
+    prefix, *others = re.split("[%_]", pattern)
+    longest = max(others, key=len, default="")
+    if stored_text and longest:
+        matched = text.contains(longest) & matched
+    if stored_text and prefix:
+        matched = text.startswith(prefix) & matched
     return matched
 
 

@@ -43,6 +43,8 @@ _CHARSETS = {
     "utf-16-be": "utf-16be",
 }
 _MEGABYTE = 1024 * 1024
+# Decimal digits that a DOUBLE and a BIGINT hold whatever they are.
+_DOUBLE_DIGITS, _BIGINT_DIGITS = 15, 18
 
 
 @dataclass
@@ -126,7 +128,12 @@ def plain_types(frame: DataFrame) -> DataFrame:
     """Types the library calculates with; columns that have them are left alone."""
 
     def plain(column: T.StructField) -> Column:
-        if isinstance(column.dataType, (T.DecimalType, T.FloatType)):
+        kind = column.dataType
+        if isinstance(kind, T.DecimalType) and kind.precision > _DOUBLE_DIGITS:
+            if kind.scale or kind.precision > _BIGINT_DIGITS:
+                raise FileGuardError(f"{column.name} is {kind.simpleString()}, which no type here holds exactly")
+            return field(column.name).cast("bigint").alias(column.name)
+        if isinstance(kind, (T.DecimalType, T.FloatType)):
             return field(column.name).cast("double").alias(column.name)
         if isinstance(column.dataType, (T.TimestampType, T.DateType)):
             return field(column.name).cast("timestamp_ntz").alias(column.name)

@@ -148,3 +148,27 @@ def test_a_single_file_is_the_parts_one_behind_the_other(spark, tmp_path):
     found = pd.read_csv(tmp_path / "out.csv")
     assert sorted(found["id"]) == list(range(1_000)) and set(found["s"]) == {f"x\n{k}" for k in range(1_000)}
     assert sorted(x.name for x in tmp_path.iterdir() if not x.name.startswith(".")) == ["out.csv"]
+
+
+def test_decimals_keep_their_digits_or_are_refused(spark):
+    from tablewright.errors import FileGuardError
+    from tablewright.sources.tables import plain_types
+
+    frame = spark.sql("SELECT CAST(900719925474099301 AS DECIMAL(18,0)) a, CAST(1.25 AS DECIMAL(9,2)) b, CAST(7 AS DECIMAL(5,0)) c")
+    assert plain_types(frame).dtypes == [("a", "bigint"), ("b", "double"), ("c", "double")]
+    assert plain_types(frame).first()[0] == 900719925474099301
+    for kind in ("DECIMAL(20,0)", "DECIMAL(18,2)"):
+        with pytest.raises(FileGuardError):
+            plain_types(spark.sql(f"SELECT CAST(1 AS {kind}) a"))
+
+
+def test_quantiles_of_a_column_share_its_counts(spark, monkeypatch):
+    from tablewright.functions import aggregates
+    from tablewright.functions.expressions import evaluate
+
+    made = []
+    original = aggregates._ordered_counts
+    monkeypatch.setattr(aggregates, "_ordered_counts", lambda *a: made.append(1) or original(*a))
+    frame = spark.range(101).selectExpr("id AS t__x")
+    out, value = evaluate(frame, "t.x.median() + t.x.quantile(0.25) + t.x.quantile(0.9)", phase="test")
+    assert out.select(value.column).first()[0] == 50 + 25 + 90 and len(made) == 1
