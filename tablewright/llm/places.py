@@ -6,6 +6,7 @@ import atexit
 import gc
 import os
 import tempfile
+import time
 import uuid
 from pathlib import Path
 
@@ -66,9 +67,14 @@ class Scratch:
                 storage.delete(self.spark, path)
 
     def release(self) -> None:
-        """Let Spark delete shuffle files that no frame refers to any more."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        """Let Spark delete shuffle files that no frame refers to any more.
+
+        Listeners still hold the last query for a moment, hence the second time.
+        """
+        for _ in range(2):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(1)
 
     def _remove(self, path: str) -> None:
         if self.spark.sparkContext._jsc is not None:

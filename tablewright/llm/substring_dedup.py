@@ -5,10 +5,10 @@ A window of 50 words holds at least one of its document's non-overlapping 25-wor
 them, which a rolling 25-word window of the other hits.
 
 1. Every document's rolling windows probe the blocks of all others. Hashes meet in
-   buckets: a slice of documents sends each hash it has once, five bytes long, with its
+   buckets: a slice of documents sends each hash it has once, four bytes long, with its
    place and whether it is a block. What occurs twice in a slice is a hit already, so a
    passage that a third of all documents share sends one entry a slice.
-2. Hits are extended: each 50-word window around a hit, by a 128-bit hash, looks for the
+2. Hits are extended: each 50-word window around a hit, by a 96-bit hash, looks for the
    smallest identity among the documents it starts in; overlapping windows form the
    maximal repeats. Again a slice sends each window once, for its smallest identity.
 3. The words of the repeats go from all documents but those with the smallest identity.
@@ -34,8 +34,8 @@ from tablewright.llm.texts import SLICE_BYTES, WordIds, mixed, rolled, slices, u
 WINDOW = 50
 #: Text whose windows one bucket should hold, in bytes; the number of buckets follows the input.
 BUCKET_BYTES = 16 << 20
-#: Text of one slice. Larger slices send fewer entries.
-_SLICE = 4 * SLICE_BYTES
+#: Text of one slice, in bytes; larger slices send fewer entries and take more memory.
+_SLICE = SLICE_BYTES
 #: A missing identity counts as larger than any.
 _NO_ID = np.iinfo(np.int64).max
 _SECOND = 0xC2B2AE3D27D4EB4F
@@ -57,10 +57,12 @@ def repeated_spans(docs: DataFrame, identity: str = "doc_id", text: str = "text"
     buckets = max(1, -(-size // BUCKET_BYTES))
     hits = scratch.keep(_exchange(rows, _Anchors(window), buckets), "hits")
     scratch.release()
-    near = rows.join(hits.withColumnsRenamed({"id": "hit_id", "key": "hit_key"}), _same("id", "key", "hit_id", "hit_key"))
-    windows = near.select("id", "key", "words", "spans")
+    # Ranges grow with the documents: they are not broadcast, however few a sample has.
+    near = hits.withColumnsRenamed({"id": "hit_id", "key": "hit_key"}).hint("merge")
+    windows = rows.join(near, _same("id", "key", "hit_id", "hit_key")).select("id", "key", "words", "spans")
     found = scratch.keep(_exchange(windows, _Windows(window), buckets), "spans")
     scratch.drop(hits)
+    del near, windows, hits
     scratch.release()
     return found
 
@@ -76,7 +78,7 @@ def with_spans(docs: DataFrame, name: str, identity: str = "doc_id", text: str =
     key = fresh_name(docs, "row_key")
     found = found.select(F.col("id").alias(f"{key}_id"), F.col("key").alias(f"{key}_of"), F.col("spans").alias(name))
     keyed = docs.withColumn(key, row_key(identity, text)).withColumn(f"{key}_long", quoted(identity).cast("long"))
-    joined = keyed.join(found, _same(f"{key}_long", key, f"{key}_id", f"{key}_of"), "left")
+    joined = keyed.join(found.hint("merge"), _same(f"{key}_long", key, f"{key}_id", f"{key}_of"), "left")
     return joined.select(*map(quoted, docs.columns), quoted(name))
 
 
@@ -153,7 +155,7 @@ class _Slice:
 class _Anchors:
     """Step 1: rolling windows meet blocks."""
 
-    hash_bytes, with_identity = 5, False
+    hash_bytes, with_identity = 4, False
 
     def __init__(self, window: int) -> None:
         self.size = (window + 1) // 2
@@ -172,14 +174,12 @@ class _Anchors:
         twice = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1 if len(new) else new
         sent = np.sort(order[new])  # of each hash one, a block if it has one
         low = (hashes[sent] & ~np.uint64(1)) | block[sent]
-        return low.view(np.uint8).reshape(-1, 8)[:, :5], hashes[sent] >> np.uint64(40), places[sent], places[order[twice]]
+        return low.view(np.uint8).reshape(-1, 8)[:, :4], hashes[sent] >> np.uint64(40), places[sent], places[order[twice]]
 
     def meet(self, digits: np.ndarray, identity: np.ndarray | None) -> np.ndarray:
         """Which entries of a bucket share their hash with another, one of them being a block."""
-        wide = np.zeros((len(digits), 8), np.uint8)
-        wide[:, :5] = digits
-        values = wide.view(np.uint64)[:, 0]
-        block, values = values & np.uint64(1), values >> np.uint64(1)
+        values = np.ascontiguousarray(digits).view(np.uint32)[:, 0]
+        block, values = values & np.uint32(1), values >> np.uint32(1)
         order = np.argsort(values)
         ordered = values[order]
         group = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
@@ -196,7 +196,7 @@ class _Anchors:
 class _Windows:
     """Step 2: windows around hits meet the smallest identity that has them."""
 
-    hash_bytes, with_identity = 16, True
+    hash_bytes, with_identity = 12, True
 
     def __init__(self, window: int) -> None:
         self.size = self.window = window
@@ -210,24 +210,25 @@ class _Windows:
                 near[at + max(span["first"], span["last"] - self.size + 1)] -= 1
         places = places[np.cumsum(near[:-1])[places] > 0]
         if not len(places):
-            return np.zeros((0, 16), np.uint8), np.zeros(0, np.uint64), places, places
+            return np.zeros((0, 12), np.uint8), np.zeros(0, np.uint64), places, places
         first = rolled(part.flat, self.size)[places]
-        second = rolled(part.flat, self.size, _SECOND)[places]
+        second = rolled(part.flat, self.size, _SECOND)[places].astype(np.uint32)
         identity = part.identity[part.owner[places]]
         order = np.lexsort((identity, second, first))
         a, b, who = first[order], second[order], identity[order]
         new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
         least = who[new][np.cumsum(new) - 1]
         sent = np.sort(order[who == least])  # the smallest identity's, as often as it has them
-        digits = np.stack([first[sent], second[sent]], axis=1).view(np.uint8).reshape(-1, 16)
+        digits = np.hstack([x[sent].view(np.uint8).reshape(len(sent), -1) for x in (first, second)])
         return digits, first[sent] >> np.uint64(40), places[sent], places[order[who > least]]
 
     def meet(self, digits: np.ndarray, identity: np.ndarray | None) -> np.ndarray:
-        pairs = np.ascontiguousarray(digits).view(np.uint64).reshape(-1, 2)
-        order = np.lexsort((identity, pairs[:, 1], pairs[:, 0]))
-        ordered, who = pairs[order], identity[order]
-        new = np.concatenate(([True], (ordered[1:] != ordered[:-1]).any(axis=1)))
-        found = np.zeros(len(pairs), bool)
+        first = np.ascontiguousarray(digits[:, :8]).view(np.uint64)[:, 0]
+        second = np.ascontiguousarray(digits[:, 8:]).view(np.uint32)[:, 0]
+        order = np.lexsort((identity, second, first))
+        a, b, who = first[order], second[order], identity[order]
+        new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        found = np.zeros(len(digits), bool)
         found[order] = who > who[new][np.cumsum(new) - 1]
         return found
 
@@ -241,20 +242,20 @@ _FOUND = "slice long, n int, places binary, ids binary"
 
 def _exchange(rows: DataFrame, step: _Anchors | _Windows, buckets: int) -> DataFrame:
     """``id``, ``key``, ``spans`` of the documents in which ``step`` finds something."""
-    emitted = rows.mapInArrow(lambda batches: _emit(batches, step, buckets), _SENT)
+    emitted = rows.mapInArrow(lambda batches: _emit(batches, step, buckets, _SLICE), _SENT)
     met = emitted.groupBy("bucket").applyInArrow(_meet(step), _FOUND)
     kind = T.StructType([T.StructField("id", T.LongType()), T.StructField("key", T.LongType()), T.StructField("spans", _RANGES)])
     return met.groupBy("slice").applyInArrow(_gather(step), kind)
 
 
-def _emit(batches: Iterator[pa.RecordBatch], step: _Anchors | _Windows, buckets: int) -> Iterator[pa.RecordBatch]:
+def _emit(batches: Iterator[pa.RecordBatch], step: _Anchors | _Windows, buckets: int, limit: int) -> Iterator[pa.RecordBatch]:
     """A slice's entries by bucket, what it has found itself, and its list of documents.
 
     The list and the finds, whose ``digits`` are null, pass through some bucket.
     """
     ids = WordIds()
     for batch in batches:
-        for rows in slices(batch, 2, _SLICE):
+        for rows in slices(batch, 2, limit):
             part = _slice(rows, ids)
             name = xxhash.xxh3_64_intdigest(part.key.tobytes() + part.identity.tobytes()) >> 1
             digits, spread, places, found = step.entries(part)
