@@ -94,7 +94,8 @@ def count_document_tokens(docs: DataFrame, identity: str = "doc_id", text: str =
     written = scratch.keep(write_token_files(docs, folder, identity, text, tokenizer), "documents")
     files = scratch.keep(written.groupBy("file").agg(F.max("bytes").alias("bytes")), "files")
     counts = token_counts(files, folder)
-    return written.join(counts, ["file", "number"]).select("doc_id", "n_tokens", "file", "number", "start")
+    # Both sides have a row per document: never broadcast, however small their files look.
+    return written.join(counts.hint("merge"), ["file", "number"]).select("doc_id", "n_tokens", "file", "number", "start")
 
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end: int, kind: str, roll: int) -> Iterator[pa.RecordBatch]:
