@@ -88,9 +88,11 @@ def learn_toxicity(
     asked = toxic.withColumn("toxic", F.lit(True)).union(others.withColumn("toxic", F.lit(False)))
     rows = docs.select(quoted(identity).alias("id"), utf8(quoted(text)).alias("words"))
     sample = rows.join(F.broadcast(asked), "id").select("toxic", "words").mapInArrow(_word_features, "toxic boolean, features binary")
+    # Rows that repeat an identity cannot make the sample any longer than that.
     found = sample.limit(2 * (positives + unlabelled)).toArrow()
     # Copies of a text would make its rare words look common.
     distinct = sorted(set(zip(found.column("toxic").to_pylist(), found.column("features").to_pylist(), strict=True)))
+    del found
     matrices = [np.frombuffer(x, np.uint64).reshape(-1, 1 + len(BEGINNINGS)) for _, x in distinct]
     flags = np.array([x for x, _ in distinct], bool)
     if not flags.any() or flags.all():
@@ -138,6 +140,7 @@ class _WordWeights(dict):
     def __init__(self, model: Broadcast) -> None:
         super().__init__()
         self._model = model
+        self._weights: dict[int, float] | None = None
 
     def __reduce__(self) -> tuple:
         return _WordWeights, (self._model,)
@@ -149,7 +152,9 @@ class _WordWeights(dict):
     def __missing__(self, word: bytes) -> float:
         if len(self) >= REMEMBERED:
             self.clear()
-        value = self[word] = float(_lookup(np.array([_features(word)], np.uint64), self.model.features, self.model.weights)[0])
+        if self._weights is None:
+            self._weights = dict(zip(self.model.features.tolist(), self.model.weights.tolist(), strict=True))
+        value = self[word] = max(0.0, *(self._weights.get(x, 0.0) for x in _features(word)))
         return value
 
 
@@ -191,13 +196,16 @@ def _scores(texts: list[bytes], known: _WordWeights) -> np.ndarray:
 
 
 def _fit(matrices: list[np.ndarray], toxic: np.ndarray, prior: float) -> ToxicityModel:
-    distinct = [np.unique(x) for x in matrices]
-    features, in_toxic = np.unique(np.concatenate([x for x, t in zip(distinct, toxic, strict=True) if t]), return_counts=True)
+    own = [np.unique(x) for x, t in zip(matrices, toxic, strict=True) if t]
+    features, in_toxic = np.unique(np.concatenate(own), return_counts=True)
     enough = in_toxic >= LEAST_TEXTS
     features, in_toxic = features[enough], in_toxic[enough]
-    others, in_others = np.unique(np.concatenate([x for x, t in zip(distinct, toxic, strict=True) if not t]), return_counts=True)
-    at = np.minimum(np.searchsorted(others, features), max(0, len(others) - 1))
-    in_unlabelled = np.where(others[at] == features, in_others[at], 0) if len(others) else np.zeros(len(features), np.int64)
+    in_unlabelled = np.zeros(len(features), np.int64)
+    for x, t in zip(matrices, toxic, strict=True):
+        if not t and len(features):
+            there = np.unique(x)
+            at = np.minimum(np.searchsorted(features, there), len(features) - 1)
+            in_unlabelled[at[features[at] == there]] += 1
     n_toxic, n_unlabelled = int(toxic.sum()), int((~toxic).sum())
 
     def log_ratio(p: np.ndarray, u: np.ndarray, n_p: int, n_u: int) -> np.ndarray:
