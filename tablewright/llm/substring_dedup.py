@@ -45,9 +45,10 @@ _RANGES = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.Stru
 def repeated_spans(docs: DataFrame, identity: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """``id``, ``key``, ``spans``: the word ranges that documents with smaller identities have too.
 
-    One row per document with such words; ``key`` is ``row_key`` of the row. Each range
-    has its first word and the word after its last, counted from 0. Rows with equal
-    identities do not take words from each other; a null identity counts as the largest.
+    One row per document with such words, repeated rows having one together; ``key`` is
+    ``row_key`` of the row. Each range has its first word and the word after its last,
+    counted from 0. Rows with equal identities do not take words from each other; a null
+    identity counts as the largest.
     """
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(
@@ -55,12 +56,13 @@ def repeated_spans(docs: DataFrame, identity: str = "doc_id", text: str = "text"
     )
     size = rows.agg(F.sum(F.length("words"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
-    hits = scratch.keep(_exchange(rows, _Anchors(window), buckets), "hits")
+    # Repeated rows each have their own finds; more than one of them would multiply the rows of the joins.
+    hits = scratch.keep(_exchange(rows, _Anchors(window), buckets).dropDuplicates(["id", "key"]), "hits")
     scratch.release()
     # Ranges grow with the documents: they are not broadcast, however few a sample has.
     near = hits.withColumnsRenamed({"id": "hit_id", "key": "hit_key"}).hint("merge")
     windows = rows.join(near, _same("id", "key", "hit_id", "hit_key")).select("id", "key", "words", "spans")
-    found = scratch.keep(_exchange(windows, _Windows(window), buckets), "spans")
+    found = scratch.keep(_exchange(windows, _Windows(window), buckets).dropDuplicates(["id", "key"]), "spans")
     scratch.drop(hits)
     del near, windows, hits
     scratch.release()

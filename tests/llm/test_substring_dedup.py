@@ -49,6 +49,18 @@ def test_many_overlapping_passages(spark, monkeypatch, partitions):
     assert Counter((i, n, r, bytes(k)) for i, n, r, k in found.collect()) == Counter(expected(rows))
 
 
+@pytest.mark.parametrize("slice_bytes", [1, 1 << 24])
+def test_repeated_rows_that_lose_words_stay_as_many(spark, monkeypatch, slice_bytes):
+    monkeypatch.setattr(module, "_SLICE", slice_bytes)
+    passage = prose(40, 60)
+    text = " ".join(prose(41, 5) + passage)
+    rows = [(1, " ".join(passage), "", "", 0)] + [(7, text, "", "", 0)] * 3 + [(None, text, "", "", 0)] * 2
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    found = module.removed_words(docs)
+    assert Counter((i, n, r, bytes(k)) for i, n, r, k in found.collect()) == Counter(expected(rows))
+    assert Counter(row.doc_id for row in module.drop_repeats(docs).collect()) == {1: 1, 7: 3, None: 2}
+
+
 def test_empty_table_and_clashing_columns(spark):
     assert module.removed_words(spark.createDataFrame([], SCHEMA)).collect() == []
     docs = awkward(spark).selectExpr("*", "1 AS spans", "2 AS key", "3 AS row_key", "4 AS shortened", "5 AS id")
