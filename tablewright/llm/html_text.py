@@ -7,8 +7,9 @@ vector (how often each page has them) form an equivalence class. Classes that ma
 have are valid. They nest as their paths do, the class of the document root outermost, and
 what lies between their tokens are the slots of the template:
 
-* the region is the element that holds the article: the content element of a valid class
-  that most pages have, or else the smallest one with most of the varying text;
+* the region is the element that holds the article: the <article> or <main> that most pages
+  have, or else the smallest element that holds most of the text and whatever has the name
+  of content, titles and bodies side by side among them;
 * text of a valid class is fixed: the template's, not the page's;
 * the other text blocks of the region, menus, notices, adverts, forms, comments and the
   like apart, are the slots that are extracted.
@@ -25,7 +26,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -226,16 +227,32 @@ def templates(rows: DataFrame, scratch: Scratch) -> DataFrame:
     content = F.when(F.startswith(last, F.lit("++")), 2).when(F.startswith(last, F.lit("+")), 1).otherwise(0)
     fits = (F.col("element.path") != "") & ~F.contains("element.path", F.lit("!"))
     most = F.col("element.chars") >= MOST * F.col("all_chars")
-    # Of content elements the outermost that most pages have; else the innermost with most text.
-    rank = F.when(fits & (content > 0), F.struct(F.lit(2).alias("a"), content.alias("b"), F.col("pages").alias("c"), (-depth).alias("d"))).when(
-        fits & most, F.struct(F.lit(1).alias("a"), F.lit(0).alias("b"), F.col("pages").alias("c"), depth.alias("d"))
+    path = F.col("element.path")
+    named, says = fits & (content == 1), fits & (content == 2)
+    found = nested.groupBy("host").agg(
+        F.max_by(F.when(says, path), F.when(says, F.struct(F.col("pages").alias("a"), (-depth).alias("b"), path.alias("c")))).alias("says"),
+        F.max_by(F.when(fits & most, path), F.when(fits & most, F.struct(F.col("pages").alias("a"), depth.alias("b"), path.alias("c")))).alias("most"),
+        F.min(F.when(named, names)).alias("first"),
+        F.max(F.when(named, names)).alias("last"),
     )
-    regions = nested.where(rank.isNotNull()).groupBy("host").agg(F.max_by("element.path", F.struct(rank, F.col("element.path"))).alias("region"))
+    # <article> or <main>, the outermost that most pages have; else the innermost element with
+    # most text, and if others are named as content, the smallest that holds it and all of them.
+    # What all paths between two have in common, the two have.
+    innermost = F.split("most", "/")
+    covering = _common(F.least("first", "last", innermost), F.greatest("first", "last", innermost))
+    widest = F.when(F.col("first").isNull() | F.col("most").isNull(), F.col("most")).otherwise(F.array_join(covering, "/"))
+    regions = found.select("host", F.coalesce("says", F.when(widest != "", widest)).alias("region")).where("region IS NOT NULL")
     valid = classes.where(F.col("pages") >= PAGES).select("host", F.explode("texts").alias("text"))
     fixed = valid.groupBy("host").agg(F.collect_set("text").alias("fixed"))
     return regions.join(fixed, "host", "full")
 
 
+def _common(first: Column, last: Column) -> Column:
+    """The elements that two paths begin with alike."""
+    differs = F.array_position(F.zip_with(first, last, lambda a, b: a.eqNullSafe(b)), False)
+    return F.when(differs == 0, first).otherwise(F.slice(first, 1, (differs - 1).cast("int")))
+
+
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per page its elements' paths with the characters in them, and its texts, each with how often."""
     for batch in batches:

@@ -53,6 +53,26 @@ def test_texts_of_the_template_go_where_no_element_says_what_the_article_is(spar
     assert {r.page_id: r.text for r in found.collect()} == wanted
 
 
+NAMED = {
+    "side by side": "<div id=wrap><h1 class=entry-title>{t}</h1><div class=entry-content><p>{a}</p><p>{b}</p></div></div>",
+    "shallower title": "<div id=wrap><h1 class=entry-title>{t}</h1><div class=x><div class=entry-content><p>{a}</p><p>{b}</p></div></div></div>",
+    "title alone": "<div id=wrap><h1 class=post-title>{t}</h1><div class=x><p>{a}</p><p>{b}</p></div></div>",
+    "around": "<div class=main><h1>{t}</h1><div class=x><p>{a}</p><p>{b}</p></div></div>",
+    "several bodies": "<div class=wrap><div class=post><h1>{t}</h1></div><div class=story><p>{a}</p></div><div class=content><p>{b}</p></div></div>",
+}
+
+
+@pytest.mark.parametrize("name", NAMED)
+def test_elements_named_as_content_keep_title_and_body(spark, name):
+    rows, wanted = [], {}
+    for k in range(6):
+        t, a, b = " ".join(prose(900 + k, 5)), " ".join(prose(1000 + k, 60)), " ".join(prose(1100 + k, 50))
+        rows.append((k, f"http://h.example/{k}", page(k, NAMED[name].format(t=t, a=a, b=b) + "<div class=low><p>Imprint</p></div>")))
+        wanted[k] = f"{t}\n\n{a}\n\n{b}"
+    found = module.extract_text(spark.createDataFrame(rows, PAGES).repartition(3))
+    assert {r.page_id: r.text for r in found.collect()} == wanted
+
+
 def test_a_page_repeated_over_a_host_keeps_its_article(spark):
     rows = [(k, "http://h.example/", page(0, CASES["article"][0])) for k in range(6)]
     found = module.extract_text(spark.createDataFrame(rows, PAGES))
