@@ -3,14 +3,15 @@
 Pages of a host are made from one template: elements and texts that belong to it occur
 the same number of times in the same pages. So the tokens of a page are the elements on
 its paths from the root and its text blocks; tokens of a host with the same occurrence
-vector (how often each page has them) form an equivalence class. Classes that many pages
-have are valid. They nest as their paths do, the class of the document root outermost, and
-what lies between their tokens are the slots of the template:
+vector (how often each page has them) are grouped. What is chosen depends on the number of
+pages, the characters and the names of each token, not on the vector: unlike the published
+method, groups neither decide nor nest. Groups that many pages have are valid:
 
 * the region is the element that holds the article: the <article> or <main> that most pages
   have, or else the smallest element that holds most of the text and whatever has the name
   of content, titles and bodies side by side among them;
-* text of a valid class is fixed: the template's, not the page's;
+* text of a valid class is fixed: the template's, not the page's; in an <article> or <main>
+  it stays, as an article that many pages repeat looks the same;
 * the other text blocks of the region, menus, notices, adverts, forms, comments and the
   like apart, are the slots that are extracted.
 
