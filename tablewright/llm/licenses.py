@@ -2,7 +2,8 @@
 
 DataFrame functions only. A block is a line of a text, a template the words of a license
 statement; a block meets a template if it has at least ``threshold`` of the template's
-distinct words. The join finds all such pairs:
+distinct words. A statement that is wrapped over lines is not seen as a whole and may be
+missed. The join finds all such pairs:
 
 * Words are ordered by how often the whole corpus has them, rarest first.
 * Prefix filter: of a template with n words, k = ceil(threshold * n) must be there, so one
