@@ -142,3 +142,18 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {_DIGITS} AS payload_dige
        CASE WHEN page_id <> response THEN response END AS refers_to
 FROM p JOIN g USING (html)
 """
+
+
+CHAT_FORMAT = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT -1, turn, role, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v (turn, role)),
+written AS (SELECT *, regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') AS body FROM t)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length('<|im_start|>') + length(role) + 1 + length(body) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
+FROM written GROUP BY conv_id
+"""
