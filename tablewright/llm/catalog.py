@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tablewright.llm import sql
 from tablewright.llm.chat_format import format_conversations, loss_texts, parse_conversation
+from tablewright.llm.collocations import collocations
 from tablewright.llm.decontamination import contaminations
 from tablewright.llm.html_text import extract_text
 from tablewright.llm.licenses import scan_licenses
@@ -145,3 +146,11 @@ def op12_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL["op12_chat_format"] = sql.CHAT_FORMAT
+
+
+@query
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(table(spark, folder, "documents"))
+
+
+SQL["op13_collocations"] = sql.COLLOCATIONS
