@@ -17,6 +17,7 @@ from tablewright.llm.near_duplicates import near_duplicates
 from tablewright.llm.packing import pack_documents
 from tablewright.llm.places import importable
 from tablewright.llm.quality_rules import RepetitionLimits, quality_verdict, repetition_signals
+from tablewright.llm.spelling import run_counts, spelling_variants
 from tablewright.llm.substring_dedup import removed_words
 from tablewright.llm.token_counts import count_document_tokens
 from tablewright.llm.toxicity import held_out, learn_toxicity, toxicity_scores
@@ -154,3 +155,8 @@ def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL["op13_collocations"] = sql.COLLOCATIONS
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants(run_counts(table(spark, folder, "documents")))

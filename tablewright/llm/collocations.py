@@ -183,7 +183,7 @@ def _count_shards(batches: Iterator[pa.RecordBatch], size: int, known: Broadcast
 
 def _chunks(text: pa.Buffer | None) -> Iterator[list[bytes]]:
     """The words of a text with separators, chunk by chunk; a chunk ends between words."""
-    view = memoryview(text) if text is not None else memoryview(b"")
+    view = memoryview(text).cast("B") if text is not None else memoryview(b"")
     start = 0
     while start < len(view):
         end = min(start + CHUNK_BYTES, len(view))
