@@ -26,6 +26,8 @@ KIND = "<u2"
 #: Bytes of a block, and of a file that the writer rolls.
 BLOCK = 8 << 20
 FILE = 64 << 20
+#: Separators that one row lists; a block with more gives several rows.
+LISTED = 1 << 16
 
 
 def write_token_files(
@@ -80,11 +82,16 @@ def token_counts(files: DataFrame, folder: str, end: int = END_OF_DOCUMENT, kind
     stop = F.when((F.col("left") >= 0) & (F.coalesce(after_last, F.col("open")) < F.col("left")), F.array("left"))
     ends = F.concat("ends", F.coalesce(stop, F.array().cast("array<long>")))
     starts = F.concat(F.array("open"), F.transform("ends", lambda x: x + 1))
-    rows = stitched.select("file", "number", starts.alias("starts"), F.posexplode(ends).alias("nth", "end"))
+    spans = stitched.select("file", "number", starts.alias("starts"), ends.alias("stops"))
+    spans = spans.select("file", "number", F.slice("starts", F.lit(1), F.size("stops")).alias("starts"), "stops")
+    # A row generated holds one start and one end, and no list.
+    rows = spans.select("file", "number", F.posexplode(F.arrays_zip("starts", "stops")).alias("nth", "x"))
     return rows.select(
-        "file", (F.col("number") + F.col("nth")).alias("number"), F.col("starts")[F.col("nth")].alias("start")
-        , (F.col("end") - F.col("starts")[F.col("nth")]).alias("n_tokens")
-    )
+        "file",
+        (F.col("number") + F.col("nth")).alias("number"),
+        F.col("x.starts").alias("start"),
+        (F.col("x.stops") - F.col("x.starts")).alias("n_tokens"),
+    )
 
 
 def count_document_tokens(docs: DataFrame, identity: str = "doc_id", text: str = "text", tokenizer: str | None = None) -> DataFrame:
@@ -126,14 +133,17 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end: int,
 
 
 def _scan(batches: Iterator[pa.RecordBatch], folder: str, end: int, kind: str, block: int) -> Iterator[pa.RecordBatch]:
-    """The separators of each block, and the file's number of tokens (-1: not its last block)."""
+    """The separators of each block, and the file's number of tokens (-1: not its last row)."""
     width = np.dtype(kind).itemsize
     for batch in batches:
         for name, size, at in zip(*(column.to_pylist() for column in batch.columns), strict=True):
             data = np.frombuffer(read_range(folder, name, at, min(block, size - at)), kind)
             ends = np.flatnonzero(data == end) + at // width
-            left = size // width if at + block >= size else -1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name]), pa.array([at], pa.int64()), pa.array([left], pa.int64()), pa.array([ends], pa.list_(pa.int64()))],
-                names=["file", "at", "left", "ends"],
-            )
+            for first in range(0, max(1, len(ends)), LISTED):
+                part = ends[first : first + LISTED]
+                left = size // width if at + block >= size and first + LISTED >= len(ends) else -1
+                # Fewer separators than bytes: the places of all rows of a file stay in order.
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name]), pa.array([at + first], pa.int64()), pa.array([left], pa.int64()), pa.array([part], pa.list_(pa.int64()))],
+                    names=["file", "at", "left", "ends"],
+                )
