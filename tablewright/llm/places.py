@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from tablewright.sources import storage
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder driver and executors share; one of our own only on a single machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -29,7 +32,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def importable(spark: SparkSession) -> None:
-    """Workers that share this file system import this package from where the driver has it."""
+    """Workers that share this file system import this package from where the driver has it.
+
+    Batches of rows that go to workers are bounded by bytes where the session does not say
+    how: texts are long, and workers of an executor share its memory.
+    """
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, "4m")
     root = str(Path(__file__).resolve().parents[2])
     environment = spark.sparkContext.environment
     known = environment.get("PYTHONPATH", "").split(os.pathsep)

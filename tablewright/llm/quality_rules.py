@@ -85,25 +85,20 @@ _CONTINUES = (np.arange(256) & 0xC0) == 0x80
 
 
 def _measure(texts: list[bytes], sizes: tuple[int, ...], ids: WordIds) -> list[np.ndarray]:
-    words = [text.split() for text in texts]
-    flat, bounds = word_ids(words, ids)
+    flat, bounds = word_ids([text.split() for text in texts], ids)
     count = np.diff(bounds)
-    chars, symbols, starts, ends = _characters(texts, len(flat))
-    # Code points of each word, and of all words before it.
-    length = chars[ends] - chars[starts]
-    before = np.concatenate(([0], np.cumsum(length)))
-    text_ends = np.cumsum([0, *map(len, texts)])
+    length, symbols = _characters(texts, len(flat))
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), count)
     columns = {
         "n_words": count,
-        "word_chars": before[bounds[1:]] - before[bounds[:-1]],
-        "n_symbols": symbols[text_ends[1:]] - symbols[text_ends[:-1]],
+        "word_chars": np.bincount(owner, length, minlength=len(texts)),
+        "n_symbols": symbols,
     }
     columns |= _lines(texts)
-    owner = np.repeat(np.arange(len(texts)), count)
     left = np.repeat(bounds[1:], count) - np.arange(len(flat))  # words to the end of the text
     place, again = _repeats(flat, owner, left, REPEAT_WINDOW, None)
     both = place[again != 1]
-    columns["n_repeat_words"] = _covered(both, REPEAT_WINDOW, np.ones(len(flat), np.int64), owner, len(texts))
+    columns["n_repeat_words"] = _covered(both, REPEAT_WINDOW, np.ones(len(flat), np.int8), owner, len(texts))
     # A longer n-gram can only occur again where its first three words do.
     for size in sizes:
         place, again = _repeats(flat, owner, left, size, place if size > REPEAT_WINDOW else None)
@@ -111,20 +106,27 @@ def _measure(texts: list[bytes], sizes: tuple[int, ...], ids: WordIds) -> list[n
     return [np.asarray(columns[x], np.int64) for x in _signals_type(sizes).names]
 
 
-def _characters(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Running counts of code points and symbols by byte; first byte and end of each word."""
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    chars = np.concatenate(([0], np.cumsum(~_CONTINUES[data], dtype=np.int64)))
-    symbols = np.concatenate(([0], np.cumsum(_SYMBOL[data], dtype=np.int64)))
-    inside = ~_SPACE[data]
-    edges = np.zeros(len(data) + 1, bool)
-    if len(data):
-        edges[np.cumsum([0, *map(len, texts)])] = True  # a word ends with its text
-    before, after = np.concatenate(([False], inside)), np.concatenate((inside, [False]))
-    starts = np.flatnonzero(after & (~before | edges))
-    ends = np.flatnonzero(before & (~after | edges))
-    assert len(starts) == len(ends) == words
-    return chars, symbols, starts, ends
+def _characters(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of each word of all texts, and symbols of each text."""
+    lengths = np.zeros(words, np.int32)
+    symbols = np.zeros(len(texts), np.int64)
+    done = 0
+    for k, text in enumerate(texts):
+        data = np.frombuffer(text, np.uint8)
+        symbols[k] = np.count_nonzero(_SYMBOL[data])
+        inside = np.zeros(len(data) + 2, bool)
+        inside[1:-1] = ~_SPACE[data]
+        edges = np.flatnonzero(inside[1:] != inside[:-1]).astype(np.int32)
+        starts, ends = edges[::2], edges[1::2]
+        own = lengths[done : done + len(starts)]
+        own[:] = ends - starts
+        if not text.isascii():
+            # Bytes that continue a code point count for the word they are in.
+            later = np.flatnonzero(_CONTINUES[data]).astype(np.int32)
+            own -= (np.searchsorted(later, ends) - np.searchsorted(later, starts)).astype(np.int32)
+        done += len(starts)
+    assert done == words
+    return lengths, symbols
 
 
 def _lines(texts: list[bytes]) -> dict[str, list[int]]:
@@ -150,7 +152,7 @@ def _repeats(
     ``among`` are the only places to look at.
     """
     hashes = rolled(flat, size)
-    places = np.flatnonzero(left[: len(hashes)] >= size) if among is None else among[left[among] >= size]
+    places = np.flatnonzero(left[: len(hashes)] >= size).astype(np.int32) if among is None else among[left[among] >= size]
     if not len(places):
         return places, places
     keys = mixed(hashes[places] + mixed(owner[places].astype(np.uint64) + np.uint64(1)))
@@ -163,7 +165,7 @@ def _repeats(
     first[order[:-1][same]] = True
     first &= ~later
     found = first | later
-    return places[found], np.where(later, 2, 0)[found]
+    return places[found], np.where(later, np.int8(2), np.int8(0))[found]
 
 
 def _covered(places: np.ndarray, size: int, weight: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:

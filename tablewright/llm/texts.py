@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from tablewright.llm.places import fresh_name, quoted
 
 #: Bytes of text a function sees at once; a longer text comes alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Words whose ids one Python worker remembers.
 REMEMBERED = 1 << 18
 
@@ -43,20 +43,30 @@ def map_texts(
     frame: DataFrame, text: str, name: str, kind: T.StructType, compute: Callable[[list[bytes]], list[np.ndarray | pa.Array]]
 ) -> DataFrame:
     """The frame with a struct column ``name`` that ``compute`` makes of the texts' bytes."""
-    raw, limit = fresh_name(frame, "utf8"), SLICE_BYTES
-    passed = len(frame.columns)
+    passed, limit = len(frame.columns), SLICE_BYTES
     names = [*frame.columns, name]
     fields = kind.names
+    # A column of strings is sent once and read as bytes; anything else becomes text first.
+    plain = isinstance(frame.schema[text].dataType, T.StringType)
+    column = frame.columns.index(text) if plain else passed
+    sent = frame if plain else frame.withColumn(fresh_name(frame, "utf8"), utf8(quoted(text)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, passed, limit):
-                values = [pa.array(x) if isinstance(x, np.ndarray) else x for x in compute(part.column(passed).to_pylist())]
+            for part in slices(batch, column, limit):
+                texts = [x or b"" for x in part.column(column).cast(pa.binary()).to_pylist()]
+                values = [pa.array(x) if isinstance(x, np.ndarray) else x for x in compute(texts)]
                 struct = pa.StructArray.from_arrays(values, names=fields)
                 yield pa.RecordBatch.from_arrays([*part.columns[:passed], struct], names=names)
+        give_back()
 
     schema = T.StructType([*frame.schema.fields, T.StructField(name, kind)])
-    return frame.withColumn(raw, utf8(quoted(text))).mapInArrow(run, schema)
+    return sent.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Return memory that Arrow keeps for later to the system: workers serve other tasks next."""
+    pa.default_memory_pool().release_unused()
 
 
 class WordIds(dict):
