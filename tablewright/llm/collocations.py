@@ -31,7 +31,7 @@ from tablewright.llm.places import Scratch, quoted
 from tablewright.llm.texts import mixed, utf8
 
 #: Words of a shard, which bounds a worker's memory; ids of words stay below it.
-SHARD_WORDS = 1 << 21
+SHARD_WORDS = 1 << 20
 #: Bytes of a text that are taken apart at once.
 CHUNK_BYTES = 4 << 20
 #: Bits of the bitmap of frequent n-grams, 16 MB on every worker; an n-gram has two of them.
@@ -226,52 +226,89 @@ class Grams:
         return Grams(self.words[wanted], self.count[wanted], [x[wanted] for x in self.starts])
 
 
+class Side:
+    """An FM-index of a circular text of ids, for n-grams of at most ``depth`` ids."""
+
+    def __init__(self, ids: np.ndarray, depth: int) -> None:
+        order = _suffix_order(ids, depth)
+        #: The id before each row, which is the Burrows-Wheeler transform, and the rows in its order.
+        self.before = ids[order - 1]
+        self.by_id = np.argsort(self.before, kind="stable")
+
+    def rank(self) -> np.ndarray:
+        """For each row, the row of the suffix that starts with the id before it."""
+        rank = np.empty(len(self.by_id), np.int64)
+        rank[self.by_id] = np.arange(len(self.by_id))
+        return rank
+
+
 class PhraseIndex:
-    """An FM-index over ids, for n-grams of at most ``depth`` ids; both of its sides are circular."""
+    """Both sides of an index over ids, for n-grams of at most ``depth`` ids that grow on the left first, then in turn."""
 
     def __init__(self, ids: np.ndarray, depth: int) -> None:
         self.symbols = int(ids.max()) + 1
         self.count = np.bincount(ids, minlength=self.symbols)
         self.starts = np.cumsum(self.count) - self.count
-        self.before: list[np.ndarray] = []  # the id before each row: the Burrows-Wheeler transform
-        self.rank: list[np.ndarray] = []  # the row of the suffix that starts with that id
-        for side in (ids, ids[::-1]):
-            order = _suffix_order(side, depth)
-            before = side[order - 1]
-            by_id = np.argsort(before, kind="stable")
-            rank = np.empty(len(by_id), np.int64)
-            rank[by_id] = np.arange(len(by_id))
-            self.before.append(before)
-            self.rank.append(rank)
+        # Left words make even lengths and right ones odd lengths; a side has to tell no more ids apart.
+        left, right = depth - depth % 2, depth - (depth + 1) % 2
+        self.sides = [Side(ids, left), Side(ids[::-1], right) if right > 1 else None]
 
     def single(self) -> Grams:
         """Every id but the separator."""
         ids = np.arange(1, self.symbols)
         return Grams(ids[:, None], self.count[1:], [self.starts[1:], self.starts[1:]])
 
-    def extended(self, grams: Grams, right: bool) -> tuple[Grams, np.ndarray]:
-        """All n-grams that are one of ``grams`` and one id more on its left or right, and which one that is."""
-        here, there = (1, 0) if right else (0, 1)
+    def _rows(self, grams: Grams, here: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The rows of all n-grams, whose they are, and where each one's begin among them."""
         owner = np.repeat(np.arange(len(grams.count)), grams.count)
         begin = np.cumsum(grams.count) - grams.count
-        rows = np.arange(len(owner)) - begin[owner] + grams.starts[here][owner]
-        added = self.before[here][rows]
+        return np.arange(len(owner)) - begin[owner] + grams.starts[here][owner], owner, begin
+
+    def extended(self, grams: Grams, right: bool) -> Grams:
+        """All n-grams that are one of ``grams`` and one id more on its left or right."""
+        here, there = (1, 0) if right else (0, 1)
+        side = self.sides[here]
+        rows, owner, begin = self._rows(grams, here)
+        added = side.before[rows]
         order = np.argsort(owner * self.symbols + added, kind="stable")
         owner, added, rows = owner[order], added[order], rows[order]
-        edge = np.ones(len(owner), bool)
-        edge[1:] = (owner[1:] != owner[:-1]) | (added[1:] != added[:-1])
-        first = np.flatnonzero(edge)
-        count = np.diff(np.append(first, len(owner)))
-        real = added[first] != 0
-        first, count = first[real], count[real]
-        parent, symbol = owner[first], added[first]
+        first, count = _groups(owner, added)
+        parent = owner[first]
         starts = [np.zeros(0, np.int64)] * 2
-        starts[here] = self.rank[here][rows[first]]
+        starts[here] = side.rank()[rows[first]]
         # On the other side the n-gram's rows go by the id that was added: what is smaller comes before.
         starts[there] = grams.starts[there][parent] + first - begin[parent]
-        column = symbol[:, None]
-        words = np.hstack([grams.words[parent], column] if right else [column, grams.words[parent]])
-        return Grams(words, count, starts), parent
+        return Grams(_joined(grams.words[parent], added[first], right), count, starts)
+
+    def last_extended(self, grams: Grams, right: bool) -> Grams:
+        """The same without the places of the rows, which nothing follows that needs them.
+
+        The rows are in the order of the ids before them already, and n-grams in theirs.
+        """
+        here = 1 if right else 0
+        side = self.sides[here]
+        rows, owners, _ = self._rows(grams, here)
+        of_row = np.full(len(side.before), -1, np.int32)
+        of_row[rows] = owners
+        owner = of_row[side.by_id]
+        chosen = np.flatnonzero(owner >= 0)
+        owner, added = owner[chosen], side.before[side.by_id[chosen]]
+        first, count = _groups(owner, added)
+        return Grams(_joined(grams.words[owner[first]], added[first], right), count, [])
+
+
+def _groups(owner: np.ndarray, added: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal pairs start and how long they are, without those of the separator."""
+    edge = np.ones(len(owner), bool)
+    edge[1:] = (owner[1:] != owner[:-1]) | (added[1:] != added[:-1])
+    first = np.flatnonzero(edge)
+    count = np.diff(np.append(first, len(owner)))
+    real = added[first] != 0
+    return first[real], count[real]
+
+
+def _joined(words: np.ndarray, added: np.ndarray, right: bool) -> np.ndarray:
+    return np.hstack([words, added[:, None]] if right else [added[:, None], words])
 
 
 def frequent_grams(ids: np.ndarray, hashes: np.ndarray, size: int, known: np.ndarray | None) -> Grams:
@@ -284,7 +321,7 @@ def frequent_grams(ids: np.ndarray, hashes: np.ndarray, size: int, known: np.nda
     grams = grams.only(_has_bits(known, _gram_hashes(hashes, grams.words)) & (grams.count > 0))
     for length in range(2, size + 1):
         right = length % 2 == 1
-        grams, _ = index.extended(grams, right)
+        grams = (index.extended if length < size else index.last_extended)(grams, right)
         # One of the two parts is known, as it was extended; so is the other's first or last word, but not the other.
         other = grams.words[:, 1:] if right else grams.words[:, :-1]
         grams = grams.only(_has_bits(known, _gram_hashes(hashes, other)))
