@@ -889,6 +889,40 @@ CATALOG["gate_report"] = Query(
 )
 
 
+def _failing_config(folder: str) -> dict[str, Any]:
+    """Expressions with rows that have no result; no mapping uses the first two."""
+    return config(
+        folder,
+        "documents",
+        "d",
+        [column("doc_id", "d.doc_id", "int64"), column("whole", "(lb.quality / 4).astype('int64') + 1", "int64")],
+        LABELLED,
+        derivations=[
+            compute("number", "d.source.astype('int64')"),
+            compute("seventh", "(d.doc_id - 7) ** 7"),
+            {
+                "variable_name": "grade",
+                "transform_type": "CASE",
+                "branches": [{"when": pred("d.lang", "==", "de"), "then": "2 ** (3 - d.doc_id % 5)"}],
+                "else": 0,
+            },
+        ],
+        post_filters=[pred("doc_id", "<", 10)],
+    )
+
+
+CATALOG["gate_report_expressions"] = Query(
+    lambda spark, folder: tablewright.plan(spark, _failing_config(folder)).gate_report(),
+    "WITH j AS (SELECT d.doc_id, lang, quality FROM documents d LEFT JOIN labels lb ON d.doc_id = lb.doc_id), "
+    "n AS (SELECT count(*) AS n, count(quality) AS known, count_if(abs(doc_id - 7) >= 512)::BIGINT AS large, "
+    "count_if(doc_id % 5 = 4)::BIGINT AS negative FROM j) "
+    "SELECT 'doc_id' AS target_column, n AS row_count, n AS source_values, 0::BIGINT AS cast_failures, 0::BIGINT AS null_values FROM n UNION ALL "
+    "SELECT 'whole', n, known, n - known, n - known FROM n UNION ALL "
+    "SELECT 'deriv__number', n, NULL, n, NULL FROM n UNION ALL SELECT 'deriv__seventh', n, NULL, large, NULL FROM n UNION ALL "
+    "SELECT 'deriv__grade', n, NULL, negative, NULL FROM n UNION ALL SELECT 'whole', n, NULL, n - known, NULL FROM n",
+)
+
+
 def _audit(spark: SparkSession, folder: str) -> DataFrame:
     settings = config(
         folder,

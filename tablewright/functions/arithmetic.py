@@ -104,37 +104,35 @@ def _power(a: Value, b: Value) -> Value:
     if _plain(b) and b.constant <= _MOST_BITS:
         powers = [power for k, power in enumerate(_squares(a.column)) if b.constant >> k & 1]
         one = F.when(a.column.isNotNull(), F.lit(1).cast("bigint"))
-        return Value(reduce(lambda x, y: x * y, powers, one) if powers else one, INT)
-    return Value(_whole_power(a.column, b.column), INT)
+        result = reduce(F.try_multiply, powers) if powers else one
+    else:
+        result = _whole_power(a.column, b.column)
+    # A power that does not fit 64 bits, or a negative one, is no result.
+    return Value(result, INT, failed=a.column.isNotNull() & b.column.isNotNull() & result.isNull())
 
 
 def _whole_power(base: Column, exponent: Column) -> Column:
-    """Square and multiply in BIGINT, which raises where the result does not fit.
+    """Square and multiply in BIGINT; NULL where the result does not fit or the exponent is negative.
 
-    A square is only computed where the exponent has its bit. Beyond 63 only 0, 1 and -1
-    have powers that fit.
+    A square only counts where the exponent has its bit. Beyond 63 only 0, 1 and -1 have
+    powers that fit.
     """
     one = F.lit(1).cast("bigint")
     small = reduce(
-        lambda x, y: x * y,
+        F.try_multiply,
         [F.when(F.shiftright(exponent, k).bitwiseAND(1) == 1, power).otherwise(one) for k, power in enumerate(_squares(base))],
     )
     unit = F.when(exponent % 2 == 0, F.abs(base)).otherwise(base)
-    return (
-        F.when(base.isNull() | exponent.isNull(), F.lit(None).cast("bigint"))
-        .when(exponent < 0, F.raise_error(_NEGATIVE_POWER).cast("bigint"))
-        .when(exponent <= _MOST_BITS, small)
-        .when(base.between(-1, 1), unit)
-        .otherwise(F.raise_error("A power does not fit 64 bits").cast("bigint"))
-    )
+    within = F.when(exponent <= _MOST_BITS, small).when(base.between(-1, 1), unit)
+    return F.when(base.isNotNull() & (exponent >= 0), within)
 
 
 def _squares(base: Column) -> Iterator[Column]:
-    """The column to the powers 1, 2, 4, 8, 16 and 32."""
+    """The column to the powers 1, 2, 4, 8, 16 and 32; NULL where they do not fit."""
     power = base.cast("bigint")
     for _ in range(_MOST_BITS.bit_length()):
         yield power
-        power = power * power
+        power = F.try_multiply(power, power)
 
 
 _BINARY: dict[str, Callable[[Value, Value], Value]] = {

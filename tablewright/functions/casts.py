@@ -85,6 +85,11 @@ def only_digits(text: Column) -> Column:
     return text.rlike(_DIGITS)
 
 
+def truncated(number: Column) -> Column:
+    """The BIGINT left of a double without its fraction; NULL where it is missing, infinite or too large."""
+    return F.when((number > -_INT_LIMIT - 1) & (number < _INT_LIMIT), number.cast("bigint"))
+
+
 def _to_int(frame: DataFrame, value: Value) -> Cast:
     """Whole numbers only; a missing value is a failure too."""
     source = value.clean()

@@ -13,6 +13,8 @@ import io
 import re
 import tokenize
 from collections.abc import Callable
+from dataclasses import dataclass, replace
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -24,6 +26,7 @@ from tablewright.functions.compare import between, compare, is_in, is_missing
 from tablewright.functions.text import WHITESPACE, java_pattern, regexp_replace
 from tablewright.functions.values import (
     BOOL,
+    FLOAT,
     INT,
     NULL,
     TEXT,
@@ -95,16 +98,29 @@ def dotted_names(text: str) -> list[tuple[str, str]]:
     ]
 
 
-def evaluate(frame: DataFrame, text: str, *, phase: str) -> tuple[DataFrame, Operand]:
+@dataclass(frozen=True)
+class Failure:
+    """A column of a frame that is true where an expression has no result although it should."""
+
+    owner: str
+    column: str
+    expression: str
+
+
+def evaluate(
+    frame: DataFrame, text: str, *, phase: str, failures: list[Failure] | None = None, owner: str = ""
+) -> tuple[DataFrame, Operand]:
     """The column an expression stands for, and the frame it belongs to.
 
-    The frame is the given one, or that frame with helper columns joined to it.
+    The frame is the given one, or that frame with helper columns joined to it. Rows that
+    an expression fails for are missing values, and a column that tells them is added to
+    the frame and to ``failures``, for a gate to count. Without that list such a row stops
+    the job where its value is asked for.
     """
     check_safety(text)
     try:
         reader = _Reader(frame)
         operand = reader.read(_parse(text))
-        return reader.frame, operand
     except TransformError as error:
         error.expression = error.expression or text
         error.phase = error.phase or phase
@@ -113,6 +129,27 @@ def evaluate(frame: DataFrame, text: str, *, phase: str) -> tuple[DataFrame, Ope
         raise TransformError(
             f"Expression cannot be read: {text}", phase=phase, expression=text
         ) from problem
+    if not reader.failed:
+        return reader.frame, operand
+    failed = reduce(lambda a, b: a | b, (F.coalesce(column, F.lit(False)) for column in reader.failed))
+    if failures is None:
+        return reader.frame, _stopping(operand, failed, text)
+    name = f"__failed{len(failures)}"
+    while name in reader.frame.columns:
+        name = "_" + name
+    failures.append(Failure(owner, name, text))
+    return reader.frame.withColumn(name, failed), operand
+
+
+def _stopping(operand: Operand, failed: Column, text: str) -> Operand:
+    """The operand, with an error raised for rows that failed."""
+
+    def checked(column: Column) -> Column:
+        return F.when(failed, F.raise_error(F.lit(f"Expression has no result for a row: {text}"))).otherwise(column)
+
+    if isinstance(operand, Mask):
+        return Mask(checked(operand.holds), checked(operand.fails))
+    return Value(checked(operand.column), operand.kind, nan_free=operand.nan_free)
 
 
 def _parse(text: str) -> ast.expr:
@@ -132,6 +169,7 @@ class _Reader:
 
     def __init__(self, frame: DataFrame) -> None:
         self.frame = frame
+        self.failed: list[Column] = []
         self.names = set(frame.columns)
         self.helpers = 0
 
@@ -180,7 +218,7 @@ class _Reader:
         operator = _BINARY.get(type(node.op))
         if operator is None:
             raise TransformError(f"Unknown operator: {type(node.op).__name__}")
-        return arithmetic.binary(operator, self.value(node.left), self.value(node.right))
+        return self._noted(arithmetic.binary(operator, self.value(node.left), self.value(node.right)))
 
     def _unary(self, node: ast.UnaryOp) -> Operand:
         operand = self.read(node.operand)
@@ -263,7 +301,7 @@ class _Reader:
     def _method(self, name: str, operand: Operand, arguments: _Arguments) -> Operand:
         value = as_value(operand)
         if name in _ARITHMETIC_METHODS:
-            return arithmetic.binary(_ARITHMETIC_METHODS[name], value, arguments.value("other"))
+            return self._noted(arithmetic.binary(_ARITHMETIC_METHODS[name], value, arguments.value("other")))
         if name in _COMPARE_METHODS:
             return compare(_COMPARE_METHODS[name], value, arguments.value("other"))
         if name in aggregates.AGGREGATES:
@@ -307,15 +345,22 @@ class _Reader:
         if wanted not in casts.CAST_KINDS:
             raise TransformError(f"Unknown type: {target}")
         value = self._stored(value)
+        if wanted == casts.INT64 and value.kind == FLOAT:
+            whole = casts.truncated(value.column)
+            return self._noted(Value(whole, INT, failed=whole.isNull()))
         result = casts.cast(self.frame, value, wanted, name=self._helper_name())
         self.frame = result.frame
-        column, failed = result.column, None
+        failed = None
         if not result.required or value.kind == TEXT:
             failed = result.failed(value.clean(), result.column)
-        if failed is not None:
-            # No gate sees inside an expression, so this failure has to stop the job itself.
-            column = F.when(failed, F.raise_error(F.lit(f"Cannot cast to {target}"))).otherwise(column)
-        return Value(column, casts.CAST_KINDS[wanted])
+        return self._noted(Value(result.column, casts.CAST_KINDS[wanted], failed=failed))
+
+    def _noted(self, value: Value) -> Value:
+        """The value, with the rows it fails for kept in mind."""
+        if value.failed is None:
+            return value
+        self.failed.append(value.failed)
+        return replace(value, failed=None)
 
     def _date_part(self, value: Value, name: str) -> Value:
         if value.kind != TIME:

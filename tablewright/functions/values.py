@@ -46,13 +46,15 @@ def kind_of(data_type: T.DataType) -> str:
 class Value:
     """A column with its kind; ``constant`` holds the value where it is a literal.
 
-    ``nan_free`` is set where NaN has been turned into NULL already.
+    ``nan_free`` is set where NaN has been turned into NULL already. ``failed`` tells the
+    rows for which there is no result although there should be one; they are NULL.
     """
 
     column: Column
     kind: str
     constant: Any = _MISSING
     nan_free: bool = False
+    failed: Column | None = None
 
     @property
     def is_constant(self) -> bool:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.errors import TransformError
-from tablewright.functions.expressions import dotted_names, evaluate
+from tablewright.functions.expressions import Failure, dotted_names, evaluate
 from tablewright.functions.text import as_text, regexp_replace
 from tablewright.functions.values import NULL, TEXT, Value, as_kind, as_value, column_value, common_kind, literal
 from tablewright.names import (
@@ -30,16 +30,23 @@ _PHASE = "derivations"
 _EXPRESSION_SIGNS = re.compile(r"[+\-*/<>=!()]|\b(?:and|or)\b", re.IGNORECASE)
 
 
-def apply_derivations(frame: DataFrame, derivations: Iterable[Derivation]) -> DataFrame:
-    """Add each derivation in turn; later ones may use earlier ones."""
+def apply_derivations(
+    frame: DataFrame, derivations: Iterable[Derivation], failures: list[Failure] | None = None
+) -> DataFrame:
+    """Add each derivation in turn; later ones may use earlier ones.
+
+    With ``failures``, columns that tell for which rows an expression fails are added to
+    the frame and to that list. Whether anything uses the derivation makes no difference.
+    """
     for derivation in derivations:
         if hasattr(derivation, "expression"):
-            frame, outcome = evaluate(frame, derivation.expression, phase=_PHASE)
+            owner = to_derivation_column(derivation.variable_name)
+            frame, outcome = evaluate(frame, derivation.expression, phase=_PHASE, failures=failures, owner=owner)
             value = as_value(outcome)
         elif hasattr(derivation, "pattern"):
             value = _replaced(frame, derivation)
         else:
-            frame, value = _case(frame, derivation)
+            frame, value = _case(frame, derivation, failures)
         frame = frame.withColumn(to_derivation_column(derivation.variable_name), _typed(value))
     return frame
 
@@ -54,11 +61,14 @@ def _replaced(frame: DataFrame, derivation: RegexpReplaceDerivation) -> Value:
     return Value(regexp_replace(text, derivation.pattern, derivation.replacement), TEXT)
 
 
-def _case(frame: DataFrame, derivation: CaseDerivation) -> tuple[DataFrame, Value]:
-    """The first branch whose condition holds decides."""
+def _case(
+    frame: DataFrame, derivation: CaseDerivation, failures: list[Failure] | None
+) -> tuple[DataFrame, Value]:
+    """The first branch whose condition holds decides. All branches are computed for all rows."""
+    owner = to_derivation_column(derivation.variable_name)
     results = []
     for given in (*(branch.then for branch in derivation.branches), derivation.otherwise):
-        frame, value = _result(frame, given)
+        frame, value = _result(frame, given, failures, owner)
         results.append(value)
     kind = common_kind(results, phase=_PHASE, what=f"CASE '{derivation.variable_name}'")
     if kind == NULL:
@@ -70,7 +80,9 @@ def _case(frame: DataFrame, derivation: CaseDerivation) -> tuple[DataFrame, Valu
     return frame, Value(column.otherwise(otherwise), kind)
 
 
-def _result(frame: DataFrame, given: Any) -> tuple[DataFrame, Value]:
+def _result(
+    frame: DataFrame, given: Any, failures: list[Failure] | None, owner: str
+) -> tuple[DataFrame, Value]:
     """A branch result: a column, an expression or a literal.
 
     A text that reads like a column or an expression but names nothing in the table
@@ -89,7 +101,7 @@ def _result(frame: DataFrame, given: Any) -> tuple[DataFrame, Value]:
     if not _EXPRESSION_SIGNS.search(given):
         return frame, literal(given)
     try:
-        frame, outcome = evaluate(frame, given, phase=_PHASE)
+        frame, outcome = evaluate(frame, given, phase=_PHASE, failures=failures, owner=owner)
         return frame, as_value(outcome)
     except TransformError:
         if any(word in frame.columns for word in re.findall(r"\w+", given)) or any(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tablewright.errors import TransformError
 from tablewright.functions import casts
 from tablewright.functions.compare import moment
-from tablewright.functions.expressions import evaluate
+from tablewright.functions.expressions import Failure, evaluate
 from tablewright.functions.text import as_text
 from tablewright.functions.values import (
     NULL,
@@ -53,6 +53,7 @@ class MappedTable:
 
     staged: DataFrame
     checks: tuple[ColumnCheck, ...]
+    failures: tuple[Failure, ...] = ()
 
     @property
     def columns(self) -> list[str]:
@@ -66,18 +67,25 @@ def apply_mappings(
     frame: DataFrame,
     mappings: Sequence[Mapping],
     settle: Callable[[DataFrame], DataFrame] | None = None,
+    failures: list[Failure] | None = None,
 ) -> MappedTable:
     """Map a table. Where a cast has to look at its whole column first, ``settle`` may
-    store the mapped sources, so that what leads up to them runs only once."""
+    store the mapped sources, so that what leads up to them runs only once.
+
+    ``failures`` are columns of the frame that tell where its expressions failed; those of
+    the mappings are added, and the gates count them all. Without that list, a mapping's
+    expression that fails stops the job itself.
+    """
     if not mappings:
         raise TransformError("At least one mapping is needed", phase=_PHASE)
     # Sources first, casts on top of them, so that a cast and its check share their work.
     values = []
     for mapping in mappings:
-        frame, value = _source(frame, mapping)
+        frame, value = _source(frame, mapping, failures)
         values.append(_with_default(frame, value, mapping.default_value))
     names = [f"__source{i}" for i in range(len(mappings))]
-    sources = frame.select(*(_typed(value).alias(name) for value, name in zip(values, names)))
+    told = [field(failure.column) for failure in failures or ()]
+    sources = frame.select(*(_typed(value).alias(name) for value, name in zip(values, names)), *told)
     if settle and any(map(_looks_around, values, mappings)):
         sources = settle(sources)
     outputs, kept, checks = [], [], []
@@ -103,7 +111,7 @@ def apply_mappings(
                 failed=cast.failed(source, column),
             )
         )
-    return MappedTable(sources.select(*outputs, *kept), tuple(checks))
+    return MappedTable(sources.select(*outputs, *kept, *told), tuple(checks), tuple(failures or ()))
 
 
 def _looks_around(value: Value, mapping: Mapping) -> bool:
@@ -113,9 +121,10 @@ def _looks_around(value: Value, mapping: Mapping) -> bool:
     return value.kind == TIME and mapping.cast_to == casts.STR
 
 
-def _source(frame: DataFrame, mapping: Mapping) -> tuple[DataFrame, Value]:
+def _source(frame: DataFrame, mapping: Mapping, failures: list[Failure] | None) -> tuple[DataFrame, Value]:
     if mapping.source_type == "EXPRESSION":
-        frame, outcome = evaluate(frame, mapping.source_value, phase=_PHASE)
+        owner = mapping.target_column
+        frame, outcome = evaluate(frame, mapping.source_value, phase=_PHASE, failures=failures, owner=owner)
         return frame, as_value(outcome)
     if mapping.source_type not in ("DIRECT", "DERIVED"):
         raise TransformError(f"Unsupported mapping source_type: {mapping.source_type}", phase=_PHASE)

@@ -18,6 +18,7 @@ from pyspark.errors import (
 from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.errors import TablewrightError, TransformError
+from tablewright.functions.expressions import Failure
 from tablewright.operators import quality
 from tablewright.operators.derivations import apply_derivations
 from tablewright.operators.filters import apply_filters
@@ -100,9 +101,10 @@ def plan_blueprint(blueprint: Blueprint, sources: SourceTables, watch: Watch | N
                 counted = watch.rows(f"pre_filters {join.table.alias}", other)
             working = apply_join(working, counted, join.join_type, list(join.conditions), probe=other)
             working = watch.rows(f"join {join.table.alias}", working)
-        working = apply_derivations(working, blueprint.derivations)
+        failures: list[Failure] = []
+        working = apply_derivations(working, blueprint.derivations, failures)
         # Without joins, reading a column again is cheaper than storing the table.
-        mapped = apply_mappings(working, blueprint.mappings, watch.settle if blueprint.joins else None)
+        mapped = apply_mappings(working, blueprint.mappings, watch.settle if blueprint.joins else None, failures)
         return BlueprintPlan(blueprint, root, mapped, _post_filtered(blueprint, mapped.target()))
 
 

@@ -303,3 +303,59 @@ def test_values_an_expression_cannot_handle(spark, folder, expression, dry_run):
         tablewright.run(spark, settings, dry_run=dry_run)
     assert (caught.value.gate, caught.value.phase, caught.value.blueprint_id) == ("G2", "execution", "contact")
     assert outputs(folder) == []
+
+
+@pytest.mark.parametrize(
+    ("derivation", "failing"),
+    [
+        ({"transform_type": "EXPRESSION", "expression": "emp.full_name.astype('int64')"}, 3),
+        ({"transform_type": "EXPRESSION", "expression": "(emp.id * 1000) ** 7"}, 3),
+        ({"transform_type": "EXPRESSION", "expression": "2 ** (2 - emp.id)"}, 1),
+        ({"transform_type": "EXPRESSION", "expression": "emp.full_name.astype('float64').max() + emp.id"}, 3),
+        (
+            {
+                "transform_type": "CASE",
+                "branches": [{"when": predicate("emp.id", "==", 99), "then": "emp.full_name.astype('int64')"}],
+                "else": 1,
+            },
+            3,
+        ),
+    ],
+)
+def test_a_failing_derivation_that_nothing_uses_stops_the_run(spark, folder, derivation, failing):
+    settings = config(
+        folder,
+        blueprint(
+            "bp",
+            "employees.csv",
+            "emp",
+            "out.csv",
+            [direct("id", "emp.id")],
+            derivations=[{"variable_name": "odd", **derivation}],
+        ),
+    )
+    with pytest.raises(TransformError) as stopped:
+        tablewright.run(spark, settings)
+    assert stopped.value.gate == "G2"
+    assert f"deriv__odd' failed in {failing} rows" in str(stopped.value)
+    assert not (folder / "out.csv").exists()
+    report = {row.target_column: row for row in tablewright.plan(spark, settings).gate_report().collect()}
+    assert report["deriv__odd"].cast_failures == failing
+    # Lazily and without gates, what fails is missing.
+    assert tablewright.transform(spark, settings).columns == ["id"]
+
+
+def test_a_failing_expression_of_a_filter_stops_the_run(spark, folder):
+    settings = config(
+        folder,
+        blueprint(
+            "bp",
+            "employees.csv",
+            "emp",
+            "out.csv",
+            [direct("id", "emp.id")],
+            pre_filters=[{"type": "expression", "value": "emp__full_name.astype('int64') == 1"}],
+        ),
+    )
+    with pytest.raises(TransformError):
+        tablewright.run(spark, settings)
