@@ -159,7 +159,7 @@ t.i != [2, 8]
 t.i.eq(2) | t.j.ge(3)
 t.x.astype('str').isin(['1.5'])
 t.i.astype('float64') / 2
-(t.i / 3).fillna(-7.9).astype('int64') * 2
+t.x.fillna(-7.9).astype('int64') * 2
 t.i > t.i.mean()
 t.i - t.i.min() + t.i.max()
 t.x.sum() + t.y.count()
