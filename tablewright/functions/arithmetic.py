@@ -107,8 +107,8 @@ def _power(a: Value, b: Value) -> Value:
         result = reduce(F.try_multiply, powers) if powers else one
     else:
         result = _whole_power(a.column, b.column)
-    # A power that does not fit 64 bits, or a negative one, is no result.
-    return Value(result, INT, failed=a.column.isNotNull() & b.column.isNotNull() & result.isNull())
+    failed = a.column.isNotNull() & b.column.isNotNull() & result.isNull()
+    return Value(result, INT, failed=failed, reason="a power does not fit 64 bits, or its exponent is negative")
 
 
 def _whole_power(base: Column, exponent: Column) -> Column:

@@ -105,6 +105,7 @@ class Failure:
     owner: str
     column: str
     expression: str
+    reason: str
 
 
 def evaluate(
@@ -131,21 +132,22 @@ def evaluate(
         ) from problem
     if not reader.failed:
         return reader.frame, operand
-    failed = reduce(lambda a, b: a | b, (F.coalesce(column, F.lit(False)) for column in reader.failed))
+    failed = reduce(lambda a, b: a | b, (F.coalesce(value.failed, F.lit(False)) for value in reader.failed))
+    reason = ", ".join(dict.fromkeys(value.reason for value in reader.failed))
     if failures is None:
-        return reader.frame, _stopping(operand, failed, text)
+        return reader.frame, _stopping(operand, failed, f"{reason}: {text}")
     name = f"__failed{len(failures)}"
     while name in reader.frame.columns:
         name = "_" + name
-    failures.append(Failure(owner, name, text))
+    failures.append(Failure(owner, name, text, reason))
     return reader.frame.withColumn(name, failed), operand
 
 
-def _stopping(operand: Operand, failed: Column, text: str) -> Operand:
+def _stopping(operand: Operand, failed: Column, message: str) -> Operand:
     """The operand, with an error raised for rows that failed."""
 
     def checked(column: Column) -> Column:
-        return F.when(failed, F.raise_error(F.lit(f"Expression has no result for a row: {text}"))).otherwise(column)
+        return F.when(failed, F.raise_error(F.lit(message))).otherwise(column)
 
     if isinstance(operand, Mask):
         return Mask(checked(operand.holds), checked(operand.fails))
@@ -169,7 +171,7 @@ class _Reader:
 
     def __init__(self, frame: DataFrame) -> None:
         self.frame = frame
-        self.failed: list[Column] = []
+        self.failed: list[Value] = []
         self.names = set(frame.columns)
         self.helpers = 0
 
@@ -347,20 +349,20 @@ class _Reader:
         value = self._stored(value)
         if wanted == casts.INT64 and value.kind == FLOAT:
             whole = casts.truncated(value.column)
-            return self._noted(Value(whole, INT, failed=whole.isNull()))
+            return self._noted(Value(whole, INT, failed=whole.isNull(), reason=f"cannot cast to {target}"))
         result = casts.cast(self.frame, value, wanted, name=self._helper_name())
         self.frame = result.frame
         failed = None
         if not result.required or value.kind == TEXT:
             failed = result.failed(value.clean(), result.column)
-        return self._noted(Value(result.column, casts.CAST_KINDS[wanted], failed=failed))
+        return self._noted(Value(result.column, casts.CAST_KINDS[wanted], failed=failed, reason=f"cannot cast to {target}"))
 
     def _noted(self, value: Value) -> Value:
         """The value, with the rows it fails for kept in mind."""
         if value.failed is None:
             return value
-        self.failed.append(value.failed)
-        return replace(value, failed=None)
+        self.failed.append(value)
+        return replace(value, failed=None, reason="")
 
     def _date_part(self, value: Value, name: str) -> Value:
         if value.kind != TIME:

@@ -47,7 +47,8 @@ class Value:
     """A column with its kind; ``constant`` holds the value where it is a literal.
 
     ``nan_free`` is set where NaN has been turned into NULL already. ``failed`` tells the
-    rows for which there is no result although there should be one; they are NULL.
+    rows for which there is no result although there should be one, ``reason`` why; they
+    are NULL.
     """
 
     column: Column
@@ -55,6 +56,7 @@ class Value:
     constant: Any = _MISSING
     nan_free: bool = False
     failed: Column | None = None
+    reason: str = ""
 
     @property
     def is_constant(self) -> bool:

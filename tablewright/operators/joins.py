@@ -10,28 +10,37 @@ split the other side, nor any side of a full outer join. There, keys that are ho
 are split here: their rows are dealt out over as many parts as their count asks for,
 and the rows they may meet on the other side are repeated once per part. A repeated
 row that meets nothing in its part has its partners in another one, so that lone
-copy is dropped. The hot keys are found first, by one count over the key columns.
+copy is dropped.
+
+Looks. Hot keys are found by a sketch of the key columns that is filled while their
+rows pass by; only its few candidates are counted exactly. Where a side is more than
+files read and filtered (the result of an earlier join, above all), its rows pass by
+while they are stored, and the join reads the stored table: what leads up to a side
+runs once, however many joins follow. A table's rows have places then, which decide
+on their parts, so that no column is read for that.
 
 Missing keys. Spark joins on ``k <=> k`` by two derived columns, which hides how a
 table is bucketed or sorted. If the joined table turns out to have no missing key,
-plain equality gives the same rows. That is looked up where the join has to shuffle;
-for parquet the answer is in the file footers.
+plain equality gives the same rows. A look tells that as well; without one it is looked
+up where the join has to shuffle, and for parquet the answer is in the file footers.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 from typing import TYPE_CHECKING
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.errors import ErrorDetail, TransformError
 from tablewright.functions.values import NULL, NUMERIC, Value, column_value
 from tablewright.names import field
 from tablewright.operators.conditions import all_of, conjuncts, equated_columns, find_column
-from tablewright.sources.storage import ensure_checkpoint_dir
+from tablewright.sources.storage import scratch_folder
 
 if TYPE_CHECKING:
     from tablewright.spec import Condition
@@ -40,6 +49,11 @@ HOW = {"LEFT": "left", "INNER": "inner", "RIGHT": "right", "OUTER": "full"}
 # Sides adaptive execution cannot split, by join type.
 _UNSPLIT = {"left": ("right",), "inner": (), "right": ("left",), "full": ("left", "right")}
 ROWS_PER_PART = 1_000_000
+#: Keys that a sketch tracks: at most 100 kB a task come to the driver. A key with more
+#: than a 500th of all rows is always found, and one with fewer by and by less surely.
+TRACKED = 4096
+# Plan nodes that leave a file's rows in their order.
+_IN_PLACE = ("Project", "Filter", "CollectMetrics", "SubqueryAlias")
 
 
 @dataclass(frozen=True)
@@ -73,14 +87,12 @@ def apply_join(
     keys = find_keys(left, right, conditions)
     frames = {"left": left, "right": right}
     unsplit = [side for side in _UNSPLIT[how] if rows_per_part or _is_large(frames[side])]
-    shuffles = bool(unsplit) or _is_large(right)
-    null_safe = not shuffles or _has_missing_keys(right if probe is None else probe, keys.right)
     if unsplit:
-        joined = _split_join(left, right, keys, how, unsplit, rows_per_part or ROWS_PER_PART, null_safe)
-    elif not null_safe:
-        joined = left.join(right, _same(zip(_columns(keys.left), _columns(keys.right))), how)
-    else:
+        joined = _split_join(left, right, keys, how, unsplit, rows_per_part or ROWS_PER_PART, right if probe is None else probe)
+    elif not _is_large(right) or _has_missing_keys(right if probe is None else probe, keys.right):
         joined = left.join(right, _equal(zip(_clean(keys.left), _clean(keys.right))), how)
+    else:
+        joined = left.join(right, _same(zip(_columns(keys.left), _columns(keys.right))), how)
     if keys.residual:
         joined = joined.where(all_of(joined, keys.residual).holds)
     return joined
@@ -153,6 +165,15 @@ def _equal(pairs) -> Column:
 # --- hot keys --------------------------------------------------------------------
 
 
+@dataclass(frozen=True)
+class Look:
+    """What a pass over a side's keys has told: the side, its hot keys, whether some are missing."""
+
+    frame: DataFrame
+    hot: DataFrame | None
+    missing: bool
+
+
 def _split_join(
     left: DataFrame,
     right: DataFrame,
@@ -160,29 +181,28 @@ def _split_join(
     how: str,
     unsplit: list[str],
     rows_per_part: int,
-    null_safe: bool,
+    probe: DataFrame,
 ) -> DataFrame:
     columns = left.columns + right.columns
     key_names = [f"key{i}" for i in range(len(keys.left))]
-    frames = {"left": left, "right": right}
+    frames, looks = {"left": left, "right": right}, {}
     for side, values in (("left", keys.left), ("right", keys.right)):
-        frames[side] = frames[side].withColumns(
-            {_own(side, name): column for name, column in zip(key_names, _clean(values))}
-        )
+        own = {_own(side, name): column for name, column in zip(key_names, _clean(values))}
+        if side in unsplit:
+            looks[side] = _look(frames[side], own, rows_per_part, probe if side == "right" else left)
+            frames[side] = looks[side].frame
+        frames[side] = frames[side].withColumns(own)
+    missing = looks["right"].missing if "right" in looks else _has_missing_keys(probe, keys.right)
     pairs = [(field(_own("left", name)), field(_own("right", name))) for name in key_names]
-    match = _equal if null_safe else _same
-    found = {
-        side: hot_keys(frames[side], [_own(side, name) for name in key_names], rows_per_part)
-        for side in unsplit
-    }
+    match = _equal if missing else _same
     lone_copies = []
-    for side, hot in found.items():
-        if hot is None:
+    for side, look in looks.items():
+        if look.hot is None:
             continue
         other = "right" if side == "left" else "left"
         part, parts = f"__part_{side}", f"__parts_{side}"
-        frames[side] = _deal(_mark(frames[side], hot, side, key_names, parts), part, parts)
-        frames[other] = _repeat(_mark(frames[other], hot, other, key_names, parts), part, parts)
+        frames[side] = _deal(_mark(frames[side], look.hot, side, key_names, parts), part, parts)
+        frames[other] = _repeat(_mark(frames[other], look.hot, other, key_names, parts), part, parts)
         frames[side] = frames[side].withColumn(f"__met_{side}", F.lit(True)).drop(parts)
         frames[side] = frames[side].withColumnRenamed(part, f"{part}_own")
         pairs.append((field(f"{part}_own"), field(part)))
@@ -193,23 +213,70 @@ def _split_join(
     return joined.select(*map(field, columns))
 
 
+def _look(frame: DataFrame, keys: dict[str, Column], rows_per_part: int, probe: DataFrame) -> Look:
+    """One pass over a side: of files the key columns are read, of ``probe``; anything else is stored."""
+    if _reads_files(frame):
+        candidates, missing = _passing_by(probe.select(*(column.alias(name) for name, column in keys.items())), list(keys), None)
+    else:
+        path = scratch_folder(frame.sparkSession)
+        kept = [item.name for item in frame.schema if item.dataType != T.NullType()]
+        candidates, missing = _passing_by(frame.withColumns(keys), list(keys), kept, path)
+        stored = frame.sparkSession.read.schema(frame.select(*map(field, kept)).schema).parquet(path)
+        frame = stored.select(*(field(x) if x in kept else F.lit(None).alias(x) for x in frame.columns))
+    return Look(frame, _counted(frame.withColumns(keys), list(keys), candidates, rows_per_part), missing)
+
+
 def hot_keys(frame: DataFrame, key_names: list[str], rows_per_part: int) -> DataFrame | None:
-    """Keys with more than ``rows_per_part`` rows and the parts they need, or None.
+    """Keys with more than ``rows_per_part`` rows and the parts they need, or None."""
+    candidates, _ = _passing_by(frame.select(*map(field, key_names)), key_names, None)
+    return _counted(frame, key_names, candidates, rows_per_part)
+
 
-    The key columns alone are counted, each task adding up its own rows first, so a hot
-    key shuffles one row per task. All hot keys are found, and stored in the checkpoint
-    folder, so that every later use agrees on them.
+def _passing_by(
+    frame: DataFrame, key_names: list[str], kept: list[str] | None, path: str | None = None
+) -> tuple[list[tuple[int, int]], bool]:
+    """Let all rows pass by, into a table of the columns ``kept`` if there is a path.
+
+    Gives the most frequent hashes of keys with their estimated rows, which are never too
+    few, and whether a key is missing. Each task sends a sketch of bounded size.
     """
-    counted = (
-        frame.groupBy(*(field(name).alias(f"key{i}") for i, name in enumerate(key_names)))
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .where(F.col("rows") > rows_per_part)
-        .withColumn("parts", F.ceil(F.col("rows") / rows_per_part).cast("int"))
-        .drop("rows")
+    keys = [field(name) for name in key_names]
+    seen = Observation(f"keys {uuid.uuid4().hex}")
+    watched = frame.observe(
+        seen,
+        F.call_function("approx_top_k", F.xxhash64(*keys), F.lit(TRACKED), F.lit(TRACKED)).alias("top"),
+        F.count_if(reduce(lambda a, b: a | b, [key.isNull() for key in keys])).alias("missing"),
     )
-    ensure_checkpoint_dir(frame.sparkSession)
-    found = counted.checkpoint()
-    return None if found.isEmpty() else found
+    if path is None:
+        watched.write.format("noop").mode("overwrite").save()
+    else:
+        watched.select(*map(field, kept)).write.parquet(path)
+    found = seen.get
+    return [(item["item"], item["count"]) for item in found.get("top") or ()], bool(found.get("missing"))
+
+
+def _counted(
+    frame: DataFrame, key_names: list[str], candidates: list[tuple[int, int]], rows_per_part: int
+) -> DataFrame | None:
+    """The exact numbers of parts of the candidates that are hot. There are no more than a sketch tracks."""
+    likely = [item for item, rows in candidates if rows > rows_per_part]
+    if not likely:
+        return None
+    keys = [field(name) for name in key_names]
+    named = [key.alias(f"key{i}") for i, key in enumerate(keys)]
+    counted = frame.where(F.xxhash64(*keys).isin(likely)).groupBy(*named).agg(F.count(F.lit(1)).alias("rows"))
+    parts = F.ceil(F.col("rows") / rows_per_part).cast("int").alias("parts")
+    hot = counted.where(F.col("rows") > rows_per_part).select(*(f"key{i}" for i in range(len(keys))), parts)
+    rows = hot.collect()
+    return frame.sparkSession.createDataFrame(rows, hot.schema) if rows else None
+
+
+def _reads_files(frame: DataFrame) -> bool:
+    """Whether a frame is files read, with nothing done to them but filters and computed columns."""
+    node = frame._jdf.queryExecution().optimizedPlan()
+    while node.children().size() == 1 and node.getClass().getSimpleName() in _IN_PLACE:
+        node = node.children().head()
+    return node.getClass().getSimpleName() == "LogicalRelation" and node.relation().getClass().getSimpleName() == "HadoopFsRelation"
 
 
 def _own(side: str, name: str) -> str:
@@ -217,21 +284,20 @@ def _own(side: str, name: str) -> str:
 
 
 def _mark(frame: DataFrame, hot: DataFrame, side: str, key_names: list[str], parts: str) -> DataFrame:
-    """Say how many parts each row's key has. Spark broadcasts the hot keys if they are few."""
+    """Say how many parts each row's key has. A sketch's candidates are few enough to broadcast."""
     named = hot.toDF(*[f"__hot_{name}" for name in key_names], parts)
     matched = _equal((field(_own(side, name)), field(f"__hot_{name}")) for name in key_names)
-    marked = frame.join(named, matched, "left").drop(*[f"__hot_{name}" for name in key_names])
+    marked = frame.join(F.broadcast(named), matched, "left").drop(*[f"__hot_{name}" for name in key_names])
     return marked.withColumn(parts, F.coalesce(field(parts), F.lit(1)))
 
 
 def _deal(frame: DataFrame, part: str, parts: str) -> DataFrame:
-    """Give each row one part. No random number: a task run again deals the same way.
+    """Give each row one part, by its place in the files it is read from.
 
-    The row's content decides, turned on by the partition it is read in, so that equal
-    rows spread as well.
+    No random number, and no column: a task run again reads the same rows in the same
+    order and deals them the same way, and equal rows spread as well.
     """
-    dealt = F.pmod(F.xxhash64(*map(field, frame.columns)) + F.spark_partition_id(), field(parts))
-    return frame.withColumn(part, dealt.cast("int"))
+    return frame.withColumn(part, F.pmod(F.monotonically_increasing_id(), field(parts)).cast("int"))
 
 
 def _repeat(frame: DataFrame, part: str, parts: str) -> DataFrame:

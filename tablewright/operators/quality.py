@@ -45,7 +45,7 @@ def judge(table: MappedTable, counts: Numbers[str, int | None]) -> None:
     for i, failure in enumerate(table.failures):
         if failures := count(f"broken{i}"):
             raise TransformError(
-                f"Expression of '{failure.owner}' failed in {failures} rows",
+                f"Expression of '{failure.owner}' failed in {failures} rows: {failure.reason}",
                 gate="G2",
                 phase="execution",
                 column=failure.owner,

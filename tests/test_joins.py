@@ -83,6 +83,45 @@ def test_hot_keys_are_counted_exactly(spark):
     assert hot_keys(frame.limit(0), ["k"], 1) is None
 
 
+def test_what_leads_up_to_a_side_runs_once(spark, tmp_path, monkeypatch):
+    """A chain of outer joins stores each result once; the sources are read for their keys and for the join."""
+    monkeypatch.setattr(joins, "_is_large", lambda frame: True)
+    for name, rows in (("a", 40), ("b", 30), ("c", 35), ("d", 20)):
+        spark.range(rows).selectExpr(f"id % 11 AS {name}__k", f"id AS {name}__v", f"repeat('x', 9) AS {name}__wide").write.parquet(str(tmp_path / name))
+    sides = {name: spark.read.parquet(str(tmp_path / name)) for name in "abcd"}
+    passes = []
+    original = joins._passing_by
+    monkeypatch.setattr(joins, "_passing_by", lambda frame, *rest: passes.append((frame.columns, rest[-1] is not None and len(rest) == 3)) or original(frame, *rest))
+    joined = sides["a"]
+    for name in "bcd":
+        joined = apply_join(joined, sides[name], "OUTER", [key("a.k", f"{name}.k")])
+    stored = [columns for columns, kept in passes if kept]
+    read = [columns for columns, kept in passes if not kept]
+    # Of the files only the keys are read; of the joins two results are stored, each with the key.
+    assert len(stored) == 2 and all("a__v" in columns for columns in stored)
+    assert len(read) == 4 and all(len(columns) == 1 for columns in read)
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
+    frames = {name: frame.toPandas() for name, frame in sides.items()}
+    brute_rows = frames["a"]
+    for name in "bcd":
+        brute_rows = brute_rows.merge(frames[name], how="outer", left_on="a__k", right_on=f"{name}__k")
+    assert joined.count() == len(brute_rows)
+
+
+def test_a_split_side_reads_no_more_columns_than_are_used(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(joins, "_is_large", lambda frame: True)
+    spark.range(60).selectExpr("id % 3 AS a__k", "id AS a__v", "repeat('x', 9) AS a__wide").write.parquet(str(tmp_path / "a"))
+    spark.range(40).selectExpr("id % 4 AS b__k", "id AS b__v", "repeat('y', 9) AS b__wide").write.parquet(str(tmp_path / "b"))
+    a, b = (spark.read.parquet(str(tmp_path / name)) for name in "ab")
+    joined = apply_join(a, b, "OUTER", [key("a.k", "b.k")], rows_per_part=5).select("a__v", "b__v")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<a__k:bigint,a__v:bigint>" in plan and "ReadSchema: struct<b__k:bigint,b__v:bigint>" in plan
+    assert "wide" not in plan
+    plain = a.join(b, a["a__k"] == b["b__k"], "full").select("a__v", "b__v")
+    assert bag(joined) == bag(plain)
+
+
 def test_large_tables_are_split_and_null_free_keys_join_plainly(spark, tables, monkeypatch):
     monkeypatch.setattr(joins, "_is_large", lambda frame: True)
     monkeypatch.setattr(joins, "ROWS_PER_PART", 1)
