@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.errors import TransformError
-from tablewright.functions import times
-from tablewright.functions.text import as_text
+from tablewright.functions import looks, times
+from tablewright.functions.text import as_text, finest_unit
 from tablewright.functions.values import BOOL, FLOAT, INT, NULL, TEXT, TIME, Value
 
 STR, INT64, FLOAT64, DATETIME = "str", "int64", "float64", "datetime64[ns]"
@@ -52,16 +52,35 @@ class Cast:
         return given & result.isNull()
 
 
-def cast(frame: DataFrame, value: Value, cast_to: str, layout: str | None = None, name: str = "__cast") -> Cast:
-    """A value, best a plain column, in a target type; ``name`` begins any helper column's name."""
+def questions(value: Value, cast_to: str, layout: str | None = None) -> list[looks.Question]:
+    """What a cast has to know of its whole column; most casts nothing."""
+    if cast_to == STR and value.kind == TIME:
+        return [finest_unit(value.column)]
+    if cast_to == DATETIME and value.kind == TEXT and not layout:
+        return times.layouts_of(value.clean())
+    return []
+
+
+def cast(
+    frame: DataFrame,
+    value: Value,
+    cast_to: str,
+    layout: str | None = None,
+    name: str = "__cast",
+    answers: list[Column] | None = None,
+) -> Cast:
+    """A value, best a plain column, in a target type; ``name`` begins any helper column's name.
+
+    ``answers`` are those to the cast's ``questions``; without them the frame is asked.
+    """
     if cast_to == STR:
-        return Cast(frame, as_text(frame, value))
+        return Cast(frame, as_text(frame, value, answers[0] if answers else None))
     if cast_to == INT64:
         return _to_int(frame, value)
     if cast_to == FLOAT64:
         return _to_float(frame, value)
     if cast_to == DATETIME:
-        return _to_time(frame, value, layout, name)
+        return _to_time(frame, value, layout, name, answers)
     raise TransformError(f"Unsupported cast type '{cast_to}'", gate="G4", phase="mappings")
 
 
@@ -134,7 +153,7 @@ def _to_float(frame: DataFrame, value: Value) -> Cast:
     raise TransformError(f"A {value.kind} value cannot become a number", gate="G4", phase="mappings")
 
 
-def _to_time(frame: DataFrame, value: Value, layout: str | None, name: str) -> Cast:
+def _to_time(frame: DataFrame, value: Value, layout: str | None, name: str, answers: list[Column] | None) -> Cast:
     source = value.clean()
     if value.kind == TIME:
         return Cast(frame, source)
@@ -146,6 +165,6 @@ def _to_time(frame: DataFrame, value: Value, layout: str | None, name: str) -> C
         if layout:
             moment = times.read_layout(source, layout)
         else:
-            frame, moment = times.read_guessing(frame, source, name)
+            frame, moment = times.read_guessing(frame, source, name, answers)
         return Cast(frame, moment, checked=True, blanks=times.BLANKS)
     raise TransformError(f"A {value.kind} value cannot become a timestamp", gate="G4", phase="mappings")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.errors import TransformError
+from tablewright.functions import looks
 from tablewright.functions.values import BOOL, FLOAT, INT, NULL, TEXT, TIME, Value
 
 # The characters Python's str.strip() removes.
@@ -19,8 +20,11 @@ WHITESPACE = (
 _LIKE_LITERALS = set("\\.^$*+?{}[]|()")
 
 
-def as_text(frame: DataFrame, value: Value) -> Column:
-    """A value as it prints: 10, 255.0, 1e+16, True, 2024-01-15."""
+def as_text(frame: DataFrame, value: Value, unit: Column | None = None) -> Column:
+    """A value as it prints: 10, 255.0, 1e+16, True, 2024-01-15.
+
+    ``unit`` is the answer to ``finest_unit``; without it the frame is asked.
+    """
     if value.kind == TEXT:
         return value.column
     if value.kind == BOOL:
@@ -28,7 +32,7 @@ def as_text(frame: DataFrame, value: Value) -> Column:
     if value.kind == FLOAT:
         return double_text(value.clean())
     if value.kind == TIME:
-        return time_text(frame, value.column)
+        return time_text(value.column, looks.ask(frame, [finest_unit(value.column)])["answer0"] if unit is None else unit)
     if value.kind in (INT, NULL):
         return value.column.cast("string")
     raise TransformError("Nested and binary values have no text form")
@@ -52,22 +56,32 @@ def double_text(number: Column) -> Column:
     )
 
 
-def time_text(frame: DataFrame, moment: Column) -> Column:
-    """Timestamps in the shortest layout that fits the whole column.
-
-    Dates alone when every value is midnight, else seconds, milliseconds or
-    microseconds: one distributed aggregate finds the finest unit in use.
-    """
-    # Cut from the printed form: date_format would go through the session's time zone.
-    text = moment.cast("string")
-    micros = F.rpad(F.substring(text, 21, 6), 6, "0")
+def finest_unit(moment: Column) -> looks.Question:
+    """How exact the timestamps of a column are: 0 dates alone, 1 seconds, 2 milliseconds, 3 microseconds."""
+    text, micros = _printed(moment)
     unit = (
         F.when(F.substring(micros, 4, 3) != "000", 3)
         .when(micros != "000000", 2)
         .when(F.substring(text, 12, 8) != "00:00:00", 1)
-        .otherwise(0)
+        .when(moment.isNotNull(), 0)
     )
-    finest = frame.select(unit.alias("unit")).agg(F.max("unit").alias("unit")).scalar()
+    # What needs a unit can be written in all finer ones.
+    return looks.Question(
+        unit, lambda x: F.element_at(F.array(*(F.lit(15 & 15 << u).cast("bigint") for u in range(4))), x.cast("int") + 1),
+        looks.first_bit([F.lit(u) for u in range(4)]),
+    )
+
+
+def _printed(moment: Column) -> tuple[Column, Column]:
+    """A timestamp as Spark prints it, and its six digits of microseconds."""
+    # Cut from the printed form: date_format would go through the session's time zone.
+    text = moment.cast("string")
+    return text, F.rpad(F.substring(text, 21, 6), 6, "0")
+
+
+def time_text(moment: Column, finest: Column) -> Column:
+    """Timestamps in the shortest layout that fits the whole column, whose finest unit that is."""
+    text, micros = _printed(moment)
     seconds = F.substring(text, 1, 19)
     return (
         F.when(finest == 0, F.substring(text, 1, 10))

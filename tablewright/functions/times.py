@@ -2,16 +2,19 @@
 
 A value is split into its date and its time of day. Each has a short list of
 layouts; the first of each that reads every value of the column is used, so one
-column never mixes layouts. Which ones fit is found by one distributed aggregate.
+column never mixes layouts. Which ones fit is found by a look at the whole column.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.functions import looks
+
 _CLOCK = r"[ T]\d{1,2}(?::.*)?$"
 # A layout is a pattern and the ISO text made from its groups. Month before day wins,
 # as in the first two slash layouts. Braces hold a month name.
@@ -43,31 +46,32 @@ _EARLIEST, _LATEST = "1677-09-21 00:12:43.145225", "2262-04-11 23:47:16.854775"
 _NANOS_PER_MICRO = 1000
 
 
-def read_guessing(frame: DataFrame, text: Column, name: str) -> tuple[DataFrame, Column]:
+def layouts_of(text: Column) -> list[looks.Question]:
+    """Which layout the dates of a column have, and which its times of day: pattern and ISO text."""
+    day, clock = _split(F.when(_filled(text), text))
+    # There are only so many days, and seconds in a day. Which digits a fraction has makes
+    # no difference, only how many.
+    fraction = F.regexp_replace(F.substring_index(clock, ".", -1), r"\d", "0")
+    rounded = F.concat(F.substring_index(clock, ".", 1), F.lit("."), fraction)
+    clocks = F.when(F.contains(clock, F.lit(".")), rounded).otherwise(clock)
+    return [_question(day, _DATES, _day), _question(clocks, _TIMES, _clock)]
+
+
+def read_guessing(
+    frame: DataFrame, text: Column, name: str, answers: list[Column] | None = None
+) -> tuple[DataFrame, Column]:
     """Timestamps from text in one of the known layouts; NULL where unreadable.
 
-    Intermediate results become columns of the returned frame, under the given name,
-    so that none is computed twice.
+    ``answers`` are those to ``layouts_of``; without them the frame is asked. Intermediate
+    results become columns of the returned frame, under the given name, so that none is
+    computed twice.
     """
-    parts = frame.select(*_split(F.when(_filled(text), text))).where(F.col("day").isNotNull())
-    # There are only so many days, and seconds in a day: each is tried once. Which digits
-    # a fraction has makes no difference, only how many.
-    fraction = F.regexp_replace(F.substring_index(F.col("clock"), ".", -1), r"\d", "0")
-    rounded = F.concat(F.substring_index(F.col("clock"), ".", 1), F.lit("."), fraction)
-    clocks = parts.select(F.when(F.contains(F.col("clock"), F.lit(".")), rounded).otherwise(F.col("clock")).alias("clock"))
-    chosen = {
-        "day": _fitting(parts.select("day").distinct(), "day", _DATES, _day),
-        "clock": _fitting(clocks.distinct(), "clock", _TIMES, _clock),
-    }
-    layouts, texts, moment = {}, dict(zip(("day", "clock"), _split(text))), f"{name}_moment"
-    for part in ("day", "clock"):
-        layouts[part] = f"{name}_{part}_layout"
-        frame = frame.withColumns({layouts[part]: chosen[part], f"{name}_{part}": texts[part]})
+    if answers is None:
+        frame, answers = looks.asked(frame, layouts_of(text), f"{name}_told")
+    texts, moment = dict(zip(("day", "clock"), _split(text))), f"{name}_moment"
+    frame = frame.withColumns({f"{name}_{part}": column for part, column in texts.items()})
     frame = frame.withColumns(
-        {
-            f"{name}_{part}": _rewritten(F.col(f"{name}_{part}"), F.col(layouts[part]))
-            for part in ("day", "clock")
-        }
+        {f"{name}_{part}": _rewritten(F.col(f"{name}_{part}"), layout) for part, layout in zip(("day", "clock"), answers, strict=True)}
     )
     day, clock = F.col(f"{name}_day"), F.col(f"{name}_clock")
     numbered = F.when(F.contains(day, F.lit("{")), _number_month(day)).otherwise(day)
@@ -108,23 +112,18 @@ def _filled(text: Column) -> Column:
 def _split(text: Column) -> tuple[Column, Column]:
     """The date and the time of day in a text."""
     day = F.regexp_replace(text, _CLOCK, "")
-    return day.alias("day"), F.substring(text, F.length(day) + 2, F.length(text)).alias("clock")
+    return day, F.substring(text, F.length(day) + 2, F.length(text))
 
 
-def _fitting(texts: DataFrame, part: str, layouts: Layouts, read: Callable[..., Column]) -> Column:
-    """The first layout that fits every text, as a subquery.
-
-    It hands over the pattern itself, so that each row is matched only once.
-    """
-    tried = texts.select(*(read(F.col(part), layout).alias(f"fits{i}") for i, layout in enumerate(layouts)))
-    fits = tried.agg(*(F.bool_and(F.col(name).isNotNull()).alias(name) for name in tried.columns))
-    first = F.coalesce(
-        *(
-            F.when(F.col(f"fits{i}"), F.struct(F.lit(pattern).alias("pattern"), F.lit(iso).alias("iso")))
-            for i, (pattern, iso) in enumerate(layouts)
-        )
+def _question(texts: Column, layouts: Layouts, read: Callable[..., Column]) -> looks.Question:
+    """The first layout that fits every text. The answer is the pattern itself, so that each row is matched only once."""
+    fits = lambda text: reduce(
+        lambda a, b: a.bitwiseOR(b),
+        (F.when(read(text, layout).isNotNull(), F.lit(1 << i)).otherwise(0).cast("bigint") for i, layout in enumerate(layouts)),
+    )
+    return looks.Question(
+        texts, fits, looks.first_bit([F.struct(F.lit(pattern).alias("pattern"), F.lit(iso).alias("iso")) for pattern, iso in layouts])
     )
-    return fits.select(first).scalar()
 
 
 def _rewritten(text: Column, layout: Column) -> Column:

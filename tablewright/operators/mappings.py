@@ -13,6 +13,7 @@ from tablewright.errors import TransformError
 from tablewright.functions import casts
 from tablewright.functions.compare import moment
 from tablewright.functions.expressions import Failure, evaluate
+from tablewright.functions.looks import asked
 from tablewright.functions.text import as_text
 from tablewright.functions.values import (
     NULL,
@@ -86,15 +87,19 @@ def apply_mappings(
     names = [f"__source{i}" for i in range(len(mappings))]
     told = [field(failure.column) for failure in failures or ()]
     sources = frame.select(*(_typed(value).alias(name) for value, name in zip(values, names)), *told)
-    if settle and any(map(_looks_around, values, mappings)):
+    cleans = [Value(field(name), value.kind, nan_free=True) for value, name in zip(values, names)]
+    # What casts have to know of whole columns is asked for in one pass.
+    questions = [casts.questions(clean, m.cast_to, m.datetime_format) for clean, m in zip(cleans, mappings)]
+    if settle and any(questions):
         sources = settle(sources)
+    sources, answers = asked(sources, [question for own in questions for question in own])
     outputs, kept, checks = [], [], []
-    for mapping, value, name in zip(mappings, values, names):
+    for mapping, clean, own, name in zip(mappings, cleans, questions, names):
         column = field(mapping.target_column)
         source = field(name)
+        told, answers = answers[: len(own)], answers[len(own) :]
         try:
-            clean = Value(source, value.kind, nan_free=True)
-            cast = casts.cast(sources, clean, mapping.cast_to, mapping.datetime_format, name)
+            cast = casts.cast(sources, clean, mapping.cast_to, mapping.datetime_format, name, told or None)
         except TransformError as error:
             error.column = error.column or mapping.target_column
             raise
@@ -114,13 +119,6 @@ def apply_mappings(
     return MappedTable(sources.select(*outputs, *kept, *told), tuple(checks), tuple(failures or ()))
 
 
-def _looks_around(value: Value, mapping: Mapping) -> bool:
-    """Whether a cast depends on other rows: the layout of a column's timestamps."""
-    if mapping.cast_to == casts.DATETIME:
-        return value.kind == TEXT and mapping.datetime_format is None
-    return value.kind == TIME and mapping.cast_to == casts.STR
-
-
 def _source(frame: DataFrame, mapping: Mapping, failures: list[Failure] | None) -> tuple[DataFrame, Value]:
     if mapping.source_type == "EXPRESSION":
         owner = mapping.target_column

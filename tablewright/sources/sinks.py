@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.errors import FileGuardError, TablewrightError, WriteVerificationError
-from tablewright.functions.text import as_text
+from tablewright.functions.looks import asked
+from tablewright.functions.text import as_text, finest_unit
 from tablewright.functions.values import TIME, column_value
 from tablewright.names import field
 from tablewright.sources import storage
@@ -56,13 +57,18 @@ def renders_in_two_steps(frame: DataFrame, options: FileOptions) -> bool:
 def rendered(frame: DataFrame) -> DataFrame:
     """The table as it prints, field by field."""
     only = len(frame.columns) == 1
+    columns = frame.columns
+    values = {name: column_value(frame, name) for name in columns}
+    moments = [name for name in columns if values[name].kind == TIME]
+    frame, answers = asked(frame, [finest_unit(values[name].column) for name in moments])
+    units = dict(zip(moments, answers))
 
     def cell(name: str) -> Column:
-        text = as_text(frame, column_value(frame, name))
+        text = as_text(frame, values[name], units.get(name))
         # A line with nothing on it would be skipped when read again, so it is quoted.
         return (F.coalesce(text, F.lit("")) if only else text).cast("string").alias(name)
 
-    return frame.select(*map(cell, frame.columns))
+    return frame.select(*map(cell, columns))
 
 
 def publish(spark: SparkSession, staged: str, path: str, options: FileOptions, columns: list[str]) -> int:

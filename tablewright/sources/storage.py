@@ -25,15 +25,23 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(location)
 
 
+def matches(spark: SparkSession, pattern: str) -> bool:
+    """Whether a path with wildcards names anything."""
+    system, location = _locate(spark, pattern)
+    return bool(system.globStatus(location))
+
+
 def is_directory(spark: SparkSession, path: str) -> bool:
     system, location = _locate(spark, path)
     return system.exists(location) and system.getFileStatus(location).isDirectory()
 
 
 def total_bytes(spark: SparkSession, path: str) -> int:
-    """Bytes below a path, without marker files; 0 where nothing exists."""
+    """Bytes below a path, or below all that a path with wildcards names; 0 where nothing exists."""
     system, location = _locate(spark, path)
-    return system.getContentSummary(location).getLength() if system.exists(location) else 0
+    if system.exists(location):
+        return system.getContentSummary(location).getLength()
+    return sum(system.getContentSummary(one.getPath()).getLength() for one in system.globStatus(location) or [])
 
 
 def data_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:

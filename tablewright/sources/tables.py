@@ -8,10 +8,13 @@ has too many fields. A declared schema spares the type search.
 from __future__ import annotations
 
 import codecs
+import csv
 import re
 from dataclasses import dataclass
 from dataclasses import field as attribute
+from functools import reduce
 from typing import TYPE_CHECKING
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -112,7 +115,7 @@ def check_format(name: str) -> str:
 
 def check_source(spark: SparkSession, path: str, options: FileOptions) -> None:
     """A source has to exist and, where a limit is set, not exceed it."""
-    if not storage.exists(spark, path):
+    if not storage.exists(spark, path) and not storage.matches(spark, path):
         raise FileGuardError(f"Source file not found: {path}")
     limit = options.max_file_size_mb
     if limit is not None and (size := storage.total_bytes(spark, path)) > limit * _MEGABYTE:
@@ -168,9 +171,11 @@ def _charset(encoding: str) -> str:
 def read_delimited(
     spark: SparkSession, path: str, options: FileOptions, schema: str | None = None
 ) -> DataFrame:
-    settings = {**dialect(options), "multiLine": needs_multi_line(spark, path, options)}
-    names = _column_names(spark, path, settings, options.header_row)
-    raw = read_raw(spark, path, settings, names)
+    settings = dialect(options)
+    files = look_at_files(spark, path, options)
+    names = _column_names(spark, files.any, {**settings, "multiLine": bool(files.whole)}, options.header_row)
+    _check_headers(files, names, options, path)
+    raw = _read_files(spark, files, settings, names)
     cells = raw.select(*(_cell(name) for name in names), field(_MALFORMED))
     types = T._parse_datatype_string(schema) if schema else None
     if types is not None and len(types.fields) != len(names):
@@ -189,7 +194,7 @@ def read_delimited(
     return cells.select(*(_typed(name, i, facts) for i, name in enumerate(names)))
 
 
-def read_raw(spark: SparkSession, path: str, settings: dict[str, object], names: list[str]) -> DataFrame:
+def read_raw(spark: SparkSession, path: str | list[str], settings: dict[str, object], names: list[str]) -> DataFrame:
     """All fields as text, with the text of rows that have another number of fields."""
     fields = [T.StructField(name, T.StringType()) for name in (*names, _MALFORMED)]
     return (
@@ -199,24 +204,82 @@ def read_raw(spark: SparkSession, path: str, settings: dict[str, object], names:
     )
 
 
-def needs_multi_line(spark: SparkSession, path: str, options: FileOptions) -> bool:
-    """Whether fields may hold line breaks, which keeps a file from being split.
+def _read_files(spark: SparkSession, files: Files, settings: dict[str, object], names: list[str]) -> DataFrame:
+    """All rows: of files that lines split, and of those that have to be read whole."""
+    parts = [
+        read_raw(spark, paths, {**settings, "multiLine": whole}, names)
+        for paths, whole in ((files.split, False), (files.whole, True))
+        if paths
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@dataclass(frozen=True)
+class Files:
+    """The files of a source by how they are read, and the first lines that they have."""
+
+    split: list[str]
+    whole: list[str]
+    heads: tuple[str, ...] = ()
 
-    What a file holds decides, never its size. A quote opens a field only where a field
-    begins, and two of them inside stand for one. If every line, begun outside quotes,
-    also ends outside, then each does begin outside and no field holds a line break.
-    Otherwise, and where that cannot be told, files are read whole.
+    @property
+    def any(self) -> str:
+        return [*self.whole, *self.split][0]
+
+
+def look_at_files(spark: SparkSession, path: str, options: FileOptions) -> Files:
+    """One pass over the lines of all files: which may hold line breaks in fields, and how each begins.
+
+    What a file holds decides, never its size, and each file by itself. A quote opens a
+    field only where a field begins, and two of them inside stand for one. If every line,
+    begun outside quotes, also ends outside, then each does begin outside and no field
+    holds a line break. Otherwise, and where that cannot be told, a file is read whole.
     """
-    if options.multi_line != "auto":
-        return options.multi_line == "always"
-    if _charset(options.encoding).startswith(("utf-16", "utf-32")):
-        return True
+    wide = _charset(options.encoding).startswith(("utf-16", "utf-32"))
+    whole = options.multi_line == "always" or (options.multi_line == "auto" and wide)
+    known = options.multi_line != "auto" or wide
+    lines = spark.read.text(path)
+    if known and (wide or not options.header_row or len(lines.inputFiles()) < 2):
+        return Files([], [path]) if whole else Files([path], [])
     quote, sep = re.escape(options.quote_char), re.escape(options.delimiter)
     begins = f"(^|{sep}){quote}"
-    whole = f"{begins}[^{quote}]*+(?:{quote}{quote}[^{quote}]*+)*+{quote}(?={sep}|$)"
-    left_open = F.regexp_replace("value", whole, "$1").rlike(begins)
-    lines = spark.read.text(path)
-    return not lines.where(F.contains("value", F.lit(options.quote_char)) & left_open).isEmpty()
+    closed = f"{begins}[^{quote}]*+(?:{quote}{quote}[^{quote}]*+)*+{quote}(?={sep}|$)"
+    left_open = F.contains("value", F.lit(options.quote_char)) & F.regexp_replace("value", closed, "$1").rlike(begins)
+    # A file's first block is read by one task in order; nothing else says how it begins.
+    first = F.first(F.when(F.col("_metadata.file_block_start") == 0, F.col("value")), ignorenulls=True)
+    found = (
+        lines.groupBy(F.col("_metadata.file_path").alias("file"))
+        .agg(F.max(F.lit(whole) if known else left_open).alias("whole"), first.alias("head"))
+        .collect()  # a row per file, as the driver lists them anyway
+    )
+    heads = tuple(sorted({row["head"].removeprefix("\ufeff").removesuffix("\r") for row in found if row["head"]}))
+    if len({row["whole"] for row in found}) < 2:
+        whole = bool(found and found[0]["whole"])
+        return Files([], [path], heads) if whole else Files([path], [], heads)
+    parts = {flag: [unquote(row["file"]) for row in found if row["whole"] is flag] for flag in (False, True)}
+    return Files(sorted(parts[False]), sorted(parts[True]), heads)
+
+
+def needs_multi_line(spark: SparkSession, path: str, options: FileOptions) -> bool:
+    """Whether fields of a source may hold line breaks, which keeps those files from being split."""
+    if options.multi_line != "auto":
+        return options.multi_line == "always"
+    return bool(look_at_files(spark, path, options).whole)
+
+
+def _check_headers(files: Files, names: list[str], options: FileOptions, path: str) -> None:
+    """All files of a folder have the same columns in the same order."""
+    if not options.header_row or len(files.heads) < 2:
+        return
+    for head in files.heads:
+        if len(options.delimiter) == 1:
+            cells = next(csv.reader([head], delimiter=options.delimiter, quotechar=options.quote_char), [])
+        else:
+            cells = head.replace(options.quote_char, "").split(options.delimiter)
+        # A header with line breaks in it goes on in the next line; its first line is compared.
+        expected = names[: len(cells)] if files.whole and len(cells) < len(names) else names
+        if [cell or f"Unnamed: {i}" for i, cell in enumerate(cells)] != expected:
+            raise FileGuardError(f"A file's columns are not those of the others, {', '.join(names)}, but {head}: {path}")
 
 
 def _column_names(spark: SparkSession, path: str, settings: dict[str, object], header: bool) -> list[str]:

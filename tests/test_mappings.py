@@ -266,3 +266,20 @@ def test_the_first_failing_mapping_is_reported(spark):
         "cast_failures": 1,
         "null_values": 1,
     }
+
+
+def test_all_looks_at_whole_columns_share_one_pass(spark, tmp_path):
+    """Timestamps written as text and read from text: the table is read for the looks and for the rows."""
+    moments = spark.sql("SELECT id, '2024-01-0' || (id + 1) AS a, '3/' || (id + 1) || '/2024 10:00' AS b, "
+                        "timestamp_ntz'2024-05-01' + make_dt_interval(cast(id AS int)) AS c, "
+                        "timestamp_ntz'2024-05-01 10:00:00.5' AS d, cast(NULL AS string) AS e FROM range(5)")
+    moments.write.parquet(str(tmp_path / "m"))
+    table = spark.read.parquet(str(tmp_path / "m")).toDF("t__id", "t__a", "t__b", "t__c", "t__d", "t__e")
+    wanted = [("a", "datetime64[ns]"), ("b", "datetime64[ns]"), ("c", "str"), ("d", "str"), ("e", "datetime64[ns]")]
+    made = apply_mappings(table, [Mapping(x, "DIRECT", f"t.{x}", kind) for x, kind in wanted]).target()
+    row = made.orderBy("a").first()
+    assert (str(row.a), str(row.b), row.c, row.d, row.e) == (
+        "2024-01-01 00:00:00", "2024-03-01 10:00:00", "2024-05-01", "2024-05-01 10:00:00.500", None,
+    )
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2, plan

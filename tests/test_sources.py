@@ -150,6 +150,54 @@ def test_folders_and_parquet(spark, tmp_path):
     assert dict(frame.dtypes) == {"i": "int", "d": "double", "t": "timestamp_ntz", "f": "double", "s": "string"}
 
 
+def test_files_of_a_folder_have_the_same_columns(spark, tmp_path):
+    folder = tmp_path / "many.csv"
+    folder.mkdir()
+    (folder / "p1.csv").write_text("id,t\n1,x\n")
+    (folder / "p2.csv").write_text("t,id\ny,2\n")
+    with pytest.raises(FileGuardError, match="columns"):
+        read_table(spark, str(folder), FileOptions())
+    for mode in ("never", "always"):
+        with pytest.raises(FileGuardError):
+            read_table(spark, str(folder), FileOptions(multi_line=mode))
+    # Spelled otherwise, but the same names; without a header nothing is compared.
+    (folder / "p2.csv").write_text('\ufeff"id","t"\r\n2,y\r\n')
+    assert sorted(rows(read_table(spark, str(folder), FileOptions()))) == [(1, "x"), (2, "y")]
+    (folder / "p2.csv").write_text("2,y\n")
+    (folder / "p1.csv").write_text("1,x\n")
+    assert sorted(rows(read_table(spark, str(folder), FileOptions(header_row=False)))) == [(1, "x"), (2, "y")]
+
+
+def test_only_files_with_line_breaks_in_fields_are_read_whole(spark, tmp_path):
+    folder = tmp_path / "many of them.csv"
+    folder.mkdir()
+    wanted = []
+    for k in range(12):
+        body = "".join(f'{i},"quoted, {i}"\n' for i in range(k * 300, k * 300 + 300))
+        wanted += [(i, f"quoted, {i}") for i in range(k * 300, k * 300 + 300)]
+        (folder / f"part {k}.csv").write_text("id,text\n" + body)
+    (folder / "odd.csv").write_text('id,text\n9000,"two\nlines"\n')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        frame = read_table(spark, str(folder), FileOptions())
+        assert sorted(rows(frame)) == [*wanted, (9000, "two\nlines")]
+        assert frame.rdd.getNumPartitions() > 13
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_wildcards(spark, tmp_path):
+    for name, text in (("a1.csv", "id\n1\n"), ("a2.csv", "id\n2\n"), ("b1.csv", "id\n3\n")):
+        (tmp_path / name).write_text(text)
+    assert sorted(rows(read_table(spark, str(tmp_path / "a*.csv"), FileOptions()))) == [(1,), (2,)]
+    with pytest.raises(FileGuardError, match="not found"):
+        read_table(spark, str(tmp_path / "c*.csv"), FileOptions())
+    with pytest.raises(FileGuardError, match="exceeds"):
+        (tmp_path / "a3.csv").write_text("id\n" + "1" * 2 * 1024 * 1024)
+        read_table(spark, str(tmp_path / "a*.csv"), FileOptions(max_file_size_mb=1))
+
+
 def test_each_source_is_typed_once_and_may_be_kept(spark, tmp_path, monkeypatch):
     samples.write_inputs(tmp_path, employees=samples.EMPLOYEES, departments=samples.DEPARTMENTS)
     pipeline = load(samples.employees_config(tmp_path))
