@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from tablewright.names import field
 
 
+# Plan nodes that leave a file's rows in their order.
+_IN_PLACE = ("Project", "Filter", "CollectMetrics", "SubqueryAlias")
+
+
 @dataclass(frozen=True, eq=False)
 class Question:
     """``allows`` gives the bits (BIGINT) of an evidence text, ``answer`` what the common bits mean."""
@@ -63,3 +67,14 @@ def asked(frame: DataFrame, questions: Sequence[Question], name: str = "__told")
 def first_bit(values: Sequence[Column]) -> Callable[[Column], Column]:
     """The value of the lowest bit that is set."""
     return lambda bits: F.coalesce(*(F.when(bits.bitwiseAND(1 << i) != 0, value) for i, value in enumerate(values)))
+
+
+def reads_files(frame: DataFrame) -> bool:
+    """Whether a frame is files read, with nothing done to them but filters and computed columns.
+
+    Looking at it again then only reads some of their columns again.
+    """
+    node = frame._jdf.queryExecution().optimizedPlan()
+    while node.children().size() == 1 and node.getClass().getSimpleName() in _IN_PLACE:
+        node = node.children().head()
+    return node.getClass().getSimpleName() == "LogicalRelation" and node.relation().getClass().getSimpleName() == "HadoopFsRelation"

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.errors import ErrorDetail, TransformError
+from tablewright.functions.looks import reads_files
 from tablewright.functions.values import NULL, NUMERIC, Value, column_value
 from tablewright.names import field
 from tablewright.operators.conditions import all_of, conjuncts, equated_columns, find_column
@@ -52,8 +53,6 @@ ROWS_PER_PART = 1_000_000
 #: Keys that a sketch tracks: at most 100 kB a task come to the driver. A key with more
 #: than a 500th of all rows is always found, and one with fewer by and by less surely.
 TRACKED = 4096
-# Plan nodes that leave a file's rows in their order.
-_IN_PLACE = ("Project", "Filter", "CollectMetrics", "SubqueryAlias")
 
 
 @dataclass(frozen=True)
@@ -215,7 +214,7 @@ def _split_join(
 
 def _look(frame: DataFrame, keys: dict[str, Column], rows_per_part: int, probe: DataFrame) -> Look:
     """One pass over a side: of files the key columns are read, of ``probe``; anything else is stored."""
-    if _reads_files(frame):
+    if reads_files(frame):
         candidates, missing = _passing_by(probe.select(*(column.alias(name) for name, column in keys.items())), list(keys), None)
     else:
         path = scratch_folder(frame.sparkSession)
@@ -271,14 +270,6 @@ def _counted(
     return frame.sparkSession.createDataFrame(rows, hot.schema) if rows else None
 
 
-def _reads_files(frame: DataFrame) -> bool:
-    """Whether a frame is files read, with nothing done to them but filters and computed columns."""
-    node = frame._jdf.queryExecution().optimizedPlan()
-    while node.children().size() == 1 and node.getClass().getSimpleName() in _IN_PLACE:
-        node = node.children().head()
-    return node.getClass().getSimpleName() == "LogicalRelation" and node.relation().getClass().getSimpleName() == "HadoopFsRelation"
-
-
 def _own(side: str, name: str) -> str:
     return f"__{side}_{name}"
 
