@@ -10,8 +10,8 @@ method, groups neither decide nor nest. Groups that many pages have are valid:
 * the region is the element that holds the article: the <article> or <main> that most pages
   have, or else the smallest element that holds most of the text and whatever has the name
   of content, titles and bodies side by side among them;
-* text of a valid class is fixed: the template's, not the page's; in an <article> or <main>
-  it stays, as an article that many pages repeat looks the same;
+* text of a valid class is fixed: the template's, not the page's; where it is much of an
+  <article> or <main> it stays, as an article that many pages repeat looks the same;
 * the other text blocks of the region, menus, notices, adverts, forms, comments and the
   like apart, are the slots that are extracted.
 
@@ -39,6 +39,12 @@ SHARE = 0.5
 PAGES = 3
 #: Share of a host's text that its region has where no element says it is the content.
 MOST = 0.6
+#: Share of a page's text from which an element is no menu, advert or the like whatever its
+#: names are: where they also name content, and where they do not.
+NAMED_CONTENT = 0.3
+NAMED_OTHER = 0.9
+#: Share of an article's text that its host's template may have in it.
+TEMPLATE = 0.3
 #: Hosts up to which templates are broadcast.
 FEW_HOSTS = 50_000
 
@@ -66,6 +72,7 @@ _OTHER_NAMES = frozenset(
     "complementary contentinfo search".split()
 )
 _CONTENT_NAMES = frozenset("article main content entry post story".split())
+_COMMENT_NAMES = frozenset("comment comments disqus replies reply respond".split())
 # Names of layout that contain a word of the lists without meaning it.
 _LAYOUT = frozenset(("html", "body"))
 
@@ -142,24 +149,61 @@ def page_blocks(source: str) -> list[Block]:
     if at < len(source):
         run.append(html.unescape(source[at:]))
     end()
-    return blocks
+    return _judged(blocks)
+
+
+def _judged(blocks: list[Block]) -> list[Block]:
+    """The blocks, with names that are in doubt (``?``) decided by how much text of the page they hold.
+
+    Names of layout contain such words as well (a page builder's ``widget``, a page's
+    ``has-sidebar``), so an element that a page is little without is no menu or advert.
+    """
+    doubtful = [block for block in blocks if any(name[0] == "?" for name in block.path)]
+    if not doubtful:
+        return blocks
+    total = sum(len(block.text) for block in blocks if not _dropped(block.path))
+    held: dict[tuple[str, ...], int] = {}
+    for block in doubtful:
+        if not _dropped(block.path):
+            for k, name in enumerate(block.path, 1):
+                if name[0] == "?":
+                    held[block.path[:k]] = held.get(block.path[:k], 0) + len(block.text)
+
+    def decided(path: tuple[str, ...]) -> tuple[str, ...]:
+        names = []
+        for k, name in enumerate(path, 1):
+            if name[0] == "?":
+                content = name[1] == "+"
+                kept = held.get(path[:k], 0) >= (NAMED_CONTENT if content else NAMED_OTHER) * total
+                name = name[1:] if kept else "!" + name.lstrip("?+")
+            names.append(name)
+        return tuple(names)
+
+    known: dict[tuple[str, ...], tuple[str, ...]] = {}
+    return [Block(known.get(b.path) or known.setdefault(b.path, decided(b.path)), b.text) for b in blocks]
 
 
 def _element(tag: str, token: str) -> str:
-    """An element's name with its classes; ``!`` and ``+`` mark what it says about its text."""
+    """An element's name with its classes; ``!``, ``+`` and ``?`` mark what it says about its text."""
     words: list[str] = []
+    heads: set[str] = set()  # last words: what the names before them belong to
     hidden = False
     for name, value in _ATTRIBUTE.findall(token[len(tag) + 1 :]):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id", "role"):
-            words += re.findall("[a-z]+", re.sub("([a-z])([A-Z])", r"\1 \2", value))
+            for one in value.split():
+                parts = re.findall("[a-z]+", one)
+                words += parts
+                heads.update(parts[-1:])
         else:
             hidden |= name == "hidden" or (name == "aria-hidden" and value == "true") or "display:none" in value.replace(" ", "")
     mark = ""
-    if hidden or tag in _DROPPED or (tag not in _LAYOUT and tag not in _CONTENT and _OTHER_NAMES.intersection(words)):
+    if hidden or tag in _DROPPED:
         mark = "!"
     elif tag in _CONTENT:
         mark = "++"
+    elif tag not in _LAYOUT and _OTHER_NAMES.intersection(words):
+        mark = "?+" if _CONTENT_NAMES & heads else "!" if _COMMENT_NAMES.intersection(words) else "?"
     elif tag not in _LAYOUT and _CONTENT_NAMES.intersection(words):
         mark = "+"
     return ".".join([mark + tag, *sorted(set(words))])
@@ -203,12 +247,14 @@ def templates(rows: DataFrame, scratch: Scratch) -> DataFrame:
     tokens = keyed.mapInArrow(_tokens, "host string, page long, path string, token long, n int, chars long")
     # A token's occurrence vector, hashed so that parts of it can be combined.
     vectors = tokens.groupBy("host", "token").agg(
-        F.bit_xor(F.xxhash64("page", "n")).alias("vector"),
+        F.sum(F.xxhash64("page", "n").bitwiseAND(0xFFFFFFFF)).alias("vector"),
         F.count(F.lit(1)).alias("pages"),
         F.sum("n").alias("places"),
         F.max("path").alias("path"),
         F.sum("chars").alias("chars"),
     )
+    # Kept, as pages are parsed for it; what one page alone has is no template's.
+    vectors = scratch.keep(vectors.where("pages >= 2 OR path = ''"), "vectors")
     # The root is in every page, so its token counts them.
     root = vectors.where("path = ''").select(F.col("host").alias("root_host"), F.col("pages").alias("all_pages"), F.col("chars").alias("all_chars"))
     root = scratch.keep(root, "hosts")
@@ -292,9 +338,13 @@ def main_text(source: str, region: str | None, fixed: set[int]) -> str:
     marked = [block for block in kept if any(name.startswith("++") for name in block.path)]
     if not own or (marked and not any(name.startswith("++") for name in wanted)):
         own = marked or kept
-    if not any(name.startswith("++") for block in own for name in block.path):
-        # An element that says it is the article holds nothing of the template.
-        own = [block for block in own if _text_hash(block) not in fixed]
+    free = [block for block in own if _text_hash(block) not in fixed]
+    says = any(name.startswith("++") for block in own for name in block.path)
+    # What says it is the article may hold notices and adverts of the template, but if much
+    # of it is fixed, it is an article that many pages repeat.
+    lost = sum(len(block.text) for block in own) - sum(len(block.text) for block in free)
+    if not says or lost <= TEMPLATE * sum(len(block.text) for block in own):
+        own = free
     return "\n\n".join(block.text for block in own)
 
 

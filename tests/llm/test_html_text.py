@@ -73,6 +73,40 @@ def test_elements_named_as_content_keep_title_and_body(spark, name):
     assert {r.page_id: r.text for r in found.collect()} == wanted
 
 
+BUILT = {
+    "page builder": "<div class='elementor-widget elementor-widget-theme-post-content'><div class='elementor-widget-container'><p>{a}</p><p>{b}</p></div></div>",
+    "page with a sidebar": "<div id='content' class='has-right-sidebar'><p>{a}</p><p>{b}</p></div>",
+    "nothing but a widget": "<div class='widget text'><p>{a}</p><p>{b}</p></div>",
+    "comments open": "<div class='hentry post comments-open'><p>{a}</p><p>{b}</p></div>",
+    "long comments": "<div class='text'><p>{a}</p><p>{b}</p></div><div id='post-comments'><p>{c}</p></div>",
+    "a related box": "<div class='text'><p>{a}</p><p>{b}</p></div><div class='related-posts widget'><p>Read {k} too</p></div>",
+    "a small content box": "<div class='text'><p>{a}</p><p>{b}</p></div><div class='sidebar content'><p>Box {k}</p></div>",
+}
+
+
+@pytest.mark.parametrize("name", BUILT)
+@pytest.mark.parametrize("pages", [1, 7])
+def test_names_alone_lose_no_article(spark, name, pages):
+    rows, wanted = [], {}
+    for k in range(pages):
+        a, b, c = (" ".join(prose(x + k, n)) for x, n in ((2000, 60), (2100, 50), (2200, 900)))
+        rows.append((k, f"http://b.example/{k}", page(k, BUILT[name].format(a=a, b=b, c=c, k=k))))
+        wanted[k] = f"{a}\n\n{b}"
+    found = module.extract_text(spark.createDataFrame(rows, PAGES).repartition(2))
+    assert {r.page_id: r.text for r in found.collect()} == wanted
+
+
+def test_adverts_of_the_template_inside_articles_go(spark):
+    rows, wanted = [], {}
+    for k in range(8):
+        a, b = " ".join(prose(3000 + k, 60)), " ".join(prose(3100 + k, 50))
+        body = f"<article><p>{a}</p><div class='zz9'>Buy our book now, half price</div><p>{b}</p></article>"
+        rows += [(k, f"http://a.example/{k}", page(k, body))] * (1 + k % 2)  # a page given twice is no other page
+        wanted[k] = f"{a}\n\n{b}"
+    found = module.extract_text(spark.createDataFrame(rows, PAGES).repartition(3)).collect()
+    assert len(found) == len(rows) and {r.page_id: r.text for r in found} == wanted
+
+
 def test_a_page_repeated_over_a_host_keeps_its_article(spark):
     rows = [(k, "http://h.example/", page(0, CASES["article"][0])) for k in range(6)]
     found = module.extract_text(spark.createDataFrame(rows, PAGES))
