@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tablewright.errors import TransformError
 from tablewright.functions.looks import reads_files
 from tablewright.functions.values import BOOL, FLOAT, INT, NULL, NUMERIC, TEXT, TIME, Value, as_kind
-from tablewright.sources.storage import ensure_checkpoint_dir, scratch_folder
+from tablewright.sources.storage import scratch_folder, stored
 
 _SAME_KIND = {"min": F.min, "max": F.max}
 _FLOATS = {"mean": F.avg, "std": F.stddev_samp, "var": F.var_samp}
@@ -197,10 +197,9 @@ def _at_places(column: Sketched, low: int, high: int) -> tuple[float, float]:
 def _ordered_counts(frame: DataFrame, value: Value, name: str) -> DataFrame:
     """Distinct values with their count ``n``, the count ``up_to`` them and their ``place``.
 
-    The range partitioning is fixed by a checkpoint: range bounds are sampled, and a
+    The range partitioning is fixed by a stored table: range bounds are sampled, and a
     second evaluation, or a lost executor, could draw others.
     """
-    ensure_checkpoint_dir(frame.sparkSession)
     kind = value.kind
     column = as_kind(Value(value.clean(), kind), kind)
     counts = (
@@ -209,11 +208,7 @@ def _ordered_counts(frame: DataFrame, value: Value, name: str) -> DataFrame:
         .groupBy(name)
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    ranges = (
-        counts.repartitionByRange(name)
-        .select("*", F.spark_partition_id().alias("range"))
-        .checkpoint()
-    )
+    ranges = stored(counts.repartitionByRange(name).select("*", F.spark_partition_id().alias("range")))
     # One row per partition: the number of partitions bounds it, not the data.
     totals = ranges.groupBy("range").agg(F.sum("n").alias("n_range"), F.count(F.lit(1)).alias("places"))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)

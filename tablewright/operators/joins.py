@@ -28,20 +28,20 @@ up where the join has to shuffle, and for parquet the answer is in the file foot
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tablewright.errors import ErrorDetail, TransformError
 from tablewright.functions.looks import reads_files
 from tablewright.functions.values import NULL, NUMERIC, Value, column_value
 from tablewright.names import field
 from tablewright.operators.conditions import all_of, conjuncts, equated_columns, find_column
-from tablewright.sources.storage import scratch_folder
+from tablewright.sources.storage import stored
 
 if TYPE_CHECKING:
     from tablewright.spec import Condition
@@ -215,45 +215,50 @@ def _split_join(
 def _look(frame: DataFrame, keys: dict[str, Column], rows_per_part: int, probe: DataFrame) -> Look:
     """One pass over a side: of files the key columns are read, of ``probe``; anything else is stored."""
     if reads_files(frame):
-        candidates, missing = _passing_by(probe.select(*(column.alias(name) for name, column in keys.items())), list(keys), None)
+        candidates, missing = _passing_by(
+            probe.select(*(column.alias(name) for name, column in keys.items())), list(keys), _run
+        )
     else:
-        path = scratch_folder(frame.sparkSession)
-        kept = [item.name for item in frame.schema if item.dataType != T.NullType()]
-        candidates, missing = _passing_by(frame.withColumns(keys), list(keys), kept, path)
-        stored = frame.sparkSession.read.schema(frame.select(*map(field, kept)).schema).parquet(path)
-        frame = stored.select(*(field(x) if x in kept else F.lit(None).alias(x) for x in frame.columns))
+        tables: list[DataFrame] = []
+        columns = frame.columns
+        candidates, missing = _passing_by(
+            frame.withColumns(keys), list(keys), lambda seen: tables.append(stored(seen.select(*map(field, columns))))
+        )
+        frame = tables[0]
     return Look(frame, _counted(frame.withColumns(keys), list(keys), candidates, rows_per_part), missing)
 
 
 def hot_keys(frame: DataFrame, key_names: list[str], rows_per_part: int) -> DataFrame | None:
     """Keys with more than ``rows_per_part`` rows and the parts they need, or None."""
-    candidates, _ = _passing_by(frame.select(*map(field, key_names)), key_names, None)
+    candidates, _ = _passing_by(frame.select(*map(field, key_names)), key_names, _run)
     return _counted(frame, key_names, candidates, rows_per_part)
 
 
 def _passing_by(
-    frame: DataFrame, key_names: list[str], kept: list[str] | None, path: str | None = None
+    frame: DataFrame, key_names: list[str], action: Callable[[DataFrame], object]
 ) -> tuple[list[tuple[int, int]], bool]:
-    """Let all rows pass by, into a table of the columns ``kept`` if there is a path.
+    """Watch the keys of all rows that an action lets pass by.
 
     Gives the most frequent hashes of keys with their estimated rows, which are never too
     few, and whether a key is missing. Each task sends a sketch of bounded size.
     """
     keys = [field(name) for name in key_names]
     seen = Observation(f"keys {uuid.uuid4().hex}")
-    watched = frame.observe(
-        seen,
-        F.call_function("approx_top_k", F.xxhash64(*keys), F.lit(TRACKED), F.lit(TRACKED)).alias("top"),
-        F.count_if(reduce(lambda a, b: a | b, [key.isNull() for key in keys])).alias("missing"),
+    action(
+        frame.observe(
+            seen,
+            F.call_function("approx_top_k", F.xxhash64(*keys), F.lit(TRACKED), F.lit(TRACKED)).alias("top"),
+            F.count_if(reduce(lambda a, b: a | b, [key.isNull() for key in keys])).alias("missing"),
+        )
     )
-    if path is None:
-        watched.write.format("noop").mode("overwrite").save()
-    else:
-        watched.select(*map(field, kept)).write.parquet(path)
     found = seen.get
     return [(item["item"], item["count"]) for item in found.get("top") or ()], bool(found.get("missing"))
 
 
+def _run(frame: DataFrame) -> None:
+    frame.write.format("noop").mode("overwrite").save()
+
+
 def _counted(
     frame: DataFrame, key_names: list[str], candidates: list[tuple[int, int]], rows_per_part: int
 ) -> DataFrame | None:

@@ -85,8 +85,8 @@ def apply_mappings(
         frame, value = _source(frame, mapping, failures)
         values.append(_with_default(frame, value, mapping.default_value))
     names = [f"__source{i}" for i in range(len(mappings))]
-    told = [field(failure.column) for failure in failures or ()]
-    sources = frame.select(*(_typed(value).alias(name) for value, name in zip(values, names)), *told)
+    flags = [field(failure.column) for failure in failures or ()]
+    sources = frame.select(*(_typed(value).alias(name) for value, name in zip(values, names)), *flags)
     cleans = [Value(field(name), value.kind, nan_free=True) for value, name in zip(values, names)]
     # What casts have to know of whole columns is asked for in one pass.
     questions = [casts.questions(clean, m.cast_to, m.datetime_format) for clean, m in zip(cleans, mappings)]
@@ -116,7 +116,7 @@ def apply_mappings(
                 failed=cast.failed(source, column),
             )
         )
-    return MappedTable(sources.select(*outputs, *kept, *told), tuple(checks), tuple(failures or ()))
+    return MappedTable(sources.select(*outputs, *kept, *flags), tuple(checks), tuple(failures or ()))
 
 
 def _source(frame: DataFrame, mapping: Mapping, failures: list[Failure] | None) -> tuple[DataFrame, Value]:

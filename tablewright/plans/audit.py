@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.sources.storage import ensure_checkpoint_dir
+from tablewright.sources.storage import stored
 
 AUDIT_SCHEMA = (
     "migration_id string, client_id string, blueprint_id string, gate string, position int, "
@@ -50,8 +50,7 @@ class CountingWatch(Watch):
         return frame.observe(observation, F.count(F.lit(1)).alias("rows"))
 
     def settle(self, frame: DataFrame) -> DataFrame:
-        ensure_checkpoint_dir(frame.sparkSession)
-        return frame.checkpoint()
+        return stored(frame)
 
     def counts(self) -> list[tuple[str, str, int | None]]:
         """Step, gate and rows. None where the plan never got to the step."""

@@ -8,7 +8,9 @@ import tempfile
 import uuid
 from typing import Any
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.errors import FileGuardError
 
@@ -100,6 +102,23 @@ def scratch_folder(spark: SparkSession) -> str:
     return path
 
 
+def stored(frame: DataFrame) -> DataFrame:
+    """The same rows, read from a table written to a scratch folder: lineage ends here.
+
+    Unlike a checkpoint's files the table goes when the program ends, and only the columns
+    that are asked for are read from it. Columns without a type hold nothing and are not written.
+    """
+    path = scratch_folder(frame.sparkSession)
+    kept = [F.col("`" + x.name.replace("`", "``") + "`") for x in frame.schema if x.dataType != T.NullType()]
+    written = frame.select(*kept)
+    written.write.parquet(path)
+    found = frame.sparkSession.read.schema(written.schema).parquet(path)
+    if len(kept) == len(frame.columns):
+        return found
+    names = {x.lower() for x in found.columns}
+    return found.select(*(F.col("`" + x.replace("`", "``") + "`") if x.lower() in names else F.lit(None).alias(x) for x in frame.columns))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's checkpoint folder; set one only where there is none and need be none."""
     context = spark.sparkContext
