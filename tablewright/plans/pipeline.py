@@ -152,21 +152,27 @@ def _run_blueprint(
 
 
 def _write_judged(spark, plan, gates, written, target, path: str, options: FileOptions) -> tuple[int, int]:
-    staging = sinks.staging_path(path)
+    beside = sinks.staging_path(path)
+    in_place = sinks.writes_in_place(spark, path, options)
+    staging = path if in_place else beside
     storage.make_parent(spark, path)
-    typed = staging + "-typed"
+    typed = beside + "-typed"
+    leftovers = [beside, typed, beside + "-whole", beside + "-file", *([path] if in_place else [])]
     try:
         if plan.blueprint.joins and sinks.renders_in_two_steps(target, options):
             # Stored as it is first, so that looking through a column does not join again.
             target.write.parquet(typed)
             quality.judge(plan.mapped, gates.get)
             target = spark.read.schema(target.schema).parquet(typed)
+        if in_place:
+            sinks.open_target(spark, path)
         sinks.write_table(target, staging, options)
         quality.judge(plan.mapped, gates.get)
         row_count = written.get.get("rows") or 0
         size = sinks.publish(spark, staging, path, options, plan.mapped.columns)
+        leftovers = [x for x in leftovers if x != path]
     finally:
-        for leftover in (staging, typed, staging + "-whole", staging + "-file"):
+        for leftover in leftovers:
             if storage.exists(spark, leftover):
                 storage.delete(spark, leftover)
     sinks.verify(spark, path, options, plan.mapped.columns, row_count)

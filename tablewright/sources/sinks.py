@@ -1,5 +1,9 @@
 """Targets: written beside their place, judged, then moved there in one step.
 
+Where the file system cannot move a folder in one step, as object stores cannot, part
+files are written in their place below a marker, and taking the marker away publishes
+them. A table with a marker is none: it cannot be read.
+
 A target is a folder of part files, written by as many tasks as the data asks for.
 ``single_file`` asks for one file instead: the parts one behind the other.
 """
@@ -18,7 +22,7 @@ from tablewright.functions.text import as_text, finest_unit
 from tablewright.functions.values import TIME, column_value
 from tablewright.names import field
 from tablewright.sources import storage
-from tablewright.sources.tables import check_format, dialect, needs_multi_line, read_raw
+from tablewright.sources.tables import PENDING, check_format, dialect, needs_multi_line, read_raw
 
 if TYPE_CHECKING:
     from tablewright.spec import FileOptions
@@ -40,10 +44,25 @@ def staging_path(path: str) -> str:
     return f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
 
 
+def writes_in_place(spark: SparkSession, path: str, options: FileOptions) -> bool:
+    """Whether part files go to the target itself; a single file is made of parts written elsewhere."""
+    if options.single_file or options.publish == "rename":
+        return False
+    return options.publish == "in_place" or not storage.renames_folders(spark, path)
+
+
+def open_target(spark: SparkSession, path: str) -> None:
+    """Begin a target in its place: from here on it is there, and no table."""
+    check_target_empty(spark, path, "G4")
+    if storage.exists(spark, path):
+        storage.delete(spark, path)
+    storage.touch(spark, storage.join_path(path, PENDING))
+
+
 def write_table(frame: DataFrame, path: str, options: FileOptions) -> None:
-    """Write all rows to a new folder."""
+    """Write all rows to a new folder, or to one that ``open_target`` has begun."""
     if check_format(options.format) == "PARQUET":
-        frame.write.parquet(path)
+        frame.write.mode("append").parquet(path)
         return
     _write_text(rendered(frame), path, options)
 
@@ -72,7 +91,10 @@ def rendered(frame: DataFrame) -> DataFrame:
 
 
 def publish(spark: SparkSession, staged: str, path: str, options: FileOptions, columns: list[str]) -> int:
-    """Move a finished folder to its target; the bytes now there."""
+    """Move a finished folder to its target, or take the marker from one in its place; the bytes now there."""
+    if staged == path:
+        storage.delete(spark, storage.join_path(path, PENDING))
+        return storage.total_bytes(spark, path)
     check_target_empty(spark, path, "G4")
     if options.single_file:
         staged = _merged(spark, staged, options, columns)
@@ -106,7 +128,7 @@ def _write_text(frame: DataFrame, path: str, options: FileOptions) -> None:
     settings = dict(_EMPTY)
     if len(frame.columns) == 1:
         settings["emptyValue"] = '""'
-    frame.write.options(**dialect(options), **settings).csv(path)
+    frame.write.mode("append").options(**dialect(options), **settings).csv(path)
 
 
 def _merged(spark: SparkSession, staged: str, options: FileOptions, columns: list[str]) -> str:

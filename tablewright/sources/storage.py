@@ -15,6 +15,10 @@ from pyspark.sql import types as T
 from tablewright.errors import FileGuardError
 
 
+# Schemes of file systems over object stores.
+OBJECT_STORES = ("s3", "s3a", "s3n", "gs", "oss", "cosn", "obs", "swift", "wasb", "wasbs")
+
+
 def join_path(base: str, name: str) -> str:
     """``base/name``; an absolute name or URI stands for itself."""
     if name.startswith("/") or "://" in name:
@@ -62,6 +66,18 @@ def rename(spark: SparkSession, source: str, target: str) -> bool:
     return system.rename(location, _path(spark, target))
 
 
+def renames_folders(spark: SparkSession, path: str) -> bool:
+    """Whether the file system moves a folder in one step; object stores copy what is in it."""
+    system, _ = _locate(spark, path)
+    return system.getUri().getScheme() not in OBJECT_STORES
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """An empty file, and the folders above it."""
+    system, location = _locate(spark, path)
+    system.create(location, True).close()
+
+
 def concatenate(spark: SparkSession, files: list[str], target: str, skip: int) -> None:
     """One file of the bytes of many; of all but the first without their first ``skip`` bytes.
 

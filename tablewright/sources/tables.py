@@ -30,6 +30,8 @@ from tablewright.sources import storage
 if TYPE_CHECKING:
     from tablewright.spec import FileOptions, Pipeline, Table
 
+#: What a target has in it while its rows are written in their place.
+PENDING = "_tablewright_pending"
 # Unquoted or quoted fields that stand for a missing value.
 NULL_TOKENS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -117,6 +119,8 @@ def check_source(spark: SparkSession, path: str, options: FileOptions) -> None:
     """A source has to exist and, where a limit is set, not exceed it."""
     if not storage.exists(spark, path) and not storage.matches(spark, path):
         raise FileGuardError(f"Source file not found: {path}")
+    if storage.exists(spark, storage.join_path(path, PENDING)):
+        raise FileGuardError(f"Source is not complete, its run has not published it: {path}")
     limit = options.max_file_size_mb
     if limit is not None and (size := storage.total_bytes(spark, path)) > limit * _MEGABYTE:
         raise FileGuardError(f"Source file of {size} bytes exceeds {limit} MB: {path}")

@@ -21,6 +21,7 @@ JOIN_TYPES = ("LEFT", "INNER", "RIGHT", "OUTER")
 SOURCE_TYPES = ("DIRECT", "DERIVED", "EXPRESSION")
 CONNECTION_TYPES = ("LOCAL_FILE_DIRECTORY", "LOCAL_CSV_DIRECTORY")
 MULTI_LINE = ("auto", "always", "never")
+PUBLISH = ("auto", "rename", "in_place")
 
 
 @dataclass(frozen=True)
@@ -52,7 +53,9 @@ class FileOptions:
 
     ``max_file_size_mb`` refuses larger sources (no limit unless set). ``multi_line``
     says whether fields hold line breaks; ``auto`` finds out, ``never`` takes every line
-    for a row. ``single_file`` asks for one output file, which ``max_single_file_mb``
+    for a row. ``publish`` says how a target appears: by a rename of its folder, ``in_place``
+    by taking a marker away, or as its file system can. ``single_file`` asks for one output
+    file, which ``max_single_file_mb``
     bounds where it is set.
     """
 
@@ -65,6 +68,7 @@ class FileOptions:
     multi_line: str = "auto"
     single_file: bool = False
     max_single_file_mb: int | None = None
+    publish: str = "auto"
 
 
 @dataclass(frozen=True)
@@ -345,6 +349,7 @@ def _file_options(node: _Node) -> FileOptions:
         multi_line=node.choice("multi_line", MULTI_LINE, standard.multi_line),
         single_file=node.flag("single_file", standard.single_file),
         max_single_file_mb=node.whole("max_single_file_mb", standard.max_single_file_mb),
+        publish=node.choice("publish", PUBLISH, standard.publish),
     )
 
 

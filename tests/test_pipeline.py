@@ -6,7 +6,10 @@ import pytest
 
 import tablewright
 from tablewright.errors import ConfigValidationError, FileGuardError, TransformError, WriteVerificationError
-from tablewright.operators import joins
+from tablewright.operators import joins, quality
+from tablewright.sources import storage
+from tablewright.sources.tables import read_table
+from tablewright.spec import FileOptions
 from tests import samples
 from tests.samples import blueprint, config, direct, join, mapping, predicate
 from tests.test_golden import written
@@ -359,3 +362,44 @@ def test_a_failing_expression_of_a_filter_stops_the_run(spark, folder):
     )
     with pytest.raises(TransformError):
         tablewright.run(spark, settings)
+
+
+@pytest.mark.parametrize("format", ["CSV", "PARQUET"])
+@pytest.mark.parametrize("order", ["in_place", "object store"])
+def test_targets_are_published_without_moving_them(spark, folder, monkeypatch, format, order):
+    """Rows are written where they stay; nobody reads them before the gates have passed."""
+    options = {"format": "CSV"} | ({"publish": "in_place"} if order == "in_place" else {})
+    if order == "object store":
+        monkeypatch.setattr(storage, "OBJECT_STORES", ("file",))
+    moves, seen = [], []
+    monkeypatch.setattr(storage, "rename", lambda *paths: moves.append(paths))
+    monkeypatch.setattr(storage, "concatenate", lambda *paths: moves.append(paths))
+    settings = config(
+        folder, blueprint("bp", "employees.csv", "emp", "out", [direct("id", "emp.id"), direct("name", "emp.full_name")]), **options
+    )
+    settings["connections"]["lake"] = {
+        "type": "LOCAL_FILE_DIRECTORY", "base_path": str(folder), "target_path": str(folder / "output"), "file_options": {**options, "format": format},
+    }
+    settings["blueprints"][0]["target"]["connection_ref"] = "lake"
+    target, judge = str(folder / "output" / "out"), quality.judge
+
+    def looked(*args):
+        with pytest.raises(FileGuardError, match="not complete"):
+            read_table(spark, target, FileOptions(format=format))
+        seen.append(storage.total_bytes(spark, target))
+        judge(*args)
+
+    monkeypatch.setattr(quality, "judge", looked)
+    result = tablewright.run(spark, settings)
+    assert result.results[0].row_count == 3 and moves == [] and seen and min(seen) > 0
+    assert read_table(spark, target, FileOptions(format=format)).count() == 3
+    with pytest.raises(FileGuardError):
+        tablewright.run(spark, settings)
+
+    # What a gate stops leaves nothing behind.
+    monkeypatch.setattr(quality, "judge", judge)
+    failing = dict(settings)
+    failing["blueprints"] = [{**settings["blueprints"][0], "mappings": [direct("id", "emp.full_name", "int64")], "target": {"connection_ref": "lake", "file_name": "other"}}]
+    with pytest.raises(TransformError):
+        tablewright.run(spark, failing)
+    assert not (folder / "output" / "other").exists()
