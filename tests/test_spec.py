@@ -107,7 +107,7 @@ BROKEN = [
     ((*BP, "pre_filters", 0), {"logic": "XOR", "conditions": [predicate("ord.qty", ">", 1)]}, "must be one of"),
     ((*BP, "pre_filters", 0), {"type": "sql", "value": "x"}, "must be one of"),
     ((*BP, "pre_filters", 0, "left"), "status", "does not have the form"),
-    ((*BP, "derivations", 0, "variable_name"), "phone_digits", "Duplicate derivation"),
+    ((*BP, "derivations", 0, "variable_name"), "digits", "Duplicate derivation"),
     ((*BP, "derivations", 0, "expression"), "zzz.qty * 2", "No table has the alias"),
     ((*BP, "derivations", 1, "source"), "contact_phone", "does not have the form"),
     ((*BP, "derivations", 2, "branches"), [], "at least 1"),
