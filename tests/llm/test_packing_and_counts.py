@@ -133,6 +133,19 @@ def test_boundaries_are_stitched(spark, kind, block):
     assert Counter(map(tuple, found.select("file", "number", "start", "n_tokens").collect())) == wanted
 
 
+def test_a_block_of_a_million_documents(spark):
+    """Nothing but separators in one block: rows and memory grow with the documents, not with their square."""
+    folder = Scratch(spark).folder("separators")
+    draft = Draft(folder, "f")
+    draft.write(np.full(1_000_000, 9, "<u2").tobytes())
+    draft.commit()
+    files = spark.createDataFrame([("f", draft.size)], "file string, bytes long")
+    found = token_counts.token_counts(files, folder, end=9).selectExpr(
+        "count(*)", "count(DISTINCT number)", "max(number)", "sum(n_tokens)", "count_if(start <> number)"
+    )
+    assert tuple(found.first()) == (1_000_000, 1_000_000, 999_999, 0, 0)
+
+
 def test_files_roll(spark):
     scratch = Scratch(spark)
     folder = scratch.folder("rolled")

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -62,3 +65,21 @@ def test_empty_table_and_clashing_columns(spark):
 def test_query(spark):
     with connect(FOLDER) as database:
         assert differences(QUERIES["op7_quality_rules"](spark, FOLDER), database, SQL["op7_quality_rules"]) == []
+
+
+def test_a_long_text_takes_a_bounded_multiple_of_itself():
+    """Twelve bytes of a worker's memory for each byte of text at most."""
+    script = """
+import random, resource
+from tablewright.llm import quality_rules
+from tablewright.llm.texts import WordIds
+pick = random.Random(1)
+known = ["".join(pick.choice("abcdefghij") for _ in range(pick.randint(1, 9))) for _ in range(20_000)]
+text = " ".join(pick.choices(known, k=2_700_000)).encode()
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+quality_rules._measure([text], (5, 6, 7, 8, 9, 10), WordIds())
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) * 1024 / len(text))
+"""
+    root = Path(__file__).resolve().parents[2]
+    done = subprocess.run([sys.executable, "-c", script], cwd=root, capture_output=True, text=True, check=True)
+    assert float(done.stdout) < 12
