@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import math
 import random
 
 import pandas as pd
@@ -162,13 +163,45 @@ def test_decimals_keep_their_digits_or_are_refused(spark):
             plain_types(spark.sql(f"SELECT CAST(1 AS {kind}) a"))
 
 
-def test_quantiles_of_a_column_share_its_counts(spark, monkeypatch):
+def test_quantiles_of_a_column_share_its_sketch(spark, monkeypatch):
     from tablewright.functions import aggregates
     from tablewright.functions.expressions import evaluate
 
     made = []
-    original = aggregates._ordered_counts
-    monkeypatch.setattr(aggregates, "_ordered_counts", lambda *a: made.append(1) or original(*a))
+    original = aggregates.Sketched
+    monkeypatch.setattr(aggregates, "Sketched", lambda *a: made.append(1) or original(*a))
     frame = spark.range(101).selectExpr("id AS t__x")
     out, value = evaluate(frame, "t.x.median() + t.x.quantile(0.25) + t.x.quantile(0.9)", phase="test")
     assert out.select(value.column).first()[0] == 50 + 25 + 90 and len(made) == 1
+
+
+@pytest.mark.parametrize("counted", [20_000, 40])
+@pytest.mark.parametrize("shape", ["even", "few values", "heavy ends", "heavy middle", "one", "two", "equal", "stored"])
+def test_quantiles_are_exact(spark, tmp_path, monkeypatch, shape, counted):
+    """However many passes narrow the bracket, and where one value has most of the rows."""
+    from tablewright.functions import aggregates
+    from tablewright.functions.values import FLOAT, Value
+
+    monkeypatch.setattr(aggregates, "COUNTED", counted)
+    rows = {
+        "even": "SELECT cast(xxhash64(id) % 100003 AS double) / 7 AS v FROM range(30000)",
+        "few values": "SELECT cast(id % 5 AS double) AS v FROM range(20000)",
+        "heavy ends": "SELECT CASE WHEN id < 9000 THEN 0D WHEN id < 18020 THEN 2D ELSE 1 / id END AS v FROM range(18060)",
+        "heavy middle": "SELECT CASE WHEN id % 3 = 0 THEN 0.5D ELSE rand(3) END AS v FROM range(20000)",
+        "one": "SELECT 3.5D AS v",
+        "two": "SELECT cast(id AS double) AS v FROM range(2)",
+        "equal": "SELECT 7D AS v FROM range(5000)",
+        "stored": "SELECT sum(cast(id AS double)) AS v FROM range(9000) GROUP BY id % 3000",
+    }[shape]
+    spark.sql(rows).write.parquet(str(tmp_path / "t"))
+    frame = spark.read.parquet(str(tmp_path / "t"))
+    expected = frame.toPandas()["v"]
+    if shape == "stored":
+        frame = frame.groupBy("v").count().select("v")
+        expected = pd.Series(expected.unique())
+    for probability in (0, 0.2, 0.5, 0.9, 1):
+        value = aggregates._quantile(frame, Value(F.col("v"), FLOAT), probability)
+        found = spark.range(1).select(value.column).first()[0]
+        assert math.isclose(found, expected.quantile(probability), rel_tol=1e-12)
+    empty = aggregates._quantile(frame.where("v IS NULL"), Value(F.col("v"), FLOAT), 0.5)
+    assert spark.range(1).select(empty.column).first()[0] is None
