@@ -384,7 +384,11 @@ _HOT_ORDERS = "SELECT * FROM orders WHERE o_totalprice > 100000"
 
 
 def _hot_join(kind: str) -> Build:
-    """A join whose keys, most of them hot, are split over many parts."""
+    """A join whose keys, most of them hot, are split over many parts.
+
+    The filters leave rows without a partner on either side, as every customer has orders
+    and every order a customer; all rows that pass them are joined.
+    """
 
     def build(spark: SparkSession, folder: str) -> DataFrame:
         customers = spark.read.parquet(f"{folder}/customer.parquet").where("c_nationkey <> 3")
