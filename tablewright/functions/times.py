@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions import looks
 
-_CLOCK = r"[ T]\d{1,2}(?::.*)?$"
+_CLOCK = r"[ T](\d{1,2}(?::.*)?)$"
 # A layout is a pattern and the ISO text made from its groups. Month before day wins,
 # as in the first two slash layouts. Braces hold a month name.
 _YEAR_FIRST = r"^(\d{4})%s(\d{1,2})%s(\d{1,2})$"
@@ -51,9 +51,7 @@ def layouts_of(text: Column) -> list[looks.Question]:
     day, clock = _split(F.when(_filled(text), text))
     # There are only so many days, and seconds in a day. Which digits a fraction has makes
     # no difference, only how many.
-    fraction = F.regexp_replace(F.substring_index(clock, ".", -1), r"\d", "0")
-    rounded = F.concat(F.substring_index(clock, ".", 1), F.lit("."), fraction)
-    clocks = F.when(F.contains(clock, F.lit(".")), rounded).otherwise(clock)
+    clocks = F.regexp_replace(clock, r"(?<=\.\d{0,12})\d", "0")
     return [_question(day, _DATES, _day), _question(clocks, _TIMES, _clock)]
 
 
@@ -112,7 +110,7 @@ def _filled(text: Column) -> Column:
 def _split(text: Column) -> tuple[Column, Column]:
     """The date and the time of day in a text."""
     day = F.regexp_replace(text, _CLOCK, "")
-    return day, F.substring(text, F.length(day) + 2, F.length(text))
+    return day, F.regexp_extract(text, _CLOCK, 1)
 
 
 def _question(texts: Column, layouts: Layouts, read: Callable[..., Column]) -> looks.Question:
