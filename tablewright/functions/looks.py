@@ -1,10 +1,9 @@
 """Looks: what a formula has to know of a whole column, for any number of columns in one pass.
 
-A question goes to a column. Each row gives a short text as evidence, or none; the evidence
-says, bit by bit, which answers it allows; the answer is made of the bits that all evidence
-allows. Rows with the same evidence say the same, so each distinct one is judged once. All
-questions to a table are put together: one scan, one shuffle of the distinct evidence, and
-one row of answers, which is a subquery of the plan that asks.
+A question goes to a column. Each row gives evidence, or none; the evidence says, bit by
+bit, which answers it allows; the answer is made of the bits that all evidence allows. All
+questions to a table are put together: one scan, in which each task keeps one number a
+question, and one row of answers, which is a subquery of the plan that asks.
 """
 
 from __future__ import annotations
@@ -24,7 +23,7 @@ _IN_PLACE = ("Project", "Filter", "CollectMetrics", "SubqueryAlias")
 
 @dataclass(frozen=True, eq=False)
 class Question:
-    """``allows`` gives the bits (BIGINT) of an evidence text, ``answer`` what the common bits mean."""
+    """``allows`` gives the bits (BIGINT) of what is evidence, ``answer`` what the common bits mean."""
 
     evidence: Column
     allows: Callable[[Column], Column]
@@ -36,24 +35,16 @@ def ask(frame: DataFrame, questions: Sequence[Question]) -> Column:
 
     Without any evidence the bits are NULL, and so is what is made of them.
     """
-    given = frame.select(
-        F.inline(
-            F.array(
-                *(
-                    F.struct(F.lit(i).alias("question"), question.evidence.cast("string").alias("evidence"))
-                    for i, question in enumerate(questions)
-                )
-            )
-        )
-    )
-    distinct = given.where(F.col("evidence").isNotNull()).distinct()
-    own = [F.when(F.col("question") == i, question.allows(F.col("evidence"))) for i, question in enumerate(questions)]
-    allowed = distinct.select("question", F.coalesce(*own).alias("bits"))
-    common = allowed.agg(*(F.bit_and(F.when(F.col("question") == i, F.col("bits"))).alias(f"bits{i}") for i in range(len(questions))))
+    given = frame.select(*(question.evidence.alias(f"evidence{i}") for i, question in enumerate(questions)))
+    common = given.agg(*(F.bit_and(_bits(question, F.col(f"evidence{i}"))).alias(f"bits{i}") for i, question in enumerate(questions)))
     answers = (question.answer(F.col(f"bits{i}")).alias(f"answer{i}") for i, question in enumerate(questions))
     return common.select(F.struct(*answers)).scalar()
 
 
+def _bits(question: Question, evidence: Column) -> Column:
+    return F.when(evidence.isNotNull(), question.allows(evidence))
+
+
 def asked(frame: DataFrame, questions: Sequence[Question], name: str = "__told") -> tuple[DataFrame, list[Column]]:
     """The frame with the answers in a column, and each answer. Without questions nothing changes."""
     if not questions:

@@ -44,32 +44,31 @@ def double_text(number: Column) -> Column:
     Spark and Python find the same digits. Spark writes an exponent from 1.0E7 up and
     below 1.0E-3, Python only from 1e+16 up and below 1e-4.
     """
-    # Each branch mentions the number once: short code is compiled to fast code.
+    # Each branch mentions the number once and needs no pattern but a short one: short code is compiled to fast code.
     text, size = number.cast("string"), F.abs(number)
-    plain = F.regexp_replace(number.try_cast("decimal(38,22)").cast("string"), r"(\.\d+?)0+$", "$1")
-    power = F.regexp_replace(F.lower(text), r"(?:\.0)?e(?=\d)", "e+")
-    power = F.regexp_replace(F.replace(power, F.lit(".0e"), F.lit("e")), r"e-(\d)$", "e-0$1")
+    plain = F.regexp_replace(F.rtrim(number.try_cast("decimal(38,22)").cast("string"), F.lit("0")), r"\.$", ".0")
+    power = F.replace(text, F.lit(".0E"), F.lit("E"))
     return (
         F.when(((size >= 1e-3) & (size < 1e7)) | (size == 0), text)
         .when((size >= 1e-4) & (size < 1e16), plain)
-        .otherwise(F.replace(power, F.lit("infinity"), F.lit("inf")))
+        .when(size == float("inf"), F.replace(text, F.lit("Infinity"), F.lit("inf")))
+        .when(size >= 1e16, F.replace(power, F.lit("E"), F.lit("e+")))
+        .when(size >= 1e-9, F.replace(power, F.lit("E-"), F.lit("e-0")))
+        .otherwise(F.replace(power, F.lit("E-"), F.lit("e-")))
     )
 
 
 def finest_unit(moment: Column) -> looks.Question:
     """How exact the timestamps of a column are: 0 dates alone, 1 seconds, 2 milliseconds, 3 microseconds."""
     text, micros = _printed(moment)
-    unit = (
-        F.when(F.substring(micros, 4, 3) != "000", 3)
-        .when(micros != "000000", 2)
-        .when(F.substring(text, 12, 8) != "00:00:00", 1)
-        .when(moment.isNotNull(), 0)
+    # What needs a unit can be written in all finer ones: a bit for each.
+    units = (
+        F.when(F.substring(micros, 4, 3) != "000", 0b1000)
+        .when(micros != "000000", 0b1100)
+        .when(F.substring(text, 12, 8) != "00:00:00", 0b1110)
+        .when(moment.isNotNull(), 0b1111)
     )
-    # What needs a unit can be written in all finer ones.
-    return looks.Question(
-        unit, lambda x: F.element_at(F.array(*(F.lit(15 & 15 << u).cast("bigint") for u in range(4))), x.cast("int") + 1),
-        looks.first_bit([F.lit(u) for u in range(4)]),
-    )
+    return looks.Question(units, lambda bits: bits.cast("bigint"), looks.first_bit([F.lit(u) for u in range(4)]))
 
 
 def _printed(moment: Column) -> tuple[Column, Column]:

@@ -49,10 +49,7 @@ _NANOS_PER_MICRO = 1000
 def layouts_of(text: Column) -> list[looks.Question]:
     """Which layout the dates of a column have, and which its times of day: pattern and ISO text."""
     day, clock = _split(F.when(_filled(text), text))
-    # There are only so many days, and seconds in a day. Which digits a fraction has makes
-    # no difference, only how many.
-    clocks = F.regexp_replace(clock, r"(?<=\.\d{0,12})\d", "0")
-    return [_question(day, _DATES, _day), _question(clocks, _TIMES, _clock)]
+    return [_question(day, _DATES, _day), _question(clock, _TIMES, _clock)]
 
 
 def read_guessing(
@@ -115,10 +112,18 @@ def _split(text: Column) -> tuple[Column, Column]:
 
 def _question(texts: Column, layouts: Layouts, read: Callable[..., Column]) -> looks.Question:
     """The first layout that fits every text. The answer is the pattern itself, so that each row is matched only once."""
-    fits = lambda text: reduce(
-        lambda a, b: a.bitwiseOR(b),
-        (F.when(read(text, layout).isNotNull(), F.lit(1 << i)).otherwise(0).cast("bigint") for i, layout in enumerate(layouts)),
-    )
+    bits: dict[str, list[tuple[int, str]]] = {}
+    for i, (pattern, iso) in enumerate(layouts):
+        bits.setdefault(pattern, []).append((1 << i, iso))
+
+    def fits(text: Column) -> Column:
+        # No text matches two patterns, so a row is matched until one does.
+        found = F
+        for pattern, ways in bits.items():
+            read_so = (F.when(read(text, pattern, iso).isNotNull(), F.lit(bit)).otherwise(0) for bit, iso in ways)
+            found = found.when(text.rlike(pattern), reduce(lambda a, b: a.bitwiseOR(b), read_so).cast("bigint"))
+        return found.otherwise(F.lit(0).cast("bigint"))
+
     return looks.Question(
         texts, fits, looks.first_bit([F.struct(F.lit(pattern).alias("pattern"), F.lit(iso).alias("iso")) for pattern, iso in layouts])
     )
@@ -136,15 +141,14 @@ def _number_month(read: Column) -> Column:
     return F.concat(F.substring_index(read, "{", 1), number, F.substring_index(read, "}", -1))
 
 
-def _day(text: Column, layout: tuple[str, str]) -> Column:
-    pattern, iso = layout
+def _day(text: Column, pattern: str, iso: str) -> Column:
+    """The date in a text that matches the pattern."""
     read = F.regexp_replace(text, pattern, iso)
     if "{" in iso:
         read = _number_month(read)
-    return F.when(text.rlike(pattern), read.try_cast("date"))
+    return read.try_cast("date")
 
 
-def _clock(text: Column, layout: tuple[str, str]) -> Column:
-    pattern, iso = layout
-    read = F.concat(F.lit("2000-01-01 "), F.regexp_replace(text, pattern, iso))
-    return F.when(text.rlike(pattern), read.try_cast("timestamp_ntz"))
+def _clock(text: Column, pattern: str, iso: str) -> Column:
+    """The time of day in a text that matches the pattern."""
+    return F.concat(F.lit("2000-01-01 "), F.regexp_replace(text, pattern, iso)).try_cast("timestamp_ntz")
