@@ -1,9 +1,10 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with templates.
 
-DataFrame functions only. A block is a line of a text, a template the words of a license
-statement; a block meets a template if it has at least ``threshold`` of the template's
-distinct words. A statement that is wrapped over lines is not seen as a whole and may be
-missed. The join finds all such pairs:
+DataFrame functions only. A block is a sentence: what lies between ends of sentences and lines
+without words, so a statement may be wrapped over lines. A template is a sentence of a license
+statement. A block meets it if it has at least ``threshold`` of the template's distinct words,
+all of the words that tell it from others (``needs``) and none that would make it another
+(``bars``). The join finds all such pairs:
 
 * Words are ordered by how often the whole corpus has them, rarest first.
 * Prefix filter: of a template with n words, k = ceil(threshold * n) must be there, so one
@@ -11,7 +12,7 @@ missed. The join finds all such pairs:
   on it with the templates it is a prefix word of.
 * Length filter: a block needs k distinct words of templates.
 * Positional filter: what lies before and after the joined word in both orders must suffice for k.
-* Pairs that remain are compared.
+* Pairs that remain are compared, and the words that tell templates apart looked for.
 
 Templates are a short list given by the caller, so what is made of them is small by
 construction and broadcast.
@@ -21,7 +22,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,26 +38,99 @@ PHRASES = {
     "mit license": "mit",
 }
 
-#: Label and statement; a label may have several.
+
+class Template(NamedTuple):
+    """A sentence of a license statement; words that a block must and must not have, too."""
+
+    label: str
+    statement: str
+    needs: str = ""
+    bars: str = ""
+
+
+_OTHER_GNU = "lesser library affero"
+_OTHER_CC = "sharealike share noncommercial commercial noderivatives noderivs derivatives"
+# Sentences of published licenses and their notices; a label may have several.
 TEMPLATES = (
-    ("gpl", "This work is licensed under the GNU General Public License version 3"),
-    ("gpl", "Released under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("apache", "Licensed under the Apache License Version 2.0"),
-    ("mit", "Released under the MIT License"),
-    ("mit", "Permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("bsd", "Redistribution and use in source and binary forms with or without modification are permitted"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License"),
-    ("cc-by-nc", "Licensed under CC BY NC 4.0"),
-    ("cc0", "To the extent possible under law the author has waived all copyright and related rights to this work"),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License v 2.0"),
-    ("proprietary", "Copyright all rights reserved no part of this work may be reproduced without permission"),
+    Template("gpl", "This work is licensed under the GNU General Public License version 3", "gnu general public", _OTHER_GNU),
+    Template(
+        "gpl",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License "
+        "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+        "gnu general public",
+        _OTHER_GNU,
+    ),
+    Template(
+        "lgpl",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+        "License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version",
+        "gnu lesser",
+    ),
+    Template(
+        "agpl",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public "
+        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+        "gnu affero",
+    ),
+    Template("apache", "Licensed under the Apache License, Version 2.0", "apache"),
+    Template(
+        "apache",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License',
+        "apache",
+    ),
+    Template("mit", "Released under the MIT License", "mit license"),
+    Template(
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
+        'files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, '
+        "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the "
+        "Software is furnished to do so, subject to the following conditions",
+        "permission granted charge",
+    ),
+    Template(
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies",
+        "permission granted fee",
+    ),
+    Template("bsd", "Released under the BSD License", "bsd license"),
+    Template(
+        "bsd",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+        "conditions are met",
+        "redistribution binary permitted",
+    ),
+    Template("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted", "redistribution binary permitted"),
+    Template("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License", "creative commons attribution", _OTHER_CC),
+    Template(
+        "cc-by-sa",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+        "commons attribution sharealike",
+        "noncommercial commercial",
+    ),
+    Template(
+        "cc-by-nc",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+        "commons attribution noncommercial",
+        "sharealike noderivatives noderivs",
+    ),
+    Template("cc-by-nc", "Licensed under CC BY-NC 4.0", "cc by nc"),
+    Template(
+        "cc0",
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
+        "waived copyright",
+    ),
+    Template("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "mozilla"),
+    Template("unlicense", "This is free and unencumbered software released into the public domain", "unencumbered public domain"),
+    Template("proprietary", "No part of this work may be reproduced without prior written permission", "reproduced permission"),
 )
 THRESHOLD = 0.8
 
 # Letters, digits and whatever is not ASCII; A-Z count as a-z.
 _WORD = "[0-9A-Za-z\\x{80}-\\x{10FFFF}]+"
 _GAP = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+# Between blocks: the end of a sentence, or of a paragraph.
+BREAK = "[.!?][\"')\\]]*[\\x20\\x09-\\x0D]+|\\n[\\x00-\\x09\\x0B-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*\\n"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -64,7 +139,7 @@ def scan_licenses(
     identity: str = "doc_id",
     text: str = "text",
     phrases: Mapping[str, str] | None = None,
-    templates: tuple[tuple[str, str], ...] = TEMPLATES,
+    templates: tuple[Template, ...] = TEMPLATES,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
     """Per row of ``docs``: ``doc_id n_words n_base first_word last_word base_labels labels score``.
@@ -122,11 +197,12 @@ def phrase_places(rows: DataFrame, phrases: Mapping[str, str]) -> DataFrame:
     )
 
 
-def similar_blocks(rows: DataFrame, templates: tuple[tuple[str, str], ...], threshold: float, scratch: Scratch) -> DataFrame:
+def similar_blocks(rows: DataFrame, templates: tuple[Template, ...], threshold: float, scratch: Scratch) -> DataFrame:
     """``doc_id mark label score`` of all pairs of a block and a template that it meets."""
     spark = rows.sparkSession
-    sets = {name: _words_of(name) for _, name in templates}
-    vocabulary = sorted(set().union(*sets.values()))
+    sets = [words_of(template.statement) for template in templates]
+    telling = [(words_of(template.needs), words_of(template.bars)) for template in templates]
+    vocabulary = sorted(set().union(*sets, *(words for pair in telling for words in pair)))
     text = F.col("words")
     counted = (
         rows.select(F.explode(F.regexp_extract_all(text, F.lit(_any_word(vocabulary)), F.lit(0))).alias("word"))
@@ -137,16 +213,17 @@ def similar_blocks(rows: DataFrame, templates: tuple[tuple[str, str], ...], thre
     often = {row.word: row["count"] for row in counted.collect()}
     rank = {word: k for k, word in enumerate(sorted(vocabulary, key=lambda w: (often.get(w, 0), w)))}
     prefixes, lists = [], []
-    for number, (label, name) in enumerate(templates):
-        words = sorted(sets[name], key=rank.__getitem__)
+    for number, template in enumerate(templates):
+        words = sorted(sets[number], key=rank.__getitem__)
         need = math.ceil(threshold * len(words) - 1e-9)
-        lists.append((number, label, len(words), need, [rank[w] for w in words]))
+        needs, bars = ([rank[word] for word in sorted(some)] for some in telling[number])
+        lists.append((number, template.label, len(words), need, [rank[w] for w in words], needs, bars))
         prefixes += [(rank[word], number, place) for place, word in enumerate(words[: len(words) - need + 1])]
     rare = [word for word in vocabulary if rank[word] in {x[0] for x in prefixes}]
     index = spark.createDataFrame(prefixes, "rank int, template int, place int")
-    known = spark.createDataFrame(lists, "template int, label string, size int, need int, ranks array<int>")
+    known = spark.createDataFrame(lists, "template int, label string, size int, need int, ranks array<int>, needs array<int>, bars array<int>")
     ranks = F.create_map(*(F.lit(x) for pair in rank.items() for x in pair))
-    blocks = rows.where(text.rlike(_any_word(rare))).select("doc_id", "mark", F.explode(F.split(text, "\n", -1)).alias("block"))
+    blocks = rows.where(text.rlike(_any_word(rare))).select("doc_id", "mark", F.explode(F.split(text, BREAK, -1)).alias("block"))
     # Template words of a block by rank: no other word can be shared.
     sorted_ranks = F.array_sort(
         F.array_distinct(F.transform(F.regexp_extract_all("block", F.lit(_any_word(vocabulary)), F.lit(0)), lambda w: ranks[_plain(w)]))
@@ -162,6 +239,7 @@ def similar_blocks(rows: DataFrame, templates: tuple[tuple[str, str], ...], thre
     )
     shared = F.size(F.array_intersect("have", "ranks"))
     met = pairs.withColumn("shared", shared).where(F.col("shared") >= F.col("need"))
+    met = met.where((F.size(F.array_except("needs", "have")) == 0) & ~F.arrays_overlap("bars", "have"))
     return met.select("doc_id", "mark", "label", (F.col("shared") / F.col("size")).alias("score")).distinct()
 
 
@@ -173,7 +251,7 @@ def _plain(word: Column | str) -> Column:
     return F.translate(word, _UPPER, _LOWER)
 
 
-def _words_of(statement: str) -> set[str]:
+def words_of(statement: str) -> set[str]:
     return set(re.findall("[0-9a-z]+", statement.lower()))
 
 
@@ -185,5 +263,9 @@ def _phrase(phrase: str) -> str:
     return _bounded(_GAP.join(map(re.escape, phrase.split())))
 
 
-def _any_word(words: list[str]) -> str:
-    return _bounded("|".join(map(re.escape, words)))
+def _any_word(words: Iterable[str]) -> str:
+    """Any of the words; those with the same first letter together, so that most places cost one look."""
+    tails: dict[str, list[str]] = {}
+    for word in words:
+        tails.setdefault(word[0], []).append(re.escape(word[1:]))
+    return _bounded("|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in tails.items()))

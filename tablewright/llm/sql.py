@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import re
 
-from tablewright.llm.licenses import PHRASES, TEMPLATES, THRESHOLD
+from tablewright.llm.licenses import BREAK, PHRASES, TEMPLATES, THRESHOLD, words_of
 
 _NGRAM_SHARES = dict.fromkeys(range(5, 11), 0.2)
 _LONGEST = max(_NGRAM_SHARES)
@@ -88,15 +87,17 @@ FROM documents d LEFT JOIN done USING (doc_id)
 
 
 def license_scan() -> str:
-    """Phrases by the words that follow each word; templates against every line."""
+    """Phrases by the words that follow each word; templates against every sentence."""
     word = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
     phrases = ", ".join(f"({phrase.split()!r}, '{label}')" for phrase, label in PHRASES.items())
-    statements = ", ".join(f"({n}, '{label}', {sorted(set(re.findall('[0-9a-z]+', text.lower())))!r})" for n, (label, text) in enumerate(TEMPLATES))
+    parts = ((n, x.label, *(sorted(words_of(y)) for y in (x.statement, x.needs, x.bars))) for n, x in enumerate(TEMPLATES))
+    statements = ", ".join(f"({n}, '{label}', {words!r}, {needs!r}::VARCHAR[], {bars!r}::VARCHAR[])" for n, label, words, needs, bars in parts)
+    ends = BREAK.replace("'", "''")
     lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return f"""
 WITH d AS (SELECT doc_id, {lower} AS text FROM documents),
 phrases(words, label) AS (VALUES {phrases}),
-templates(n, label, words) AS (VALUES {statements}),
+templates(n, label, words, needs, bars) AS (VALUES {statements}),
 tok AS (
   SELECT doc_id, unnest(words) AS w0, unnest(range(len(words))) AS i
   FROM (SELECT doc_id, regexp_extract_all(text, '{word}') AS words FROM d)),
@@ -109,16 +110,15 @@ places AS (
 base AS (
   SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels
   FROM places GROUP BY doc_id),
-blocks AS (
-  SELECT doc_id, list_distinct(regexp_extract_all(line, '{word}')) AS have
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)),
+blocks AS MATERIALIZED (
+  SELECT doc_id, row_number() OVER () AS b, list_distinct(regexp_extract_all(block, '{word}')) AS have
+  FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '{ends}')) AS block FROM d)),
+shares AS (
+  SELECT b, n, count(*) AS shared FROM (SELECT b, unnest(have) AS word FROM blocks)
+  JOIN (SELECT n, unnest(words) AS word FROM templates) USING (word) GROUP BY b, n),
 met AS (
-  SELECT doc_id, label, shared / len(words) AS score FROM (
-    SELECT doc_id, n, label, words, count(*) AS shared FROM (
-      SELECT doc_id, b, unnest(have) AS word FROM (SELECT doc_id, have, row_number() OVER () AS b FROM blocks)
-    ) JOIN (SELECT n, label, words, unnest(words) AS word FROM templates) USING (word)
-    GROUP BY doc_id, b, n, label, words
-  ) WHERE shared >= ceil({THRESHOLD} * len(words) - 1e-9)),
+  SELECT doc_id, label, shared / len(words) AS score FROM shares JOIN templates USING (n) JOIN blocks USING (b)
+  WHERE shared >= ceil({THRESHOLD} * len(words) - 1e-9) AND list_has_all(have, needs) AND NOT list_has_any(have, bars)),
 more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(score) AS score FROM met GROUP BY doc_id),
 counts AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY doc_id)
 SELECT d.doc_id, coalesce(counts.n, 0)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word,

@@ -25,12 +25,12 @@ def expected(row, templates=module.TEMPLATES, threshold=0.8):
         places += found
         base |= {label} if found else set()
     more, score = set(), 0.0
-    for line in text.split("\n"):
-        have = set(WORD.findall(line))
-        for label, statement in templates:
-            want = set(re.findall("[0-9a-z]+", statement.lower()))
-            if len(have & want) >= math.ceil(threshold * len(want) - 1e-9):
-                more.add(label)
+    for block in re.split(module.BREAK, text):
+        have = set(WORD.findall(block))
+        for template in templates:
+            want, needs, bars = (set(re.findall("[0-9a-z]+", x.lower())) for x in template[1:])
+            if len(have & want) >= math.ceil(threshold * len(want) - 1e-9) and needs <= have and not bars & have:
+                more.add(template.label)
                 score = max(score, len(have & want) / len(want))
     first, last = (min(places), max(places)) if places else (None, None)
     return (row[0], len(words), len(places), first, last, ",".join(sorted(base)), ",".join(sorted(base | more)), score)
@@ -50,9 +50,45 @@ TEXTS = [
 ]
 
 
+WRAPPED = """# Copyright (c) 2020
+#
+# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions
+# are met:
+#
+# Something else"""
+MPL = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy was not distributed */"
+MIT = """MIT
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+CONFUSED = [
+    (WRAPPED, "bsd"),
+    (MPL, "mpl"),
+    (MIT.replace("\n", "\r\n"), "mit"),
+    ("Released under the BSD License", "bsd"),
+    ("Released under the Apache License, Version 2.0.", "apache"),
+    ("This work is licensed under a Creative Commons Attribution 4.0\nInternational License.", "cc-by"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "cc-by-sa"),
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+     "Public License as published by the Free Software Foundation, either version 3 of the License or any later version", "lgpl"),
+    ("Released today. It is under no license. The MIT has a campus.", ""),
+]
+
+
+def test_wrapped_statements_and_licenses_alike(spark):
+    rows = [(k, text, "", "", 0) for k, (text, _) in enumerate(CONFUSED)]
+    found = {x.doc_id: x.labels for x in module.scan_licenses(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found == {k: labels for k, (_, labels) in enumerate(CONFUSED)}
+
+
 @pytest.mark.parametrize("threshold", [0.5, 0.8, 1.0])
 def test_texts(spark, threshold):
-    rows = [(k, text, "", "", 0) for k, text in enumerate(TEXTS)] + awkward_rows()
+    rows = [(k, text, "", "", 0) for k, text in enumerate(TEXTS + [x for x, _ in CONFUSED])] + awkward_rows()
     rows += [(3, TEXTS[0], "", "", 0), (None, TEXTS[0], "", "", 0)]
     found = module.scan_licenses(spark.createDataFrame(rows, SCHEMA).repartition(3), threshold=threshold)
     assert Counter(map(tuple, found.collect())) == Counter(expected(row, threshold=threshold) for row in rows)
