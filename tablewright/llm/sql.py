@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from tablewright.llm.licenses import BREAK, PHRASES, TEMPLATES, THRESHOLD, words_of
 
 _NGRAM_SHARES = dict.fromkeys(range(5, 11), 0.2)
