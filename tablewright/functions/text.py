@@ -44,13 +44,19 @@ def double_text(number: Column) -> Column:
     Spark and Python find the same digits. Spark writes an exponent from 1.0E7 up and
     below 1.0E-3, Python only from 1e+16 up and below 1e-4.
     """
-    # Each branch mentions the number once and needs no pattern but a short one: short code is compiled to fast code.
+    # Each branch makes the text once and needs no pattern: short code is compiled to fast code.
     text, size = number.cast("string"), F.abs(number)
-    plain = F.regexp_replace(F.rtrim(number.try_cast("decimal(38,22)").cast("string"), F.lit("0")), r"\.$", ".0")
+    # No whole number lies between a fraction and its shortest digits, so the digits before the point are those of `whole`.
+    whole = number.try_cast("bigint").cast("string")
+    behind = F.substr(_significand(text), F.length(whole) + 2)
+    fraction = F.when(number == F.rint(number), F.lit("0")).otherwise(behind)
+    zeros = F.when(number < 0, F.lit("-0.000")).otherwise(F.lit("0.000"))
+    digits = F.rtrim(F.replace(_significand(size.cast("string")), F.lit("."), F.lit("")), F.lit("0"))
     power = F.replace(text, F.lit(".0E"), F.lit("E"))
     return (
         F.when(((size >= 1e-3) & (size < 1e7)) | (size == 0), text)
-        .when((size >= 1e-4) & (size < 1e16), plain)
+        .when((size >= 1e7) & (size < 1e16), F.concat(whole, F.lit("."), fraction))
+        .when((size >= 1e-4) & (size < 1e-3), F.concat(zeros, digits))
         .when(size == float("inf"), F.replace(text, F.lit("Infinity"), F.lit("inf")))
         .when(size >= 1e16, F.replace(power, F.lit("E"), F.lit("e+")))
         .when(size >= 1e-9, F.replace(power, F.lit("E-"), F.lit("e-0")))
@@ -58,32 +64,33 @@ def double_text(number: Column) -> Column:
     )
 
 
+def _significand(text: Column) -> Column:
+    """What stands before the exponent."""
+    return F.substring_index(text, "E", 1)
+
+
 def finest_unit(moment: Column) -> looks.Question:
     """How exact the timestamps of a column are: 0 dates alone, 1 seconds, 2 milliseconds, 3 microseconds."""
-    text, micros = _printed(moment)
+    # By numbers: printing every timestamp would cost many times as much. Time zones differ by whole seconds,
+    # so the session's does not matter here.
+    micros = F.unix_micros(moment.cast("timestamp"))
     # What needs a unit can be written in all finer ones: a bit for each.
     units = (
-        F.when(F.substring(micros, 4, 3) != "000", 0b1000)
-        .when(micros != "000000", 0b1100)
-        .when(F.substring(text, 12, 8) != "00:00:00", 0b1110)
-        .when(moment.isNotNull(), 0b1111)
+        F.when(moment == moment.cast("date").cast("timestamp_ntz"), 0b1111)
+        .when(micros % 1_000_000 == 0, 0b1110)
+        .when(micros % 1000 == 0, 0b1100)
+        .when(moment.isNotNull(), 0b1000)
     )
     return looks.Question(units, lambda bits: bits.cast("bigint"), looks.first_bit([F.lit(u) for u in range(4)]))
 
 
-def _printed(moment: Column) -> tuple[Column, Column]:
-    """A timestamp as Spark prints it, and its six digits of microseconds."""
-    # Cut from the printed form: date_format would go through the session's time zone.
-    text = moment.cast("string")
-    return text, F.rpad(F.substring(text, 21, 6), 6, "0")
-
-
 def time_text(moment: Column, finest: Column) -> Column:
     """Timestamps in the shortest layout that fits the whole column, whose finest unit that is."""
-    text, micros = _printed(moment)
-    seconds = F.substring(text, 1, 19)
+    # Cut from the printed form: date_format would go through the session's time zone.
+    text = moment.cast("string")
+    seconds, micros = F.substring(text, 1, 19), F.rpad(F.substring(text, 21, 6), 6, "0")
     return (
-        F.when(finest == 0, F.substring(text, 1, 10))
+        F.when(finest == 0, moment.cast("date").cast("string"))
         .when(finest == 1, seconds)
         .otherwise(F.concat(seconds, F.lit("."), F.when(finest == 2, F.left(micros, F.lit(3))).otherwise(micros)))
     )

@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.errors import TransformError
-from tablewright.functions.text import double_text
+from tablewright.functions import looks
+from tablewright.functions.text import double_text, finest_unit
 from tablewright.operators import quality
 from tablewright.operators.mappings import apply_mappings
 from tablewright.spec import Mapping
@@ -59,6 +60,35 @@ def test_doubles_print_as_python_prints_them(spark):
     assert not [v for v, _ in wrong if 1e-300 < abs(v) < 1e16]
 
 
+def test_doubles_print_without_decimals_and_patterns(spark):
+    """Both cost many times as much as the digits themselves."""
+    draw = random.Random(11)
+    values = [draw.choice((-1, 1)) * round(draw.uniform(1, 10), draw.randrange(16)) * 10.0**p for p in range(-5, 15) for _ in range(100)]
+    values += [4503599627370495.5, -2251799813685249.25, 9007199254740991.0, -9999999999999998.0, 21168.23 * 1e6, -1e-4, 7e-4]
+    frame = spark.createDataFrame([(v,) for v in values], "v double").select("v", double_text(F.col("v")).alias("text"))
+    assert [(row["v"], row["text"]) for row in frame.collect() if repr(row["v"]) != row["text"]] == []
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "cast(" in plan and "decimal" not in plan and "regexp" not in plan
+
+
+def test_the_finest_unit_is_found_without_printing(spark):
+    seconds = "'2024-03-10 02:30:01'", "'1900-01-01 23:59:59'"
+    units = {"'1883-11-18'": 0, **dict.fromkeys(seconds, 1), "'1900-01-01 00:00:00.25'": 2, "'1937-06-30 23:59:59.999999'": 3}
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        # A zone with offsets of 19 minutes and 32 seconds, and one with a gap at half past two.
+        for zone in ("UTC", "Europe/Amsterdam", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            for text, unit in units.items():
+                frame = spark.sql(f"SELECT timestamp_ntz{text} AS t UNION ALL SELECT timestamp_ntz'2024-01-01' UNION ALL SELECT NULL")
+                found = looks.ask(frame, [finest_unit(F.col("t"))])["answer0"]
+                assert spark.range(1).select(found).first()[0] == unit, (zone, text)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    evidence = frame.select(finest_unit(F.col("t")).evidence)
+    assert "as string" not in evidence._jdf.queryExecution().analyzed().toString()
+
+
 @pytest.mark.parametrize(
     ("moments", "expected"),
     [
